@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickforge.functions.scalars import int_div, to_cold_range
-from clickforge.operators.ordering import index_rows, rank_in_group, running
+from clickforge.operators.ordering import index_rows, rank_in_group
 from clickforge.session import materialize
 
 LIST_CHUNK = 1024  # neighbours per adjacency list row
@@ -94,7 +94,7 @@ def best_neighbor(weights: DataFrame, strengths: DataFrame | None = None) -> Dat
     a hub does not end in one task.
     """
     strengths = (degrees(weights) if strengths is None else strengths).select("v", "strength")
-    total = strengths.agg(F.sum("strength")).scalar()
+    total = total_weight(strengths).scalar()
     of_v = strengths.select(F.col("v").alias("src"), F.col("strength").alias("sv"))
     of_u = strengths.select(F.col("v").alias("dst"), F.col("strength").alias("su"))
     gains = (
@@ -159,43 +159,56 @@ def trace_community(parents: DataFrame, with_path: bool = False, max_rounds: int
     return state
 
 
-def _merge_round(weights: DataFrame, strengths: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Proposals of one round, and those accepted as (v, parent)."""
-    proposals = materialize(best_neighbor(weights, strengths), "proposals")
+QUEUE_SLOTS = 64  # hash slots per power of two of strength
 
-    def sends(c: str):
-        return F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(2)) == 0
 
-    offered = proposals.filter(sends("v") & ~sends("u"))
-    total = strengths.agg(F.sum("strength")).scalar()
-    # Lighter vertices join first. The weight that may already have joined u bounds what v still
-    # gains; only edges among the newcomers, which add to the gain, are left out of the bound.
-    queued = running(offered.select("v", "u", "w", "sv", "su"), ["sv", "v"], "sv", "_ahead", group=["u"], inclusive=False)
-    gain_left = F.col("w") - F.col("sv") * (F.col("su") + F.col("_ahead")) / total
-    return proposals, queued.filter(gain_left > 0).select("v", F.col("u").alias("parent"))
+def _accepted_merges(proposals: DataFrame, total) -> DataFrame:
+    """(v, parent): the proposals of one round that may all happen together.
 
+    v joins its best neighbour u when u is heavier and u itself joins nobody, so merges form stars.
+    The proposers of u queue from light to heavy, in slots of (power of two of the strength, hash).
+    v is accepted when it gains even if everybody in earlier slots and in its own slot joins; the
+    edges among them, which this bound leaves out, only add to the gain. The lightest vertex of the
+    first slot gains in any case. A queue has a bounded number of slots, and joining on (u, slot)
+    spreads the proposers of a hub over many tasks.
+    """
+    joins = (F.col("su") > F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
+    slot = F.floor(F.log2("sv")) * QUEUE_SLOTS + F.pmod(F.xxhash64("v"), F.lit(QUEUE_SLOTS))
+    senders = proposals.filter(joins).select("v", "u", "w", "sv", "su", slot.alias("slot"))
+    queue = Window.partitionBy("u").orderBy("slot")
+    slots = (
+        senders.groupBy("u", "slot")
+        .agg(F.sum("sv").alias("_own"), F.min(F.struct("sv", "v")).alias("_lightest"))
+        .join(senders.select(F.col("v").alias("u")), "u", "left_anti")
+        .select(
+            "u", "slot", F.sum("_own").over(queue).alias("_ahead"),
+            F.when(F.row_number().over(queue) == 1, F.col("_lightest.v")).alias("_first"),
+        )
+    )
+    gain_left = F.col("w") - F.col("sv") * (F.col("su") + F.col("_ahead") - F.col("sv")) / total
+    taken = senders.join(slots, ["u", "slot"]).filter((gain_left > 0) | (F.col("_first") == F.col("v")))
+    return taken.select("v", F.col("u").alias("parent"))
 
-def communities(weights: DataFrame, n: int | None = None, max_rounds: int = 64, seed: int = 0) -> DataFrame:
+
+def communities(weights: DataFrame, n: int | None = None, max_rounds: int = 64) -> DataFrame:
     """(v, parent, round): merge forest of greedy modularity clustering.
 
-    Every round each vertex proposes its best neighbour. A seeded hash makes half of the vertices
-    senders and the other half receivers, so merges form stars and never cycles. A receiver takes
-    its senders from light to heavy while the gain is provably positive, so modularity grows with
-    each merge. Merged edges are contracted. The loop ends when nobody gains; a round whose
-    proposals were all turned down does not end it. Roots have themselves as parent, round -1.
+    Every round each vertex proposes its best neighbour, light vertices join heavier ones, and the
+    merged edges are contracted. Each accepted merge raises the modularity, and while anybody has a
+    proposal at least one is accepted: the chain of heavier targets ends at a vertex that joins
+    nobody, and its lightest proposer gains. The loop ends when nobody gains. Each round is written
+    out. Roots have themselves as parent and round -1.
     """
-    spark = weights.sparkSession
     current = materialize(weights.select("src", "dst", "w"), "graph")
     strengths = materialize(degrees(current).select("v", "strength"), "strength")
-    everyone = strengths.select("v") if n is None else spark.range(n).select(F.col("id").alias("v"))
+    everyone = strengths.select("v") if n is None else weights.sparkSession.range(n).select(F.col("id").alias("v"))
+    total = strengths.agg(F.sum("strength")).first()[0]
     merges = []
     for step in range(max_rounds):
-        proposals, accepted = _merge_round(current, strengths, seed + step)
-        if proposals.isEmpty():
-            break
-        accepted = materialize(accepted, "merges")
+        proposals = materialize(best_neighbor(current, strengths), "proposals")
+        accepted = materialize(_accepted_merges(proposals, total), "merges")
         if accepted.isEmpty():
-            continue
+            break
         merges.append(accepted.withColumn("round", F.lit(step)))
         current = materialize(contract_graph(current, accepted), "graph")
         moved = strengths.join(accepted, "v", "left").select(F.coalesce("parent", "v").alias("v"), "strength")
@@ -255,7 +268,7 @@ def compose_bijection(ranks: DataFrame, cold_permutation: DataFrame, hot: int) -
 
 
 def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot: int, batch_size: int = 512,
-                     max_rounds: int = 64, seed: int = 0) -> DataFrame:
+                     max_rounds: int = 64) -> DataFrame:
     """(old_id, new_id): the whole re-ordering of one field.
 
     Ranked ids -> cold range -> co-occurrence graph per batch -> communities -> permutation of the
@@ -264,7 +277,7 @@ def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot
     cold = df.select(pos, to_cold_range(id_col, hot).alias("cold"))
     weights = materialize(edge_weights(cooccurrence_edges(cold, "cold", pos, batch_size)), "edges")
     n = vertex_count(weights).first()["n"]
-    forest = materialize(communities(weights, n, max_rounds, seed).filter("v > 0"), "forest")
+    forest = materialize(communities(weights, n, max_rounds).filter("v > 0"), "forest")
     shifted = permutation(forest).select("old", (F.col("new") + 1).alias("new"))
     return compose_bijection(ranks, shifted, hot)
 

@@ -142,6 +142,7 @@ def prefix_scan(
 def _scan_chunks(rows: DataFrame, op: np.ufunc, initial: float, out: str, inclusive: bool) -> DataFrame:
     """Scan column ``_x`` over dense ``_pos``; chunk totals are scanned by the same function."""
     chunked = rows.withColumn("_chunk", int_div("_pos", CHUNK_ROWS))
+    kept = [*rows.columns, out]
 
     def fold(piece: pd.DataFrame) -> pd.DataFrame:
         ordered = piece.sort_values("_pos")
@@ -151,7 +152,7 @@ def _scan_chunks(rows: DataFrame, op: np.ufunc, initial: float, out: str, inclus
         ordered = piece.sort_values("_pos").reset_index(drop=True)
         start = ordered["_carry"].iloc[0] if "_carry" in ordered else initial
         full = op.accumulate(np.concatenate([[start], ordered["_x"].to_numpy()]))
-        return ordered.assign(**{out: full[1:] if inclusive else full[:-1]})[[*rows.columns, out]]
+        return ordered.assign(**{out: full[1:] if inclusive else full[:-1]})[kept]
 
     last = rows.agg(F.max("_pos")).first()[0]
     if last is not None and last >= CHUNK_ROWS:
@@ -219,28 +220,12 @@ def segmented_reduce(df: DataFrame, segment: str, value: str, op: str | np.ufunc
         built_in = {"sum": F.sum, "min": F.min, "max": F.max}[op](value)
         reduced = df.groupBy(segment).agg(built_in.alias("result"))
     else:
-        def squeeze(pieces: list[pd.DataFrame]) -> pd.DataFrame:
-            return pd.concat(pieces).groupby("seg", as_index=False)["x"].agg(lambda x: op.reduce(x.to_numpy()))
-
-        def partial(frames):
-            held: list[pd.DataFrame] = []
-            for frame in frames:
-                held.append(squeeze([frame]))
-                if sum(map(len, held)) > FOLD_ROWS:
-                    held = [squeeze(held)]
-                    if len(held[0]) > FOLD_ROWS // 2:
-                        yield held.pop()
-            if held:
-                yield squeeze(held)
-
-        def final(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"seg": rows["seg"].iloc[:1], "x": [op.reduce(rows["x"].to_numpy())]})
-
         kind = df.schema[segment].dataType.simpleString()
-        narrow = df.select(F.col(segment).alias("seg"), F.col(value).cast("double").alias("x"))
+        narrow = df.select(F.col(segment).alias("seg"), F.col(value).cast("double").alias("x")).filter("x is not null")
+        partial = narrow.mapInPandas(_presum(op), f"seg {kind}, x double")
         reduced = (
-            narrow.mapInPandas(partial, f"seg {kind}, x double")
-            .groupBy("seg").applyInPandas(final, f"seg {kind}, x double")
+            partial.repartition("seg").sortWithinPartitions("seg")
+            .mapInPandas(_fold_sorted(op), f"seg {kind}, x double")
             .select(F.col("seg").alias(segment), F.col("x").alias("result"))
         )
     if segments is None:
@@ -248,6 +233,47 @@ def segmented_reduce(df: DataFrame, segment: str, value: str, op: str | np.ufunc
     return segments.select(segment).join(reduced, segment, "left").withColumn("result", F.coalesce("result", F.lit(initial)))
 
 
+def _squeeze(op: np.ufunc, frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per segment of (seg, x), in segment order."""
+    ordered = frame.sort_values("seg", kind="stable")
+    starts = np.flatnonzero(~ordered["seg"].duplicated().to_numpy())
+    folded = op.reduceat(ordered["x"].to_numpy(dtype=float), starts)
+    return pd.DataFrame({"seg": ordered["seg"].to_numpy()[starts], "x": folded})
+
+
+def _presum(op: np.ufunc) -> Callable:
+    """Fold per segment inside a task, holding a bounded number of segments."""
+
+    def fold(frames):
+        held = None
+        for frame in frames:
+            if len(frame):
+                held = _squeeze(op, frame if held is None else pd.concat([held, frame]))
+                if len(held) > FOLD_ROWS:
+                    yield held
+                    held = None
+        if held is not None:
+            yield held
+
+    return fold
+
+
+def _fold_sorted(op: np.ufunc) -> Callable:
+    """Fold rows that arrive sorted by segment; only the open segment is held back."""
+
+    def fold(frames):
+        open_row = None
+        for frame in frames:
+            if len(frame):
+                folded = _squeeze(op, frame if open_row is None else pd.concat([open_row, frame]))
+                open_row = folded.iloc[-1:]
+                yield folded.iloc[:-1]
+        if open_row is not None:
+            yield open_row
+
+    return fold
+
+
 def segmented_arg(df: DataFrame, segment: str, value: str, pos: str, largest: bool = False) -> DataFrame:
     """(segment, idx, value): first extreme of each segment with its index inside the segment.
 

@@ -106,9 +106,9 @@ def count_communities(t):
 
 
 @query("trace_community", """
-with recursive up as (select p_partkey as v, p_partkey as at from part
-  union all select v, ((at // 7) // 2) * 7 + at % 7 from up where at >= 7)
-select v, min(at) as root from up group by v""")
+with recursive up as (select p_partkey as v, p_partkey as node from part
+  union all select v, ((node // 7) // 2) * 7 + node % 7 from up where node >= 7)
+select v, min(node) as root from up group by v""")
 def trace_community(t):
     """Seven binary trees over the parts: k * 7 + c has the parent (k div 2) * 7 + c."""
     parent = int_div(int_div("p_partkey", 7), 2) * 7 + F.pmod("p_partkey", F.lit(7))

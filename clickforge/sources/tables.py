@@ -71,7 +71,7 @@ def write_hot_cold(rows: DataFrame, hot: DataFrame, path: str, is_hot: str = "is
 
 def read_hot_cold(spark: SparkSession, path: str, is_hot: str = "is_hot") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hot rows, normal rows, hot dictionary."""
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows").withColumn(is_hot, F.col(is_hot).cast("boolean"))
     return rows.filter(F.col(is_hot)), rows.filter(~F.col(is_hot)), spark.read.parquet(f"{path}/hot_ids")
 
 
