@@ -46,10 +46,9 @@ def categorify_fit(df: DataFrame, fields: Sequence[str], max_size: int = 50_000_
     ranked = rank_in_group(
         value_counts(df, fields), ["field"], [F.col("cnt").desc(), F.col("value").asc()], "_rank", few_groups=True
     )
-    vocabulary = ranked.filter(F.col("_rank") < max_size - 1).select(
+    return ranked.filter(F.col("_rank") < max_size - 1).select(
         "field", "value", (F.col("_rank") + 1).alias("id"), "cnt"
     )
-    return materialize(vocabulary, "vocabulary", ["field"])
 
 
 def apply_mapping(
@@ -60,7 +59,8 @@ def apply_mapping(
     new: str = "id",
     default=None,
 ) -> DataFrame:
-    """Replace each field's values through a (field, old, new) table; unmatched becomes ``default``.
+    """Replace each field's values through a (field, old, new) table; unmatched becomes ``default``,
+    one value or one per field.
 
     One left join per field on a unique key. No broadcast is forced: the mapping is a stored
     table partitioned by field, so the optimizer sees its real size per field and broadcasts
@@ -76,7 +76,8 @@ def apply_mapping(
             F.col(old).alias("_old"), F.col(new).alias("_new")
         )
         joined = out.join(part, F.col(column).cast(old_type) == F.col("_old"), "left")
-        value = F.col("_new") if default is None else F.coalesce(F.col("_new"), F.lit(default))
+        missing = default.get(name) if isinstance(default, Mapping) else default
+        value = F.col("_new") if missing is None else F.coalesce(F.col("_new"), F.lit(missing))
         out = joined.withColumn(column, value).drop("_old", "_new")
     return out
 

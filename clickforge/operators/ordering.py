@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def ranged(df: DataFrame, order_by: Sequence[Column | str], label: str = "ranged") -> DataFrame:
+def ranged(
+    df: DataFrame, order_by: Sequence[Column | str], label: str = "ranged", partition_by: list[str] | None = None
+) -> DataFrame:
     """Sort all rows over range partitions, store them, and tag each with its partition and slot.
 
     Range bounds come from a sample, so the result is written out before anything is counted:
@@ -55,7 +58,7 @@ def ranged(df: DataFrame, order_by: Sequence[Column | str], label: str = "ranged
             F.col("_row").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1)).alias(SLOT),
         )
     )
-    return materialize(tagged, label)
+    return materialize(tagged, label, partition_by)
 
 
 def _part_starts(stored: DataFrame) -> DataFrame:
@@ -87,22 +90,40 @@ def rank_in_group(
 ) -> DataFrame:
     """0-based rank of each row inside its group.
 
-    ``few_groups`` declares that the groups are a handful fixed by the schema (feature fields),
-    so their start positions may be broadcast; otherwise a second level ranks inside
-    (partition, group) and only groups that span partitions carry an offset.
+    ``few_groups`` declares that the groups are a handful fixed by the schema (feature fields). The
+    rows are then stored by group and the rank is plain arithmetic on the stored columns, so a
+    filter on the group reads its files only and the optimizer knows their size. Otherwise a second
+    level ranks inside (partition, group) and only groups that span partitions carry an offset.
     """
     if few_groups:
-        indexed = index_rows(df, [*group, *order_by], "_pos", "rank")
-        starts = indexed.groupBy(*group).agg(F.min("_pos").alias("_group_start"))
-        joined = indexed.alias("l").join(F.broadcast(starts.alias("r")), same_keys("l", "r", group))
-        return joined.select(
-            *[F.col(f"l.{c}") for c in df.columns],
-            (F.col("_pos") - F.col("_group_start")).alias(out),
-        )
+        return _rank_few(df, list(group), order_by, out)
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
     return running(one, order_by, "_one", out, group=group, inclusive=False).select(*df.columns, out)
 
 
+def _rank_few(df: DataFrame, group: list[str], order_by: Sequence[Column | str], out: str) -> DataFrame:
+    stored = ranged(df, [*group, *order_by], "rank", partition_by=group)
+    # at most one row per partition plus one per group
+    pieces = stored.groupBy(PART, *group).agg(F.count(F.lit(1)).alias("_n"), F.min(SLOT).alias("_lo")).collect()
+    if not pieces:
+        return stored.select(*df.columns, F.col(SLOT).alias(out))
+    starts = [0] * (1 + max(row[PART] for row in pieces))
+    for row in pieces:
+        starts[row[PART]] += row["_n"]
+    starts = [0, *accumulate(starts)][:-1]
+    heads: dict[tuple, int] = {}
+    for row in pieces:
+        key = tuple(row[g] for g in group)
+        position = starts[row[PART]] + row["_lo"]
+        heads[key] = min(position, heads.get(key, position))
+    head = F.coalesce(*[
+        F.when(reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.lit(k)) for g, k in zip(group, key)]), F.lit(position).cast("bigint"))
+        for key, position in heads.items()
+    ])
+    start = F.element_at(F.lit(starts).cast("array<bigint>"), (F.col(PART) + 1).cast("int"))
+    return stored.select(*df.columns, (start + F.col(SLOT) - head).alias(out))
+
+
 def running(
     df: DataFrame,
     order_by: Sequence[Column | str],

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickforge.operators.batching import assign_batches
-from clickforge.operators.encode import apply_mapping, categorify_apply, categorify_fit, value_counts
+from clickforge.operators.encode import apply_mapping, categorify_fit, value_counts
 from clickforge.operators.ordering import index_rows, rank_in_group, running
 from clickforge.operators.primitives import partition_flagged
 from clickforge.session import materialize
@@ -34,13 +34,13 @@ def access_counts(df: DataFrame, fields: Sequence[str], sizes: Mapping[str, int]
 
 
 def frequency_rank(counts: DataFrame) -> DataFrame:
-    """Bijection (field, old_id, new_id): ids by count descending, then id."""
+    """Bijection (field, old_id, new_id, cnt): ids by count descending, then id; stored by field."""
     ranked = rank_in_group(counts, ["field"], [F.col("cnt").desc(), F.col("id").asc()], "new_id", few_groups=True)
     return ranked.select("field", F.col("id").alias("old_id"), "new_id", "cnt")
 
 
 def store_bijection(bijection: DataFrame) -> DataFrame:
-    """Keep a bijection as a table partitioned by field, ready for ``apply_bijection``."""
+    """Keep a bijection from elsewhere as a table partitioned by field, ready for ``apply_bijection``."""
     return materialize(bijection.select("field", "old_id", "new_id"), "bijection", ["field"])
 
 
@@ -160,22 +160,21 @@ def cache_split(lookups: DataFrame, cache: DataFrame, pos: str, id_col: str = "i
 # ---- distinct ids of each mini-batch ------------------------------------------------------------
 
 
-def batch_ids(df: DataFrame, fields: Sequence[str], batch: str = "batch") -> DataFrame:
-    """(batch, field, id, n_rows): the distinct ids of each batch and field in long form."""
-    return (
-        df.select(batch, *[F.col(f).cast("bigint").alias(f) for f in fields])
-        .unpivot([batch], list(fields), "field", "id")
-        .groupBy(batch, "field", "id")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+def _batch_sets(df: DataFrame, fields: Sequence[str], batch: str) -> DataFrame:
+    """(batch, field, n_rows, ids): one shuffle for all fields, without multiplying the rows.
+
+    A set holds at most one batch of rows. Rows of a batch mostly lie in one partition, so the sets
+    form before the shuffle.
+    """
+    sets = df.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.collect_set(F.col(f).cast("bigint")).alias(f) for f in fields]
     )
+    return sets.unpivot([batch, "n_rows"], list(fields), "field", "ids").select(batch, "field", "n_rows", "ids")
 
 
 def batch_unique(df: DataFrame, fields: Sequence[str], batch: str = "batch") -> DataFrame:
-    """(batch, field, ids, n): sorted distinct ids; a list holds at most one batch of rows."""
-    long = df.select(batch, *[F.col(f).cast("bigint").alias(f) for f in fields]).unpivot(
-        [batch], list(fields), "field", "id"
-    )
-    lists = long.groupBy(batch, "field").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    """(batch, field, ids, n): sorted distinct ids of each batch."""
+    lists = _batch_sets(df, fields, batch).select(batch, "field", F.sort_array("ids").alias("ids"))
     return lists.withColumn("n", F.size("ids").cast("bigint"))
 
 
@@ -189,11 +188,9 @@ def batch_inverse(df: DataFrame, fields: Sequence[str], batch: str = "batch", in
 
 
 def batch_sizes(df: DataFrame, fields: Sequence[str], batch: str = "batch") -> DataFrame:
-    """(batch, field, n_rows, n_unique)."""
-    return (
-        batch_ids(df, fields, batch)
-        .groupBy(batch, "field")
-        .agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
+    """(batch, field, n_rows, n_unique, max_id)."""
+    return _batch_sets(df, fields, batch).select(
+        batch, "field", "n_rows", F.size("ids").cast("bigint").alias("n_unique"), F.array_max("ids").alias("max_id")
     )
 
 
@@ -234,23 +231,39 @@ def cache_sync(current: DataFrame, batch: str = "batch", pos: str = "in_batch",
     return joined.withColumn(vec, F.coalesce("_prev", vec)).withColumn("synced", F.col("_prev").isNotNull()).drop("_prev")
 
 
+def rank_encoding(vocabulary: DataFrame, n_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """Dictionary encoding and frequency re-numbering of the training rows as one mapping (field, value, new_id).
+
+    The vocabulary already is in frequency order and holds the counts; the other rows of a field
+    carry the unknown id 0. So the rank of an id is its place in the vocabulary, moved up by one
+    if id 0 is at least as frequent, and neither the rows are counted again nor anything sorted.
+    Also returns, per field, the rank of id 0 where it occurs.
+    """
+    known = {r["field"]: r["n"] for r in vocabulary.groupBy("field").agg(F.sum("cnt").alias("n")).collect()}
+    unknown = {f: n_rows - n for f, n in known.items()}
+    missing = F.coalesce(*[F.when(F.col("field") == f, F.lit(n)) for f, n in unknown.items()])
+    ahead = ((missing > 0) & (missing >= F.col("cnt"))).cast("bigint")
+    mapping = vocabulary.select("field", "value", (F.col("id") - 1 + ahead).alias("new_id"))
+    rank_of_unknown: dict[str, int] = {}
+    if any(unknown.values()):
+        above = vocabulary.filter(F.col("cnt") > missing).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+        rank_of_unknown = {f: 0 for f, n in unknown.items() if n} | {
+            r["field"]: r["n"] for r in above.collect() if unknown[r["field"]]
+        }
+    return mapping, rank_of_unknown
+
+
 def access_profile(df: DataFrame, fields: Sequence[str], pos: str, batch_size: int, max_size: int = 50_000_000) -> DataFrame:
     """Encode, count, re-number by frequency, and report per batch what deduplication saves.
 
     (batch, field, n_rows, n_unique, max_rank, reuse); full batches only.
     """
-    vocabulary = categorify_fit(df, fields, max_size)
-    encoded = categorify_apply(df.select(pos, *fields), vocabulary, fields)
-    ranks = store_bijection(frequency_rank(access_counts(encoded, fields)))
-    renumbered = apply_bijection(encoded, ranks, fields)
+    rows = df.select(pos, *fields)
+    mapping, unknown = rank_encoding(categorify_fit(rows, fields, max_size), rows.count())
+    renumbered = apply_mapping(rows, mapping, fields, new="new_id", default=unknown)
     batches = assign_batches(renumbered, batch_size, pos=pos)
-    return (
-        batch_ids(batches, fields)
-        .groupBy("batch", "field")
-        .agg(
-            F.sum("n_rows").alias("n_rows"),
-            F.count(F.lit(1)).alias("n_unique"),
-            F.max("id").alias("max_rank"),
-        )
-        .withColumn("reuse", 1 - F.col("n_unique") / F.col("n_rows"))
+    sizes = batch_sizes(batches, fields)
+    return sizes.select(
+        "batch", "field", "n_rows", "n_unique", F.col("max_id").alias("max_rank"),
+        (1 - F.col("n_unique") / F.col("n_rows")).alias("reuse"),
     )

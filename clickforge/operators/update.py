@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickforge.functions.arrow import from_matrix, to_matrix
 from clickforge.functions.vectors import add_scaled, vector_sum
 from clickforge.operators.vectors import FactoredShape, _digits, load_cores
 from clickforge.session import materialize
@@ -54,8 +55,10 @@ def _core_gradients(ids: np.ndarray, grads: np.ndarray, cores: list[np.ndarray],
     )
     sums = []
     for k, (index, rows) in enumerate(zip((i1, i2, i3), by_row)):
+        order = np.argsort(index, kind="stable")
+        touched, starts = np.unique(index[order], return_index=True)
         total = np.zeros((shape.p[k], shape.width(k)))
-        np.add.at(total, index, rows.reshape(n, -1))
+        total[touched] = np.add.reduceat(rows.reshape(n, -1)[order], starts)
         sums.append(total)
     return sums
 
@@ -70,23 +73,24 @@ def tt_core_gradients(grads: DataFrame, cores: DataFrame, shape: FactoredShape,
         grads = vector_sum(grads, ["id"], "vec", shape.dim)
     shared = grads.sparkSession.sparkContext.broadcast(load_cores(cores, shape))
 
-    def fold(frames):
-        totals = None
+    def fold(batches):
+        totals = [np.zeros((shape.p[k], shape.width(k))) for k in range(3)]
         touched = [np.zeros(p, dtype=bool) for p in shape.p]
-        for frame in frames:
-            if len(frame) == 0:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            ids = frame["id"].to_numpy(dtype=np.int64)
-            part = _core_gradients(ids, np.stack(frame["vec"].to_numpy()).astype(float), shared.value, shape)
-            totals = part if totals is None else [x + y for x, y in zip(totals, part)]
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = _core_gradients(ids, to_matrix(batch.column(1), shape.dim), shared.value, shape)
             for k, index in enumerate(_digits(ids, shape)[1:]):
+                totals[k] += part[k]
                 touched[k][index] = True
-        if totals is not None:
-            for k in range(3):
-                rows = np.flatnonzero(touched[k])
-                yield pd.DataFrame({"core": k, "i": rows, "vec": list(totals[k][rows])})
+        for k in range(3):
+            rows = np.flatnonzero(touched[k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), k)), pa.array(rows), from_matrix(totals[k][rows])], names=["core", "i", "vec"]
+            )
 
-    folded = grads.select("id", "vec").mapInPandas(fold, "core bigint, i bigint, vec array<double>")
+    folded = grads.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(fold, "core bigint, i bigint, vec array<double>")
     partial = materialize(folded, "core-gradients")
     # every core has its own width, so each is summed at that width
     summed = [

@@ -135,7 +135,7 @@ def load_cores(cores: DataFrame, shape: FactoredShape, limit: int = CORE_LIMIT_B
     if shape.core_bytes > limit:
         raise ValueError(f"cores take {shape.core_bytes} bytes, more than {limit}; use the join form")
     arrays = [np.zeros((shape.p[c], shape.width(c))) for c in range(3)]
-    for row in cores.select("core", "i", "vec").toLocalIterator():
+    for row in cores.select("core", "i", "vec").collect():
         arrays[row["core"]][row["i"]] = row["vec"]
     return arrays
 

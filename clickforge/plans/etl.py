@@ -89,7 +89,7 @@ def read_file_order(t):
 select 'events.parquet' as source_file, event_type, count(*) as n from events group by event_type""")
 def write_by_source(t):
     path = scratch(t, "bysource")
-    tables.write_parquet(t.events.select("event_type", "event_id"), path, by_source=True)
+    tables.write_parquet(t.scan("events").select("event_type", "event_id"), path, by_source=True)
     return t.spark.read.parquet(path).groupBy("source_file", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

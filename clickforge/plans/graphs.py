@@ -139,7 +139,7 @@ def compose_check(t):
     """Re-ordering of the users behind the 5% most frequent: a bijection that leaves the hot ids alone."""
     users = t.clicks.select("pos", F.col("user_id").alias("id"))
     counts = users.groupBy(F.lit("id").alias("field"), "id").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = profile.store_bijection(profile.frequency_rank(counts))
+    ranks = profile.frequency_rank(counts)
     hot = int(ranks.count() * 0.05)
     ranked = profile.apply_bijection(users, ranks, ["id"])
     final = graph.reorder_cold_ids(ranked, ranks, "id", "pos", hot, BATCH)

@@ -63,7 +63,7 @@ def frequency_rank(t):
 select l_orderkey, l_linenumber, p.new_id as l_partkey, s.new_id as l_suppkey from lineitem
 join ranks p on p.field = 'l_partkey' and p.old_id = l_partkey join ranks s on s.field = 'l_suppkey' and s.old_id = l_suppkey""")
 def apply_bijection(t):
-    bijection = profile.store_bijection(_ranks(t))
+    bijection = _ranks(t)
     rows = t.lineitem.select("l_orderkey", "l_linenumber", *LINE_FIELDS)
     return profile.apply_bijection(rows, bijection, LINE_FIELDS)
 

@@ -13,15 +13,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# a unique or nearly unique key of each large table
+SPREAD_KEYS = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "orders": ["o_orderkey"], "events": ["event_id"],
+}
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal the rows of a table with too few files out to all cores.
+
+    A Parquet row group is read by one task, so everything up to the first shuffle would run on one
+    core. Tables with at least one file per core, and tiny ones, are scanned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 class Tables:
     """The driver tables of one scale factor."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def scan(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def __getattr__(self, name: str) -> DataFrame:
+        df = self.scan(name)
+        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+
     @property
     def clicks(self) -> DataFrame:
         """Events as a click log; event_id is the dense row position."""
