@@ -282,6 +282,15 @@ def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot
     return compose_bijection(ranks, shifted, hot)
 
 
+def order_graph(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Communities (v, community) and new numbering (old, new) of an edge list (src, dst)."""
+    weights = materialize(edge_weights(edges), "edges")
+    n = vertex_count(edges).first()["n"]
+    forest = materialize(communities(weights, n, max_rounds), "forest")
+    members = trace_community(forest).select("v", F.col("root").alias("community"))
+    return members, permutation(forest)
+
+
 def check_partition(forest: DataFrame, perm: DataFrame, n: int) -> DataFrame:
     """One verdict row: every vertex has one top, tops are their own parents, the permutation covers [0, n)."""
     traced = trace_community(forest)

@@ -204,3 +204,17 @@ def file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
         F.monotonically_increasing_id().alias("_line"),
     )
     return tagged, ["_file", "_block", "_line"]
+
+
+def index_file_rows(scan: DataFrame, pos: str = "pos") -> DataFrame:
+    """Add the 0-based position of each row in file order, without moving the rows.
+
+    Only (file, block, row count) is aggregated and summed up, one row per scan split; every row
+    then gets its block's start plus its place in the block. ``scan`` must be the bare file scan.
+    """
+    tagged, keys = file_order(scan)
+    blocks = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+    ends = running(blocks, ["_file", "_block"], "_n", "_end")
+    starts = ends.select("_file", "_block", "_first", (F.col("_end") - F.col("_n")).alias("_start"))
+    joined = tagged.join(materialize(starts, "blocks"), ["_file", "_block"])
+    return joined.select(*scan.columns, (F.col("_start") + F.col("_line") - F.col("_first")).alias(pos))

@@ -81,8 +81,7 @@ def read_file_order(t):
     t.lineitem.select(F.lit(0).alias("label"), *order).orderBy(*order).select(
         "label", "l_orderkey", F.hex("l_partkey")).write.csv(path, sep="\t")
     rows = clicks.read_clicks(t.spark, path, n_ints=1, n_cats=1, keep_order=True)
-    indexed = index_rows(rows, ["_file", "_block", "_line"])
-    return indexed.select(F.col("I1").cast("bigint").alias("l_orderkey"), F.col("C1").alias("l_partkey"), "pos")
+    return rows.select(F.col("I1").cast("bigint").alias("l_orderkey"), F.col("C1").alias("l_partkey"), "pos")
 
 
 @query("write_by_source", """

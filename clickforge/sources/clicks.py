@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickforge.functions.scalars import hex_to_long
-from clickforge.operators.ordering import file_order
+from clickforge.operators.ordering import index_file_rows
 
 CLICK_INTS, CLICK_CATS = 13, 26
 AD_CATS = 20
@@ -28,12 +28,12 @@ def read_clicks(spark: SparkSession, paths: str | Sequence[str], n_ints: int = C
                 keep_order: bool = False) -> DataFrame:
     """Headerless tab-separated click files: label, I1.., C1.. with hex ids as BIGINT; empty fields are null.
 
-    ``keep_order`` adds the columns ``_file, _block, _line`` that order rows as in the files.
+    ``keep_order`` adds ``pos``, the position of each row in file order.
     """
     raw = spark.read.schema(click_schema(n_ints, n_cats)).csv(paths if isinstance(paths, str) else list(paths), sep="\t")
     order: list[str] = []
     if keep_order:
-        raw, order = file_order(raw)
+        raw, order = index_file_rows(raw), ["pos"]
     return raw.select(
         "label", *[f"I{i}" for i in range(1, n_ints + 1)],
         *[hex_to_long(f"C{i}").alias(f"C{i}") for i in range(1, n_cats + 1)], *order,
@@ -50,7 +50,7 @@ def read_ad_log(spark: SparkSession, paths: str | Sequence[str], keep_order: boo
     raw = spark.read.schema(schema).csv(paths if isinstance(paths, str) else list(paths), header=True, enforceSchema=True)
     order: list[str] = []
     if keep_order:
-        raw, order = file_order(raw)
+        raw, order = index_file_rows(raw), ["pos"]
 
     def text(c: str):
         return F.substring_index(F.col(c), " ", 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickforge.operators.batching import pack_features
-from clickforge.operators.ordering import file_order, index_rows
+from clickforge.operators.ordering import index_file_rows
 from clickforge.operators.profile import batch_inverse, batch_sizes, batch_unique, max_unique, unique_offsets
 
 DATASETS = ("kaggle", "avazu", "terabyte")
@@ -110,6 +110,5 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_loss_series(spark: SparkSession, path: str, model: str) -> DataFrame:
     """(model, iter, loss) from a text file with one number per line, in file order."""
-    ordered, columns = file_order(spark.read.text(path))
-    numbered = index_rows(ordered.filter(F.trim("value") != ""), columns, "iter", "loss")
+    numbered = index_file_rows(spark.read.text(path), "iter")
     return numbered.select(F.lit(model).alias("model"), "iter", F.trim("value").cast("double").alias("loss"))
