@@ -53,15 +53,19 @@ def assign_batches(
     batch: str = "batch",
     in_batch: str = "in_batch",
     drop_last: bool = True,
+    n_rows: int | None = None,
 ) -> DataFrame:
-    """Number the mini-batches and the rows inside them; an incomplete last batch is dropped."""
+    """Number the mini-batches and the rows inside them; an incomplete last batch is dropped.
+
+    ``n_rows`` saves counting the rows where their number is known.
+    """
     rows = _positioned(df, order_by, pos)
     out = rows.withColumn(batch, int_div(pos, batch_size)).withColumn(
         in_batch, F.pmod(F.col(pos), F.lit(batch_size)).cast("bigint")
     )
     if not drop_last:
         return out
-    full = rows.agg(int_div(F.count(F.lit(1)), batch_size)).scalar()
+    full = rows.agg(int_div(F.count(F.lit(1)), batch_size)).scalar() if n_rows is None else F.lit(n_rows // batch_size)
     return out.filter(F.col(batch) < full)
 
 

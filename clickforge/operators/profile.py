@@ -259,9 +259,10 @@ def access_profile(df: DataFrame, fields: Sequence[str], pos: str, batch_size: i
     (batch, field, n_rows, n_unique, max_rank, reuse); full batches only.
     """
     rows = df.select(pos, *fields)
-    mapping, unknown = rank_encoding(categorify_fit(rows, fields, max_size), rows.count())
+    n_rows = rows.count()
+    mapping, unknown = rank_encoding(categorify_fit(rows, fields, max_size), n_rows)
     renumbered = apply_mapping(rows, mapping, fields, new="new_id", default=unknown)
-    batches = assign_batches(renumbered, batch_size, pos=pos)
+    batches = assign_batches(renumbered, batch_size, pos=pos, n_rows=n_rows)
     sizes = batch_sizes(batches, fields)
     return sizes.select(
         "batch", "field", "n_rows", "n_unique", F.col("max_id").alias("max_rank"),

@@ -54,14 +54,14 @@ def best_epoch(t):
 
 @query("align_curves", f"""with {CLICKS}
 select * from (select pos // 512 as iter, {_bce('50.0')} as a, {_bce('25.0')} as b, {_bce('100.0')} as c from clicks group by all)
-where iter < (select count(*) // 1024 from clicks)""")
+where iter <= (select count(*) // 1024 from clicks)""")
 def align_curves(t):
     """Three models; the third was logged for half of the iterations."""
     curves = []
     for model, width in (("a", 50.0), ("b", 25.0), ("c", 100.0)):
         curve = evaluate.bce_per_batch(_scored(t, width), "score", "label").select(F.lit(model).alias("model"), F.col("batch").alias("iter"), "loss")
         curves.append(curve)
-    curves[2] = curves[2].filter(F.col("iter") < t.clicks.count() // 1024)
+    curves[2] = curves[2].filter(F.col("iter") <= t.clicks.count() // 1024)
     return evaluate.align_curves(curves[0].union(curves[1]).union(curves[2]), ["a", "b", "c"])
 
 
