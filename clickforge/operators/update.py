@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickforge.functions.arrow import from_matrix, to_matrix
+from clickforge.functions.scalars import mixed_radix
 from clickforge.functions.vectors import add_scaled, vector_sum
-from clickforge.operators.vectors import FactoredShape, _digits, load_cores
+from clickforge.operators.vectors import CORE_LIMIT_BYTES, FactoredShape, _digits, load_cores
 from clickforge.session import materialize
 
 
@@ -39,13 +40,10 @@ def replica_average(replicas: DataFrame, keys: Sequence[str], dim: int, vec: str
     return vector_sum(replicas, keys, vec, dim, mean=how == "avg")
 
 
-def _core_gradients(ids: np.ndarray, grads: np.ndarray, cores: list[np.ndarray], shape: FactoredShape) -> list[np.ndarray]:
-    """Chain rule through the three cores for many rows, added up per core row."""
-    _, i1, i2, i3 = _digits(ids, shape)
-    n = len(ids)
-    a, b, c = (
-        cores[k][i].reshape(n, *shape.edge(k)) for k, i in enumerate((i1, i2, i3))
-    )
+def _row_gradients(picked: Sequence[np.ndarray], grads: np.ndarray, shape: FactoredShape) -> list[np.ndarray]:
+    """Chain rule for many rows: one gradient per row and core from the rows' three core vectors."""
+    n = len(grads)
+    a, b, c = (vec.reshape(n, *shape.edge(k)) for k, vec in enumerate(picked))
     g = grads.reshape(n, *shape.q)
     a, c = a[:, 0], c[..., 0]  # outer ranks are 1
     by_row = (
@@ -53,45 +51,83 @@ def _core_gradients(ids: np.ndarray, grads: np.ndarray, cores: list[np.ndarray],
         np.einsum("nxyz,nxr,nsz->nrys", g, a, c, optimize=True),
         np.einsum("nxyz,nxr,nrys->nsz", g, a, b, optimize=True),
     )
-    sums = []
-    for k, (index, rows) in enumerate(zip((i1, i2, i3), by_row)):
-        order = np.argsort(index, kind="stable")
-        touched, starts = np.unique(index[order], return_index=True)
-        total = np.zeros((shape.p[k], shape.width(k)))
-        total[touched] = np.add.reduceat(rows.reshape(n, -1)[order], starts)
-        sums.append(total)
-    return sums
+    return [rows.reshape(n, -1) for rows in by_row]
 
 
-def tt_core_gradients(grads: DataFrame, cores: DataFrame, shape: FactoredShape, dedup: bool = True) -> DataFrame:
-    """(core, i, vec): gradients of the cores from row gradients (id, vec).
+def _sum_by_index(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices and the sums of their rows."""
+    order = np.argsort(index, kind="stable")
+    touched, starts = np.unique(index[order], return_index=True)
+    return touched, np.add.reduceat(rows[order], starts)
 
-    Gradients of equal ids are added first. Each task adds its rows into one buffer of the
-    cores' size, and the buffers are summed per core row.
-    """
-    if dedup:
-        grads = vector_sum(grads, ["id"], "vec", shape.dim)
+
+def _core_batch(core: int, index: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(index), core)), pa.array(index), from_matrix(rows)], names=["core", "i", "vec"]
+    )
+
+
+def _ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+CORE_ROWS = "core bigint, i bigint, vec array<double>"
+
+
+def _gradients_from_broadcast(grads: DataFrame, cores: DataFrame, shape: FactoredShape) -> DataFrame:
+    """Each task adds its rows into one buffer of the cores' size."""
     shared = grads.sparkSession.sparkContext.broadcast(load_cores(cores, shape))
 
     def fold(batches):
         totals = [np.zeros((shape.p[k], shape.width(k))) for k in range(3)]
-        touched = [np.zeros(p, dtype=bool) for p in shape.p]
+        seen = [np.zeros(p, dtype=bool) for p in shape.p]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = _core_gradients(ids, to_matrix(batch.column(1), shape.dim), shared.value, shape)
-            for k, index in enumerate(_digits(ids, shape)[1:]):
-                totals[k] += part[k]
-                touched[k][index] = True
+            digits = _digits(_ids_of(batch), shape)[1:]
+            picked = [shared.value[k][digits[k]] for k in range(3)]
+            for k, rows in enumerate(_row_gradients(picked, to_matrix(batch.column(1), shape.dim), shape)):
+                touched, sums = _sum_by_index(digits[k], rows)
+                totals[k][touched] += sums
+                seen[k][touched] = True
         for k in range(3):
-            rows = np.flatnonzero(touched[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), k)), pa.array(rows), from_matrix(totals[k][rows])], names=["core", "i", "vec"]
-            )
+            index = np.flatnonzero(seen[k])
+            yield _core_batch(k, index, totals[k][index])
+
+    return grads.mapInArrow(fold, CORE_ROWS)
 
-    folded = grads.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(fold, "core bigint, i bigint, vec array<double>")
-    partial = materialize(folded, "core-gradients")
+
+def _gradients_from_join(grads: DataFrame, cores: DataFrame, shape: FactoredShape) -> DataFrame:
+    """For cores beyond the broadcast limit: they are joined on their indices, sums form per Arrow batch."""
+    rows = grads.withColumns({f"_i{k}": digit for k, digit in enumerate(mixed_radix("id", shape.p))})
+    for k in range(3):
+        core = cores.filter(F.col("core") == k).select(F.col("i").cast("bigint").alias(f"_i{k}"), F.col("vec").alias(f"_c{k}"))
+        rows = rows.join(core, f"_i{k}")
+
+    def fold(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            digits = _digits(_ids_of(batch), shape)[1:]
+            picked = [to_matrix(batch.column(2 + k), shape.width(k)) for k in range(3)]
+            for k, by_row in enumerate(_row_gradients(picked, to_matrix(batch.column(1), shape.dim), shape)):
+                yield _core_batch(k, *_sum_by_index(digits[k], by_row))
+
+    return rows.select("id", "vec", "_c0", "_c1", "_c2").mapInArrow(fold, CORE_ROWS)
+
+
+def tt_core_gradients(grads: DataFrame, cores: DataFrame, shape: FactoredShape, dedup: bool = True,
+                      limit: int = CORE_LIMIT_BYTES) -> DataFrame:
+    """(core, i, vec): gradients of the cores from row gradients (id, vec).
+
+    Gradients of equal ids are added first. Sums form inside the tasks before the shuffle; the cores
+    are broadcast when their size, known from the shape, is within the limit, else joined.
+    """
+    if dedup:
+        grads = vector_sum(grads, ["id"], "vec", shape.dim)
+    grads = grads.select(F.col("id").cast("bigint").alias("id"), "vec")
+    form = _gradients_from_broadcast if shape.core_bytes <= limit else _gradients_from_join
+    partial = materialize(form(grads, cores, shape), "core-gradients")
     # every core has its own width, so each is summed at that width
     summed = [
         vector_sum(partial.filter(F.col("core") == k), ["core", "i"], "vec", shape.width(k)) for k in range(3)

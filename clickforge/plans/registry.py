@@ -17,18 +17,19 @@ SQL: dict[str, str] = {}
 SPREAD_KEYS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "orders": ["o_orderkey"], "events": ["event_id"],
 }
-SPREAD_BYTES = 1 << 20
+SPREAD_BYTES = (1 << 20, 1 << 30)  # from, below
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Deal the rows of a table with too few files out to all cores.
 
     A Parquet row group is read by one task, so everything up to the first shuffle would run on one
-    core. Tables with at least one file per core, and tiny ones, are scanned as they are.
+    core. Only tables below the upper limit are dealt out: a large table has enough splits, and
+    shuffling it would cost more than it saves. Tiny ones are scanned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_BYTES or len(df.inputFiles()) >= cores:
+    if not SPREAD_BYTES[0] <= size < SPREAD_BYTES[1] or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *keys)
 

@@ -12,6 +12,7 @@ from clickforge.operators.batching import pack_features
 from clickforge.operators.ordering import index_file_rows
 from clickforge.operators.profile import batch_inverse, batch_sizes, batch_unique, max_unique, unique_offsets
 
+# fixed values: the names of the saved training matrices
 DATASETS = ("kaggle", "avazu", "terabyte")
 VARIANTS = tuple(f"{d}{kind}" for d in DATASETS for kind in ("", "_reordered"))
 

@@ -223,6 +223,8 @@ def test_core_gradients_equal_numeric_ones(spark, cores):
         return float((vectors.factored_vectors(np.array(ids), arrays, SHAPE) * grads).sum())
 
     found = {(r["core"], r["i"]): r["vec"] for r in update.tt_core_gradients(frame, cores, SHAPE).collect()}
+    joined = {(r["core"], r["i"]): r["vec"] for r in update.tt_core_gradients(frame, cores, SHAPE, limit=0).collect()}
+    assert joined == found
     for k in range(3):
         for i in range(SHAPE.p[k]):
             numeric = []

@@ -101,3 +101,14 @@ def test_scratch_tables_can_be_released(spark):
     assert stored.count() == 5 and checkpoint_root(spark)
     assert release_scratch(spark) >= 1
     assert release_scratch(spark) == 0
+
+
+def test_command_line_numbering(spark, tmp_path):
+    from clickforge import reorder
+
+    (tmp_path / "edges.txt").write_text("0 1\n1 2\n0 2\n")
+    reorder.main([str(tmp_path / "edges.txt"), str(tmp_path / "order")])
+    lines = [r[0].split() for r in spark.read.text(str(tmp_path / "order")).collect()]
+    assert sorted(int(old) for old, _ in lines) == sorted(int(new) for _, new in lines) == [0, 1, 2]
+    reorder.main(["-c", str(tmp_path / "edges.txt"), str(tmp_path / "members")])
+    assert len({r[0].split()[1] for r in spark.read.text(str(tmp_path / "members")).collect()}) == 1
