@@ -16,18 +16,21 @@ def _positioned(df: DataFrame, order_by: Sequence[Column | str] | None, pos: str
     return df if order_by is None else index_rows(df, order_by, pos)
 
 
+def flag_prefix(
+    df: DataFrame, frac: float, order_by=None, pos: str = "pos", out: str = "train", inclusive: bool = False
+) -> DataFrame:
+    """Add a boolean that is true for the first ``frac`` of the rows; ``inclusive`` makes it one row more."""
+    rows = _positioned(df, order_by, pos)
+    edge = F.floor(rows.agg(F.count(F.lit(1))).scalar() * F.lit(frac)).cast("bigint")
+    return rows.withColumn(out, F.col(pos) <= edge if inclusive else F.col(pos) < edge)
+
+
 def split_prefix(
     df: DataFrame, frac: float, order_by=None, pos: str = "pos", inclusive: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """First ``frac`` of the rows, and the rest.
-
-    ``inclusive`` gives the first part one row more.
-    """
-    rows = _positioned(df, order_by, pos)
-    n = rows.agg(F.count(F.lit(1))).scalar()
-    edge = F.floor(n * F.lit(frac)).cast("bigint")
-    first = F.col(pos) <= edge if inclusive else F.col(pos) < edge
-    return rows.filter(first), rows.filter(~first)
+    """First ``frac`` of the rows, and the rest."""
+    flagged = flag_prefix(df, frac, order_by, pos, "_first", inclusive)
+    return flagged.filter("_first").drop("_first"), flagged.filter("not _first").drop("_first")
 
 
 def split_every_nth(

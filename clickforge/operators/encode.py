@@ -93,12 +93,14 @@ def _cleaned(name: str, fill: float, low: float | None):
 
 def normalize_fit(df: DataFrame, fields: Sequence[str], fill: float = 0.0, low: float | None = 0.0) -> DataFrame:
     """(field, mean, std) of the filled and clipped columns; sample standard deviation, one scan."""
-    packed = df.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), _cleaned(f, fill, low).alias("x")) for f in fields
-    ])).alias("e"))
-    return packed.groupBy("e.field").agg(
-        F.avg("e.x").alias("mean"), F.coalesce(F.stddev_samp("e.x"), F.lit(0.0)).alias("std")
-    )
+    moments = df.agg(*[
+        F.struct(
+            F.lit(f).alias("field"),
+            F.avg(_cleaned(f, fill, low)).alias("mean"),
+            F.coalesce(F.stddev_samp(_cleaned(f, fill, low)), F.lit(0.0)).alias("std"),
+        ).alias(f) for f in fields
+    ])
+    return moments.select(F.explode(F.array(*fields)).alias("m")).select("m.*")
 
 
 def normalize_apply(

@@ -284,8 +284,7 @@ select l_orderkey, l_linenumber, l_partkey, train, cast(round((x1 - m1) / s1, 4)
   cast(round((x2 - m2) / s2, 4) as double) as price from r, m""")
 def fill_clip_normalize(t):
     """Moments come from the training orders only and are applied to all rows."""
-    train, valid = batching.split_prefix(t.orders.select("o_orderkey", "o_orderdate"), 0.9, ["o_orderdate", "o_orderkey"])
-    split = train.withColumn("train", F.lit(True)).union(valid.withColumn("train", F.lit(False)))
+    split = batching.flag_prefix(t.orders.select("o_orderkey", "o_orderdate"), 0.9, ["o_orderdate", "o_orderkey"])
     rows = t.lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey",
         F.nullif("l_discount", F.lit(0.0)).alias("discount"), (F.col("l_extendedprice") - 20000).alias("price"),

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, app: str = "clickforge", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        # generated methods above 8000 bytes (sums of wide vectors) are never compiled by the JVM
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
