@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def local_session(cpus: int | str = 8, app: str = "clickforge", **conf: str) ->
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting gets a temporary folder of its own.
+    Only a one-process session (``local[...]``, as in tests) without that setting gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -38,7 +39,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="clickforge-")
     spark.sparkContext.setCheckpointDir(root)
