@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickforge.llm import packing, quality, simhash, token_files
+from clickforge.llm import containment, licences, mixing, packing, quality, simhash, token_files, toxicity, url_graph, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,17 +37,48 @@ def quality_rules(spark, folder):
     return scored.select("doc_id", *[F.col(q)[m].alias(m) for m in measures], F.round(F.col(q)["score"], 6).alias("score"))
 
 
+@query("op2_source_mixing")
+def source_mixing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix(docs, copy="copy").select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"))
+
+
 @query("op3_simhash_near_dedup")
 def simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op4_licence_scan")
+def licence_scan(spark, folder):
+    return licences.scan_licences(table(spark, folder, "documents"))
+
+
 @query("op5_best_fit_packing")
 def best_fit_packing(spark, folder):
     docs = table(spark, folder, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+@query("op6_html_wrappers")
+def html_wrappers(spark, folder):
+    return wrappers.extract_text(table(spark, folder, "pages"))
+
+
+@query("op7_toxicity")
+def toxic_documents(spark, folder):
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_containment_fingerprints")
+def containment_fingerprints(spark, folder):
+    return containment.compare_edited(table(spark, folder, "documents"))
+
+
+@query("op9_url_graph_filter")
+def url_graph_filter(spark, folder):
+    return url_graph.judge(table(spark, folder, "pages"))
+
+
 @query("op10_token_files")
 def token_id_files(spark, folder):
     docs = table(spark, folder, "documents")
