@@ -285,7 +285,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, text: str, name: str) -> Dat
             yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], names=batch.schema.names)
 
     rows = docs.select(*columns, whole(text).alias(name))
-    return rows.mapInArrow(run, docs.schema.add(name, "double"))
+    return rows.mapInArrow(run, docs.select(*columns).schema.add(name, "double"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
