@@ -25,10 +25,8 @@ scored alike; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,11 +36,13 @@ from pyspark.sql import functions as F
 
 from clickforge.llm.common import free_name, whole
 
-SAMPLE = 4000
+SAMPLE = 3000
 LANDMARKS, ROUNDS, HARD, CLEAR = 384, 4, 6000, 8.0
 SPAN, DECAY, CODES, WINDOW = 5, 0.6, 40, 24
+STARTS = (4, 5, 6, 7)  # letters
 RIDGE = 1e-5
 CACHE_ENTRIES = 1 << 20
+CHUNK = 1 << 14  # words worked on at a time
 
 _APART = re.compile(r"(?:(?:^|(?<=\s))[^\W\d_][.,\-_*]?(?:\s+|$)){3,}")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -75,13 +75,14 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for a in range(0, max(1, len(codes) - WINDOW // 2), WINDOW // 2):
             rows.append(codes[a : a + WINDOW])
             owner.append(k)
-    table = np.zeros((len(rows), WINDOW), np.int32)
+    table = np.zeros((len(rows), WINDOW), np.uint8)
     for r, codes in enumerate(rows):
         table[r, : len(codes)] = codes
     return table, np.array(owner, np.int64)
 
 
 def _parts(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    table = table.astype(np.int32)
     for i, j, weight in _GAPS:
         last = table[:, j:]
         yield (table[:, : WINDOW - j] * CODES + table[:, i : WINDOW - j + i]) * CODES + last, last > 0, weight
@@ -89,6 +90,8 @@ def _parts(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
 
 def project(table: np.ndarray, vector: np.ndarray) -> np.ndarray:
     """Each window's normalised features times the vector."""
+    if len(table) > CHUNK:
+        return np.concatenate([project(table[a : a + CHUNK], vector) for a in range(0, len(table), CHUNK)])
     total, norm = np.zeros(len(table)), np.full(len(table), 1e-12)
     for feature, real, weight in _parts(table):
         total += weight * np.where(real, vector[feature], 0.0).sum(axis=1)
@@ -160,20 +163,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(bags: list[tuple[int, list[str]]]) -> ToxicModel:
-    """Train on (label, distinct words) of documents."""
-    labels = np.array([y for y, _ in bags])
-    if len(set(labels.tolist())) < 2:
-        return ToxicModel(np.zeros(CODES**3), 0.0, 1.0, 0.0, float(labels.mean()) if len(bags) else 0.0)
+def fit(bags: Iterable[tuple[int, Iterable[str]]]) -> ToxicModel:
+    """Train on (label, distinct words) of documents; the words are read once and kept as numbers."""
     vocabulary: dict[str, int] = {}
-    held = [np.unique([vocabulary.setdefault(_NO_LETTERS.sub("", w), len(vocabulary)) for w in words]).astype(np.int64) for _, words in bags]
+    held, labels = [], []
+    for y, words in bags:
+        labels.append(y)
+        held.append(np.unique(np.fromiter((vocabulary.setdefault(_NO_LETTERS.sub("", w), len(vocabulary)) for w in words), np.int32)))
+    labels = np.array(labels, np.int64)
+    if len(set(labels.tolist())) < 2:
+        return ToxicModel(np.zeros(CODES**3), 0.0, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0)
     names = list(vocabulary)
-    counts = np.zeros((2, len(names)))
-    starts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2))
+    starts: dict[str, int] = {}
+    start_of = np.array([[starts.setdefault(w[:k], len(starts)) if len(w) >= k else -1 for k in STARTS] for w in names], np.int32)
+    n_starts = len(starts)
+    del starts
+    counts, start_counts = np.zeros((2, len(names)), np.int32), np.zeros((2, n_starts + 1), np.int32)
     for y, own in zip(labels, held):
         counts[y][own] += 1
-        for start in {names[k][:n] for k in own for n in (4, 5, 6, 7)}:
-            starts[start][y] += 1
+        start_counts[y][np.unique(start_of[own])] += 1
+    start_counts[:, -1] = 0  # of words too short for a start
     n = np.bincount(labels, minlength=2)
 
     def excess(toxic, clean):
@@ -181,22 +190,19 @@ def fit(bags: list[tuple[int, list[str]]]) -> ToxicModel:
         return (toxic - expected) / np.sqrt(expected + 1)
 
     whole_word = excess(counts[1], counts[0])
-    by_start = np.array([max((excess(*starts[w[:k]][::-1]) for k in (4, 5, 6, 7) if len(w) >= k), default=0.0) for w in names])
-    score = np.maximum(whole_word, by_start)
+    score = np.maximum(whole_word, excess(start_counts[1], start_counts[0])[start_of].max(axis=1))
     table, owner = coded(names)
     clean = np.flatnonzero(counts[0] > 0)
     # landmarks: the most suspicious words, and clean words spread over the vocabulary
     top = np.argsort(-score, kind="stable")[: LANDMARKS // 2]
     rest = clean[:: max(1, len(clean) // (LANDMARKS // 2))][: LANDMARKS // 2]
-    features = spread(coded([names[k] for k in np.unique(np.r_[top, rest])])[0])
-    values, vectors = np.linalg.eigh((features @ features.T).astype(np.float64))
+    by_feature = np.ascontiguousarray(spread(coded([names[k] for k in np.unique(np.r_[top, rest])])[0]).T)
+    values, vectors = np.linalg.eigh((by_feature.T @ by_feature).astype(np.float64))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # kernel row times this is a word's Nystroem features
 
-    by_feature = np.ascontiguousarray(features.T)
-
     def nystroem(rows: np.ndarray) -> np.ndarray:
-        kernel, norm = np.zeros((len(rows), features.shape[0])), np.full(len(rows), 1e-12)
+        kernel, norm = np.zeros((len(rows), by_feature.shape[1])), np.full(len(rows), 1e-12)
         for feature, real, weight in _parts(rows):
             for c in range(feature.shape[1]):
                 own = np.flatnonzero(real[:, c])
@@ -225,9 +231,10 @@ def fit(bags: list[tuple[int, list[str]]]) -> ToxicModel:
         rows = np.concatenate([table[first[np.r_[positive, negative]]], changed])
         signs = np.r_[np.ones(len(positive)), -np.ones(len(negative)), np.ones(len(changed))]
         w = _machine(nystroem(rows), signs)
-        vector = (features.T @ (root @ w[:-1])).astype(np.float64)
+        vector = by_feature @ (root @ w[:-1])
         model = ToxicModel(vector, float(w[-1]), 1.0, 0.0)
-        score = np.where(usable, model.raw(names), -np.inf)
+        score = np.full(len(names), -np.inf)
+        np.maximum.at(score, owner, project(table, vector) + model.bias)
     else:
         top = np.array([score[own].max(initial=model.bias) if len(own) else model.bias for own in held])
         top = np.maximum(top, model.bias)
@@ -260,8 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.select(F.col(key).alias("k"), whole(text).alias("t")).join(F.broadcast(chosen), "k")
     rows = texts.select("k", "y", "t").mapInArrow(bag, "k long, y int, words string").dropDuplicates(["k"]).toArrow()
     order = np.argsort(rows.column("k").to_numpy(), kind="stable")
-    y, words = rows.column("y").to_pylist(), rows.column("words").to_pylist()
-    return fit([(y[i], words[i].split()) for i in order])
+    y, words = rows.column("y"), rows.column("words")
+    return fit((y[i].as_py(), words[i].as_py().split()) for i in order.tolist())
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, text: str, name: str) -> DataFrame:
@@ -277,8 +284,8 @@ def score_texts(docs: DataFrame, model: ToxicModel, text: str, name: str) -> Dat
             if len(known) > CACHE_ENTRIES:
                 known.clear()
                 unknown = list(set().union(*bags))
-            for a in range(0, len(unknown), 20000):
-                part = unknown[a : a + 20000]
+            for a in range(0, len(unknown), CHUNK):
+                part = unknown[a : a + CHUNK]
                 known.update(zip(part, model.raw(part).tolist()))
             margins = np.array([max(map(known.__getitem__, b), default=model.bias) for b in bags])
             scores = model.chance(np.maximum(margins, model.bias))
