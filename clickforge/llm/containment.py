@@ -79,7 +79,7 @@ def _longs(values: list) -> Column:
 def with_next(rows: DataFrame, key: str, text: str, tie: str, carried: list[str]) -> DataFrame:
     """``rows`` and, for each carried column, ``next_`` of it: its value in the next row in descending order of
     the key (then ascending ``tie``, nulls last); after the last row comes the first."""
-    ranges = min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(MOST_RANGES, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at_cuts = [i / ranges for i in range(1, ranges)] or [0.5]
     cuts = rows.agg(F.percentile_approx(key, at_cuts, 10 * ranges).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))

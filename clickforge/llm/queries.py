@@ -37,7 +37,19 @@ def quality_rules(spark, folder):
     return scored.select("doc_id", *[F.col(q)[m].alias(m) for m in measures], F.round(F.col(q)["score"], 6).alias("score"))
 
 
-@query("op2_source_mixing")
+MIXING_SQL = """
+with sizes as (select source, count(*) as n, sqrt(count(*)) as w from documents group by source),
+means as (select source, w / sum(w) over () * sum(n) over () / n as mean from sizes),
+steps as (select source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) over (partition by source order by k) as reached
+  from means, range(0, 500) r(k)),
+drawn as (select doc_id, source, (cast('0x' || substr(md5('42:' || doc_id || ':count'), 1, 13) as bigint)::double + 0.5)
+  / 4503599627370496.0 as u from documents),
+counted as (select doc_id, drawn.source, (select count(*) from steps s where s.source = drawn.source and s.reached < u) as n from drawn)
+select doc_id, source, unnest(range(0, n)) as copy from counted
+"""
+
+
+@query("op2_source_mixing", MIXING_SQL)
 def source_mixing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.mix(docs, copy="copy").select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"))

@@ -171,9 +171,10 @@ _FRONTS = list(combinations(range(len(BLOCKS)), 2))
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (front, lot, side, mark) of whole lots to a forest of links (a, b)."""
-    table = pa.Table.from_batches(batches)
-    if not table.num_rows:
+    own = list(batches)
+    if not own:
         return
+    table = pa.Table.from_batches(own)
     front, lot, side, mark = (table.column(i).to_numpy() for i in range(4))
     mark = mark.view(np.uint64)
     out_a, out_b = [], []
