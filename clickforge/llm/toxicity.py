@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 
 from clickforge.llm.common import free_name, whole
 
-SAMPLE = 3000
-LANDMARKS, ROUNDS, HARD, CLEAR = 384, 4, 6000, 8.0
+SAMPLE = 2000
+LANDMARKS, ROUNDS, HARD, CLEAR = 256, 4, 4000, 8.0
 SPAN, DECAY, CODES, WINDOW = 5, 0.6, 40, 24
 STARTS = (4, 5, 6, 7)  # letters
 RIDGE = 1e-5
-CACHE_ENTRIES = 1 << 20
-CHUNK = 1 << 14  # words worked on at a time
+CACHE_ENTRIES = 1 << 19
+TEXTS = 256  # whose words are held at a time
+CHUNK = 1 << 13  # words worked on at a time
 
 _APART = re.compile(r"(?:(?:^|(?<=\s))[^\W\d_][.,\-_*]?(?:\s+|$)){3,}")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -279,16 +280,17 @@ def score_texts(docs: DataFrame, model: ToxicModel, text: str, name: str) -> Dat
         known: dict[str, float] = {}
         for batch in batches:
             *rest, texts = batch.columns
-            bags = [words_in(t) for t in texts.to_pylist()]
-            unknown = list(set().union(*bags).difference(known))
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-                unknown = list(set().union(*bags))
-            for a in range(0, len(unknown), CHUNK):
-                part = unknown[a : a + CHUNK]
-                known.update(zip(part, model.raw(part).tolist()))
-            margins = np.array([max(map(known.__getitem__, b), default=model.bias) for b in bags])
-            scores = model.chance(np.maximum(margins, model.bias))
+            margins = []
+            for at in range(0, len(texts), TEXTS):
+                bags = [words_in(t) for t in texts.slice(at, TEXTS).to_pylist()]
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+                unknown = list(set().union(*bags).difference(known))
+                for a in range(0, len(unknown), CHUNK):
+                    part = unknown[a : a + CHUNK]
+                    known.update(zip(part, model.raw(part).tolist()))
+                margins += [max(map(known.__getitem__, b), default=model.bias) for b in bags]
+            scores = model.chance(np.maximum(np.array(margins), model.bias))
             yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], names=batch.schema.names)
 
     rows = docs.select(*columns, whole(text).alias(name))
