@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ RIDGE = 1e-5
 CACHE_ENTRIES = 1 << 19
 TEXTS = 256  # whose words are held at a time
 CHUNK = 1 << 13  # words worked on at a time
+BLOCK = 1 << 10  # training rows worked on at a time
 
 _APART = re.compile(r"(?:(?:^|(?<=\s))[^\W\d_][.,\-_*]?(?:\s+|$)){3,}")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -74,12 +76,9 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             continue
         codes = [27, *map(_code, letters), 28]
         for a in range(0, max(1, len(codes) - WINDOW // 2), WINDOW // 2):
-            rows.append(codes[a : a + WINDOW])
+            rows.append(bytes(codes[a : a + WINDOW]).ljust(WINDOW, b"\0"))
             owner.append(k)
-    table = np.zeros((len(rows), WINDOW), np.uint8)
-    for r, codes in enumerate(rows):
-        table[r, : len(codes)] = codes
-    return table, np.array(owner, np.int64)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WINDOW), np.array(owner, np.int64)
 
 
 def _parts(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -101,13 +100,25 @@ def project(table: np.ndarray, vector: np.ndarray) -> np.ndarray:
 
 
 def spread(table: np.ndarray) -> np.ndarray:
-    """Normalised features of a few windows, as rows of a dense matrix."""
-    out, norm = np.zeros((len(table), CODES**3), np.float32), np.full(len(table), 1e-12)
+    """Normalised features of a few windows, as columns of a dense matrix."""
+    out, norm = np.zeros((CODES**3, len(table)), np.float32), np.full(len(table), 1e-12)
     row = np.arange(len(table))[:, None]
     for feature, real, weight in _parts(table):
-        np.add.at(out, (np.broadcast_to(row, feature.shape)[real], feature[real]), weight)
+        np.add.at(out, (feature[real], np.broadcast_to(row, feature.shape)[real]), weight)
         norm += weight * weight * real.sum(axis=1)
-    return out / np.sqrt(norm)[:, None].astype(np.float32)
+    out /= np.sqrt(norm).astype(np.float32)
+    return out
+
+
+def _start_ids(names: list[str]) -> tuple[np.ndarray, int]:
+    """A number for each word's start of each length in ``STARTS`` (-1 if the word is shorter), and how many there are."""
+    out, n = np.full((len(names), len(STARTS)), -1, np.int32), 0
+    for c, k in enumerate(STARTS):
+        own = np.fromiter((r for r, w in enumerate(names) if len(w) >= k), np.int64)
+        found, place = np.unique(np.fromiter((xxhash.xxh64_intdigest(names[r][:k]) for r in own), np.uint64, len(own)), return_inverse=True)
+        out[own, c] = place + n
+        n += len(found)
+    return out, n
 
 
 @dataclass
@@ -136,15 +147,20 @@ class ToxicModel:
 
 def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (the last one is the bias) of the squared-hinge machine, classes weighted alike; Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = RIDGE * np.eye(len(w))
     ridge[-1, -1] = 1e-9
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        xs, cs = x[inside], weight[inside]
-        new = np.linalg.solve(ridge + xs.T @ (xs * cs[:, None]), xs.T @ (cs * y[inside]))
+        square, side = ridge.copy(), np.zeros(len(w))
+        for a in range(0, len(x), BLOCK):
+            own, sign, share = (v[a : a + BLOCK] for v in (x, y, weight))
+            own = np.c_[own, np.ones(len(own))]
+            inside = sign * (own @ w) < 1
+            own, share = own[inside], share[inside]
+            square += own.T @ (own * share[:, None])
+            side += own.T @ (share * sign[inside])
+        new = np.linalg.solve(square, side)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -175,10 +191,7 @@ def fit(bags: Iterable[tuple[int, Iterable[str]]]) -> ToxicModel:
     if len(set(labels.tolist())) < 2:
         return ToxicModel(np.zeros(CODES**3), 0.0, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0)
     names = list(vocabulary)
-    starts: dict[str, int] = {}
-    start_of = np.array([[starts.setdefault(w[:k], len(starts)) if len(w) >= k else -1 for k in STARTS] for w in names], np.int32)
-    n_starts = len(starts)
-    del starts
+    start_of, n_starts = _start_ids(names)
     counts, start_counts = np.zeros((2, len(names)), np.int32), np.zeros((2, n_starts + 1), np.int32)
     for y, own in zip(labels, held):
         counts[y][own] += 1
@@ -197,12 +210,14 @@ def fit(bags: Iterable[tuple[int, Iterable[str]]]) -> ToxicModel:
     # landmarks: the most suspicious words, and clean words spread over the vocabulary
     top = np.argsort(-score, kind="stable")[: LANDMARKS // 2]
     rest = clean[:: max(1, len(clean) // (LANDMARKS // 2))][: LANDMARKS // 2]
-    by_feature = np.ascontiguousarray(spread(coded([names[k] for k in np.unique(np.r_[top, rest])])[0]).T)
+    by_feature = spread(coded([names[k] for k in np.unique(np.r_[top, rest])])[0])
     values, vectors = np.linalg.eigh((by_feature.T @ by_feature).astype(np.float64))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # kernel row times this is a word's Nystroem features
 
     def nystroem(rows: np.ndarray) -> np.ndarray:
+        if len(rows) > BLOCK:
+            return np.concatenate([nystroem(rows[a : a + BLOCK]) for a in range(0, len(rows), BLOCK)])
         kernel, norm = np.zeros((len(rows), by_feature.shape[1])), np.full(len(rows), 1e-12)
         for feature, real, weight in _parts(rows):
             for c in range(feature.shape[1]):
@@ -232,7 +247,8 @@ def fit(bags: Iterable[tuple[int, Iterable[str]]]) -> ToxicModel:
         rows = np.concatenate([table[first[np.r_[positive, negative]]], changed])
         signs = np.r_[np.ones(len(positive)), -np.ones(len(negative)), np.ones(len(changed))]
         w = _machine(nystroem(rows), signs)
-        vector = by_feature @ (root @ w[:-1])
+        folded = root @ w[:-1]
+        vector = np.concatenate([by_feature[a : a + BLOCK] @ folded for a in range(0, len(by_feature), BLOCK)])
         model = ToxicModel(vector, float(w[-1]), 1.0, 0.0)
         score = np.full(len(names), -np.inf)
         np.maximum.at(score, owner, project(table, vector) + model.bias)
