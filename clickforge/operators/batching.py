@@ -131,5 +131,6 @@ def undersample_negatives(df: DataFrame, label: str, key: str, keep: float) -> D
 
     The choice depends on the key alone, so a retried task keeps the same rows.
     """
-    bucket = F.pmod(F.col(key) * F.lit(48271), F.lit(HASH_BUCKETS))
+    # reduced first, so that no key overflows
+    bucket = F.pmod(F.pmod(F.col(key), F.lit(HASH_BUCKETS)) * F.lit(48271), F.lit(HASH_BUCKETS))
     return df.filter((F.col(label) == 1) | (bucket < int(keep * HASH_BUCKETS)))

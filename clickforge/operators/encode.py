@@ -37,16 +37,17 @@ def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
-def categorify_fit(df: DataFrame, fields: Sequence[str], max_size: int = 50_000_000) -> DataFrame:
+def categorify_fit(df: DataFrame, fields: Sequence[str], max_size: int | None = None) -> DataFrame:
     """Vocabulary (field, value, id, cnt), the most frequent value first.
 
     Id 0 stands for null and unknown values; ids from 1 go by count descending, then value.
-    At most ``max_size - 1`` values per field get an id.
+    With ``max_size`` at most ``max_size - 1`` values per field get an id; by default all do.
     """
     ranked = rank_in_group(
         value_counts(df, fields), ["field"], [F.col("cnt").desc(), F.col("value").asc()], "_rank", few_groups=True
     )
-    return ranked.filter(F.col("_rank") < max_size - 1).select(
+    kept = ranked if max_size is None else ranked.filter(F.col("_rank") < max_size - 1)
+    return kept.select(
         "field", "value", (F.col("_rank") + 1).alias("id"), "cnt"
     )
 
@@ -75,7 +76,7 @@ def apply_mapping(
         part = mapping.filter(F.col("field") == name).select(
             F.col(old).alias("_old"), F.col(new).alias("_new")
         )
-        joined = out.join(part, F.col(column).cast(old_type) == F.col("_old"), "left")
+        joined = out.join(part, F.col(column).try_cast(old_type) == F.col("_old"), "left")
         missing = default.get(name) if isinstance(default, Mapping) else default
         value = F.col("_new") if missing is None else F.coalesce(F.col("_new"), F.lit(missing))
         out = joined.withColumn(column, value).drop("_old", "_new")
@@ -140,7 +141,7 @@ class Workflow:
 
     @classmethod
     def fit(cls, df: DataFrame, cats: Sequence[str], conts: Sequence[str], label: str,
-            max_size: int = 50_000_000, fill: float = 0.0, low: float | None = 0.0) -> Workflow:
+            max_size: int | None = None, fill: float = 0.0, low: float | None = 0.0) -> Workflow:
         return cls(
             list(cats), list(conts), label,
             categorify_fit(df, cats, max_size),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,18 +129,20 @@ def relabel_edges(weights: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst"), "w")
 
 
-def trace_community(parents: DataFrame, with_path: bool = False, max_rounds: int = 64) -> DataFrame:
+def trace_community(parents: DataFrame, with_path: bool = False) -> DataFrame:
     """(v, root[, path]): follow parent pointers to the top.
 
     Pointer jumping: every round doubles the distance covered, so log2(depth) rounds suffice.
     Each round is written out, which keeps the plan flat and survives lost executors. The path
-    runs from the root to the vertex; its length is the depth of the merge forest.
+    runs from the root to the vertex; its length is the depth of the merge forest. Pointers that
+    run in a circle raise ``ValueError``.
     """
+    furthest = parents.count()
     state = parents.select("v", F.col("parent").alias("root"))
     is_root = F.col("v") == F.col("root")
     steps = F.when(is_root, F.array().cast("array<bigint>")).otherwise(F.array("v"))
     state = state.withColumn("path", steps) if with_path else state
-    for _ in range(max_rounds):
+    for jumps in count():
         above = state.select(
             F.col("v").alias("root"), F.col("root").alias("_root"),
             *([F.col("path").alias("_path")] if with_path else []),
@@ -154,6 +157,12 @@ def trace_community(parents: DataFrame, with_path: bool = False, max_rounds: int
         state = stepped.drop("_moved")
         if stepped.filter("_moved").isEmpty():
             break
+        if 1 << jumps > furthest:
+            raise ValueError("parent pointers run in a circle")
+    # a circle of two, four, ... vertices comes to rest on vertices that are no roots
+    tops = state.select(F.col("root").alias("v")).distinct()
+    if not tops.join(parents.filter(F.col("v") != F.col("parent")), "v", "left_semi").isEmpty():
+        raise ValueError("parent pointers run in a circle")
     if with_path:
         state = state.withColumn("path", F.concat(F.array("root"), "path"))
     return state
@@ -190,7 +199,7 @@ def _accepted_merges(proposals: DataFrame, total) -> DataFrame:
     return taken.select("v", F.col("u").alias("parent"))
 
 
-def communities(weights: DataFrame, n: int | None = None, max_rounds: int = 64) -> DataFrame:
+def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
     """(v, parent, round): merge forest of greedy modularity clustering.
 
     Every round each vertex proposes its best neighbour, light vertices join heavier ones, and the
@@ -204,7 +213,7 @@ def communities(weights: DataFrame, n: int | None = None, max_rounds: int = 64)
     everyone = strengths.select("v") if n is None else weights.sparkSession.range(n).select(F.col("id").alias("v"))
     total = strengths.agg(F.sum("strength")).first()[0]
     merges = []
-    for step in range(max_rounds):
+    for step in count():
         proposals = materialize(best_neighbor(current, strengths), "proposals")
         accepted = materialize(_accepted_merges(proposals, total), "merges")
         if accepted.isEmpty():
@@ -267,8 +276,7 @@ def compose_bijection(ranks: DataFrame, cold_permutation: DataFrame, hot: int) -
     return keyed.join(cold, "k", "left").select("old_id", F.coalesce("_new", "k").alias("new_id"))
 
 
-def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot: int, batch_size: int = 512,
-                     max_rounds: int = 64) -> DataFrame:
+def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot: int, batch_size: int = 512) -> DataFrame:
     """(old_id, new_id): the whole re-ordering of one field.
 
     Ranked ids -> cold range -> co-occurrence graph per batch -> communities -> permutation of the
@@ -277,16 +285,16 @@ def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot
     cold = df.select(pos, to_cold_range(id_col, hot).alias("cold"))
     weights = materialize(edge_weights(cooccurrence_edges(cold, "cold", pos, batch_size)), "edges")
     n = vertex_count(weights).first()["n"]
-    forest = materialize(communities(weights, n, max_rounds).filter("v > 0"), "forest")
+    forest = materialize(communities(weights, n).filter("v > 0"), "forest")
     shifted = permutation(forest).select("old", (F.col("new") + 1).alias("new"))
     return compose_bijection(ranks, shifted, hot)
 
 
-def order_graph(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def order_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Communities (v, community) and new numbering (old, new) of an edge list (src, dst)."""
     weights = materialize(edge_weights(edges), "edges")
     n = vertex_count(edges).first()["n"]
-    forest = materialize(communities(weights, n, max_rounds), "forest")
+    forest = materialize(communities(weights, n), "forest")
     members = trace_community(forest).select("v", F.col("root").alias("community"))
     return members, permutation(forest)
 

@@ -253,7 +253,7 @@ def rank_encoding(vocabulary: DataFrame, n_rows: int) -> tuple[DataFrame, dict[s
     return mapping, rank_of_unknown
 
 
-def access_profile(df: DataFrame, fields: Sequence[str], pos: str, batch_size: int, max_size: int = 50_000_000) -> DataFrame:
+def access_profile(df: DataFrame, fields: Sequence[str], pos: str, batch_size: int, max_size: int | None = None) -> DataFrame:
     """Encode, count, re-number by frequency, and report per batch what deduplication saves.
 
     (batch, field, n_rows, n_unique, max_rank, reuse); full batches only.

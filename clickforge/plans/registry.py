@@ -13,27 +13,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-# a unique or nearly unique key of each large table
-SPREAD_KEYS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "orders": ["o_orderkey"], "events": ["event_id"],
-}
-SPREAD_BYTES = (1 << 20, 1 << 30)  # from, below
-
-
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Deal the rows of a table with too few files out to all cores.
-
-    A Parquet row group is read by one task, so everything up to the first shuffle would run on one
-    core. Only tables below the upper limit are dealt out: a large table has enough splits, and
-    shuffling it would cost more than it saves. Tiny ones are scanned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if not SPREAD_BYTES[0] <= size < SPREAD_BYTES[1] or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 class Tables:
     """The driver tables of one scale factor."""
 
@@ -44,8 +23,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
-        df = self.scan(name)
-        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+        return self.scan(name)
 
     @property
     def clicks(self) -> DataFrame:

@@ -42,23 +42,18 @@ def start_batch_unique(rows: DataFrame, fields: Sequence[str], key: str, path: s
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def start_cache_sync(rows: DataFrame, key: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Replace vectors of a micro-batch (key, id, vec) by those the previous micro-batch left.
 
     Result k lies in ``path/micro_batch=k``, is built from result k - 1 only, and is overwritten on
-    replay. The work per micro-batch follows its own size, not the size of the vector table.
+    replay. The work per micro-batch follows its own size, not the size of the vector table. A missing
+    previous result ends the job with an error.
     """
 
     def sync(batch: DataFrame, batch_no: int) -> None:
         before = f"{path}/micro_batch={batch_no - 1}"
         out = batch
-        if batch_no > 0 and _exists(batch, f"{before}/_SUCCESS"):
+        if batch_no > 0:
             previous = batch.sparkSession.read.parquet(before)
             latest = previous.groupBy("id").agg(F.min_by("vec", key).alias("_prev"))
             out = batch.join(latest, "id", "left").withColumn("vec", F.coalesce("_prev", "vec")).drop("_prev")

@@ -247,3 +247,18 @@ def test_wide_vectors_sum_like_narrow_ones(spark):
     df = spark.createDataFrame([(k % 2, [float(k + i) for i in range(300)]) for k in range(4)], "id bigint, vec array<double>")
     out = {r["id"]: r["vec"] for r in vector_sum(df, ["id"], "vec", 300).collect()}
     assert out == {0: [2.0 + 2 * i for i in range(300)], 1: [4.0 + 2 * i for i in range(300)]}
+
+
+def test_circle_of_parents_is_an_error(spark):
+    for ring in (2, 3, 4, 5):
+        pointers = spark.createDataFrame([(v, (v + 1) % ring) for v in range(ring)] + [(9, 9), (10, 9)], "v bigint, parent bigint")
+        with pytest.raises(ValueError, match="circle"):
+            graph.trace_community(pointers)
+
+
+def test_large_keys_and_malformed_values(spark):
+    keys = spark.createDataFrame([(2**60, 0), (-(2**62), 1), (None, 0)], "k bigint, label bigint")
+    assert {r["k"] for r in batching.undersample_negatives(keys, "label", "k", 1.0).collect()} == {2**60, -(2**62)}
+    mapping = spark.createDataFrame([("f", 1, 7)], "field string, value bigint, id bigint")
+    texts = spark.createDataFrame([("1",), ("x",), (None,)], "f string")
+    assert sorted(r["f"] for r in encode.categorify_apply(texts, mapping, ["f"]).collect()) == [0, 0, 7]
