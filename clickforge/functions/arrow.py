@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def to_matrix(column: pa.Array, dim: int, dtype=np.float64) -> np.ndarray:
-    """A list column whose lists all have ``dim`` numbers, as an (n, dim) matrix."""
+    """A list column whose lists all have ``dim`` numbers, as an (n, dim) matrix.
+
+    A null list or one of another length ends the job: ``flatten`` would leave it out and shift the rows behind it.
+    """
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    if (sizes != dim).any():
+        raise ValueError(f"{(sizes != dim).sum()} of {len(sizes)} vectors are null or have not {dim} elements")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(flat, dtype=dtype).reshape(len(column), dim)
 
@@ -18,9 +25,10 @@ def to_cube(column: pa.Array, dim: int, dtype=np.float64) -> np.ndarray:
     return np.asarray(flat, dtype=dtype).reshape(len(column), -1, dim) if len(column) else np.zeros((0, 0, dim))
 
 
-def from_matrix(matrix: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
-    """An (n, dim) matrix as a list column."""
+def from_matrix(matrix: np.ndarray, kind: pa.DataType | None = None, missing: np.ndarray | None = None) -> pa.Array:
+    """An (n, dim) matrix as a list column; rows marked ``missing`` become null."""
     kind = kind or pa.float64()
     n, dim = matrix.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()).cast(kind))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()).cast(kind),
+                                    mask=None if missing is None else pa.array(missing))

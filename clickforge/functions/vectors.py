@@ -11,23 +11,35 @@ from pyspark.sql import functions as F
 WIDE = 256  # beyond this many elements one aggregate per element no longer compiles well
 
 
-def vector_sum(df: DataFrame, keys: Sequence[str], vec: str, dim: int, out: str = "vec", mean: bool = False) -> DataFrame:
+def vector_sum(df: DataFrame, keys: Sequence[str], vec: str, dim: int, out: str = "vec", mean: bool = False,
+               wide: int = WIDE) -> DataFrame:
     """Elementwise sum (or mean) of vectors per key, in DOUBLE.
 
     One ordinary aggregate per element: a group is a fixed-size buffer of doubles that combines
     before the shuffle, so neither the rows multiply by ``dim`` nor does a hot key collect.
-    Very wide vectors go through one row per element instead; their final list has ``dim`` entries.
+    Vectors wider than ``wide`` go through one row per element instead; their final list has ``dim``
+    entries. Both forms give the same result: a null vector or element adds nothing, a key with null
+    vectors only has a null vector, and a vector of another length than ``dim`` ends the job.
     """
     keys = list(keys)
     total = F.avg if mean else F.sum
-    if dim > WIDE:
-        long = df.select(*keys, F.posexplode(vec).alias("_at", "_x")).filter(F.col("_at") < dim)
+    rows = df.select(*keys, checked(vec, dim).alias("_v"))
+    if dim > wide:
+        long = rows.select(*keys, F.posexplode_outer("_v").alias("_at", "_x"))
         cells = long.groupBy(*keys, "_at").agg(total(F.col("_x").cast("double")).alias("_x"))
-        lists = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_l"))
-        return lists.select(*keys, F.col("_l._x").alias(out))
-    sums = [total(F.get(F.col(vec), F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(dim)]
-    grouped = df.groupBy(*keys).agg(*sums)
-    return grouped.select(*keys, F.array(*[f"_d{i}" for i in range(dim)]).alias(out))
+        entry = F.when(F.col("_at").isNotNull(), F.struct("_at", "_x"))
+        lists = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_l"), F.count("_at").alias("_n"))
+        return lists.select(*keys, F.when(F.col("_n") > 0, F.col("_l._x")).alias(out))
+    sums = [total(F.get(F.col("_v"), F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(dim)]
+    grouped = rows.groupBy(*keys).agg(*sums, F.count("_v").alias("_n"))
+    return grouped.select(*keys, F.when(F.col("_n") > 0, F.array(*[f"_d{i}" for i in range(dim)])).alias(out))
+
+
+def checked(vec: str, dim: int) -> Column:
+    """The vector, or null; a vector of another length than ``dim`` ends the job."""
+    found = F.size(vec)
+    message = F.concat(F.lit(f"a vector has not {dim} elements but "), found.cast("string"))
+    return F.when(F.col(vec).isNull() | (found == dim), F.col(vec)).otherwise(F.raise_error(message))
 
 
 def zero_vector(dim: int) -> Column:

@@ -207,12 +207,15 @@ def file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def index_file_rows(scan: DataFrame, pos: str = "pos") -> DataFrame:
-    """Add the 0-based position of each row in file order, without moving the rows.
+    """Add the 0-based position of each row in file order, without sorting the rows.
 
-    Only (file, block, row count) is aggregated and summed up, one row per scan split; every row
-    then gets its block's start plus its place in the block. ``scan`` must be the bare file scan.
+    The rows are stored once with the block they were read in: split bounds follow session settings and the
+    number of cores, so a second scan could cut the files elsewhere. (file, block, row count) is then
+    summed up, one row per scan split, and every row gets its block's start plus its place in the
+    block. ``scan`` must be the bare file scan.
     """
-    tagged, keys = file_order(scan)
+    tagged, _ = file_order(scan)
+    tagged = materialize(tagged, "file-rows")
     blocks = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
     ends = running(blocks, ["_file", "_block"], "_n", "_end")
     starts = ends.select("_file", "_block", "_first", (F.col("_end") - F.col("_n")).alias("_start"))

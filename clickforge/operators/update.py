@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from clickforge.functions.arrow import from_matrix, to_matrix
 from clickforge.functions.scalars import mixed_radix
-from clickforge.functions.vectors import add_scaled, vector_sum
-from clickforge.operators.vectors import CORE_LIMIT_BYTES, FactoredShape, _digits, load_cores
+from clickforge.functions.vectors import add_scaled, vector_sum, zero_vector
+from clickforge.operators.vectors import CORE_LIMIT_BYTES, FactoredShape, _digits, known_ids, load_cores
 from clickforge.session import materialize
 
 
@@ -102,7 +102,7 @@ def _gradients_from_join(grads: DataFrame, cores: DataFrame, shape: FactoredShap
     rows = grads.withColumns({f"_i{k}": digit for k, digit in enumerate(mixed_radix("id", shape.p))})
     for k in range(3):
         core = cores.filter(F.col("core") == k).select(F.col("i").cast("bigint").alias(f"_i{k}"), F.col("vec").alias(f"_c{k}"))
-        rows = rows.join(core, f"_i{k}")
+        rows = rows.join(core, f"_i{k}", "left").withColumn(f"_c{k}", F.coalesce(f"_c{k}", zero_vector(shape.width(k))))
 
     def fold(batches):
         for batch in batches:
@@ -121,8 +121,10 @@ def tt_core_gradients(grads: DataFrame, cores: DataFrame, shape: FactoredShape,
     """(core, i, vec): gradients of the cores from row gradients (id, vec).
 
     Gradients of equal ids are added first. Sums form inside the tasks before the shuffle; the cores
-    are broadcast when their size, known from the shape, is within the limit, else joined.
+    are broadcast when their size, known from the shape, is within the limit, else joined. Both forms
+    leave out null vectors and ids that are null or outside the shape; missing core rows count as zeros.
     """
+    grads = grads.filter(known_ids("id", shape) & F.col("vec").isNotNull())
     if dedup:
         grads = vector_sum(grads, ["id"], "vec", shape.dim)
     grads = grads.select(F.col("id").cast("bigint").alias("id"), "vec")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,11 @@ CORE_LIMIT_BYTES = 256 << 20
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Add the vector of each key.
+    """Add the vector of each key; a key that is null or not in the table gets a null vector.
 
     The table is unique on the keys, so the adaptive skew join may split a hot id on the row side.
     """
-    return df.join(table, list(keys))
+    return df.join(table, list(keys), "left")
 
 
 def lookup_fields(df: DataFrame, fields: Sequence[str], table: DataFrame, row: str) -> DataFrame:
@@ -33,18 +34,18 @@ def lookup_fields(df: DataFrame, fields: Sequence[str], table: DataFrame, row: s
 
 
 def lookup_distinct(df: DataFrame, table: DataFrame, batch: str = "batch", id_col: str = "id") -> DataFrame:
-    """(batch, id, vec): one vector per distinct id of a batch; joins back to the rows on (batch, id)."""
+    """(batch, id, vec): one vector per distinct id of a batch; joins back to the rows on (batch, id). Unknown ids have a null vector."""
     distinct = df.select(batch, id_col).distinct()
-    return distinct.join(table, id_col).select(batch, id_col, "vec")
+    return distinct.join(table, id_col, "left").select(batch, id_col, "vec")
 
 
 def expand_lookup(df: DataFrame, looked_up: DataFrame, batch: str = "batch", id_col: str = "id") -> DataFrame:
     """Vectors of ``lookup_distinct`` back on every row; a key matches at most one batch of rows."""
-    return df.join(looked_up, [batch, id_col])
+    return df.join(looked_up, [batch, id_col], "left")
 
 
 def embedding_bag(rows: DataFrame, members: DataFrame, table: DataFrame, dim: int, row: str = "row") -> DataFrame:
-    """(row, vec): sum of the vectors of each row's ids; a row without ids gives the zero vector.
+    """(row, vec): sum of the vectors of each row's ids; a row without known ids gives the zero vector.
 
     ``members`` is the long form (row, id), so a bag of any length needs no list.
     """
@@ -130,16 +131,26 @@ class FactoredShape:
 def load_cores(cores: DataFrame, shape: FactoredShape, limit: int = CORE_LIMIT_BYTES) -> list[np.ndarray]:
     """The cores (core, i, vec) as matrices on the driver.
 
-    Their size follows from the shape alone and is checked before anything is read.
+    Their size follows from the shape alone and is checked before anything is read. A core row that is
+    missing or null counts as zeros; rows beyond the shape are left out.
     """
     if shape.core_bytes > limit:
         raise ValueError(f"cores take {shape.core_bytes} bytes, more than {limit}; use the join form")
     arrays = [np.zeros((shape.p[c], shape.width(c))) for c in range(3)]
-    for row in cores.select("core", "i", "vec").collect():
-        arrays[row["core"]][row["i"]] = row["vec"]
+    row = cores.select(F.col("core").cast("int"), F.col("i").cast("bigint"), F.col("vec").cast("array<double>").alias("vec"))
+    found = row.filter(F.col("vec").isNotNull()).toArrow()
+    for c in range(3):
+        part = found.filter((pc.field("core") == c) & (pc.field("i") >= 0) & (pc.field("i") < shape.p[c])).combine_chunks()
+        if part.num_rows:
+            arrays[c][part["i"].to_numpy()] = to_matrix(part["vec"].chunk(0), shape.width(c))
     return arrays
 
 
+def known_ids(id_col: str, shape: FactoredShape) -> Column:
+    """True for the ids that the factored table has; never null."""
+    return F.coalesce(F.col(id_col).between(0, shape.rows - 1), F.lit(False))
+
+
 def _digits(ids: np.ndarray, shape: FactoredShape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     g, i3 = ids // shape.p[2], ids % shape.p[2]
     return g, g // shape.p[1], g % shape.p[1], i3
@@ -161,20 +172,24 @@ def factored_vectors(ids: np.ndarray, cores: list[np.ndarray], shape: FactoredSh
     return chain(half[inverse], cores[2][i3], shape.r[1], shape.q[2])
 
 
-def tt_lookup(df: DataFrame, id_col: str, cores: DataFrame, shape: FactoredShape, out: str = "vec") -> DataFrame:
+def tt_lookup(df: DataFrame, id_col: str, cores: DataFrame, shape: FactoredShape, out: str = "vec",
+              limit: int = CORE_LIMIT_BYTES) -> DataFrame:
     """Add the vector of each id from the factored table.
 
+    Ids that are null or outside the shape get a null vector, missing core rows count as zeros, with either form.
     Cores that fit the limit travel as a broadcast variable: the lookup is then a narrow Arrow
     projection without any shuffle, and ids of an Arrow batch share prefix products. Larger cores
     are joined on their indices.
     """
-    if shape.core_bytes > CORE_LIMIT_BYTES:
+    if shape.core_bytes > limit:
         return tt_lookup_join(df, id_col, cores, shape, out)
     shared = df.sparkSession.sparkContext.broadcast(load_cores(cores, shape))
 
     @F.arrow_udf("array<double>")
     def vectors(ids: pa.Array) -> pa.Array:
-        return from_matrix(factored_vectors(ids.to_numpy(zero_copy_only=False).astype(np.int64), shared.value, shape))
+        filled = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (filled >= 0) & (filled < shape.rows)
+        return from_matrix(factored_vectors(np.where(known, filled, 0), shared.value, shape), missing=~known)
 
     return df.withColumn(out, vectors(F.col(id_col).cast("bigint")))
 
@@ -196,15 +211,19 @@ def tt_lookup_join(df: DataFrame, id_col: str, cores: DataFrame, shape: Factored
     def core(k: int, index: str, vec: str) -> DataFrame:
         return cores.filter(F.col("core") == k).select(F.col("i").cast("bigint").alias(index), F.col("vec").alias(vec))
 
-    ids = df.select(F.col(id_col).cast("bigint").alias("_id")).distinct()
+    def or_zeros(vec: str, k: int) -> Column:
+        return F.coalesce(vec, zero_vector(shape.width(k)))
+
+    ids = df.select(F.col(id_col).cast("bigint").alias("_id")).filter(known_ids("_id", shape)).distinct()
     split = ids.select("_id", i1.alias("_i1"), i2.alias("_i2"), i3.alias("_i3"))
-    prefixes = split.select("_i1", "_i2").distinct().join(core(0, "_i1", "_a"), "_i1").join(core(1, "_i2", "_b"), "_i2")
+    prefixes = split.select("_i1", "_i2").distinct()
+    prefixes = prefixes.join(core(0, "_i1", "_a"), "_i1", "left").join(core(1, "_i2", "_b"), "_i2", "left")
     first = _chain_udf(q1 * r1, r1 * q2 * r2, r1, q2 * r2)
     second = _chain_udf(q1 * q2 * r2, r2 * q3, r2, q3)
-    halves = prefixes.select("_i1", "_i2", first("_a", "_b").alias("_ab"))
-    whole = split.join(halves, ["_i1", "_i2"]).join(core(2, "_i3", "_c"), "_i3")
-    vectors = whole.select("_id", second("_ab", "_c").alias(out))
-    return df.join(vectors, F.col(id_col).cast("bigint") == F.col("_id")).drop("_id")
+    halves = prefixes.select("_i1", "_i2", first(or_zeros("_a", 0), or_zeros("_b", 1)).alias("_ab"))
+    whole = split.join(halves, ["_i1", "_i2"]).join(core(2, "_i3", "_c"), "_i3", "left")
+    vectors = whole.select("_id", second("_ab", or_zeros("_c", 2)).alias(out))
+    return df.join(vectors, F.col(id_col).cast("bigint") == F.col("_id"), "left").drop("_id")
 
 
 def tt_materialize(spark: SparkSession, cores: DataFrame, shape: FactoredShape, n: int | None = None) -> DataFrame:
@@ -220,7 +239,7 @@ def hybrid_lookup(long: DataFrame, forms: DataFrame, dense: DataFrame, cores: Da
     """
     tagged = long.join(F.broadcast(forms.select("field", "form")), "field")
     columns = [*long.columns, "vec"]
-    plain = tagged.filter("form = 'dense'").join(dense, ["field", "id"])
+    plain = tagged.filter("form = 'dense'").join(dense, ["field", "id"], "left")
     plain = plain.withColumn("vec", F.col("vec").cast("array<double>")).select(columns)
     factored = tt_lookup(tagged.filter("form = 'factored'"), "id", cores, shape).select(columns)
     return plain.union(factored)

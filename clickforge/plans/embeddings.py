@@ -193,12 +193,12 @@ def tt_materialize(t):
 
 @query("hybrid_lookup", f"""with {_TT}, {_N}
 select l_orderkey, 'part' as field, l_partkey as id, {fixed_point_sql('vec')} as vec from lineitem join tt on id = l_partkey
-union all select l_orderkey, 'supp', l_suppkey % n, {fixed_point_sql('embedding[1:8]')}
+union all select l_orderkey, 'supp', l_suppkey % n, {fixed_point_sql('embedding')}
 from (select * from lineitem, n) l join embeddings on vec_id = l_suppkey % n""")
 def hybrid_lookup(t):
-    """Parts are a factored table of width 8, suppliers a dense one."""
+    """Parts are a factored table, suppliers a dense one."""
     shape = _shape(t)
-    dense = t.vectors.select(F.lit("supp").alias("field"), "id", F.slice("vec", 1, 8).alias("vec"))
+    dense = t.vectors.select(F.lit("supp").alias("field"), "id", "vec")
     forms = t.spark.createDataFrame([("part", "factored"), ("supp", "dense")], "field string, form string")
     long = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("part"), _vec_of(t, F.col("l_suppkey")).alias("supp")).unpivot(
         ["l_orderkey"], ["part", "supp"], "field", "id")

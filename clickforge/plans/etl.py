@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyspark.sql.functions as F
 
 from clickforge.functions.scalars import clip, fill_missing, hex_to_long, int_div, to_cold_range
@@ -11,7 +9,7 @@ from clickforge.functions.vectors import fixed_point
 from clickforge.operators import batching, encode
 from clickforge.operators.ordering import index_rows
 from clickforge.plans.registry import CLICKS, Tables, query
-from clickforge.session import checkpoint_root
+from clickforge.session import scratch_path
 from clickforge.sources import clicks, edges, synthetic, tables
 
 LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
@@ -20,7 +18,7 @@ LINE_ORDER = ", ".join(LINE_COLUMNS)
 
 
 def scratch(t: Tables, name: str) -> str:
-    return f"{checkpoint_root(t.spark)}/clickforge-{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, name)
 
 
 # ---- sources and sinks --------------------------------------------------------------------------
@@ -42,7 +40,7 @@ def read_clicks(t):
 
 @query("read_ad_log", f"""with {CLICKS}
 select cast(label as integer) as label, cast(day(e.ts) as integer) as "I1", cast(hour(e.ts) as integer) as "I2",
-  cast(k as integer) as "I3", e.user_id as "C1", pos * 4099 as "C2", e.user_id as "C10", e.user_id + k as "C20"
+  cast(k as integer) as "I3", {", ".join(f'e.user_id as "C{i}"' for i in range(1, 20) if i != 2)}, pos * 4099 as "C2", e.user_id + k as "C20"
 from clicks join events e on e.event_id = clicks.pos""")
 def read_ad_log(t):
     path = scratch(t, "adlog")
@@ -57,18 +55,18 @@ def read_ad_log(t):
         number = F.col("event_id") * 4099 if i == 2 else (F.col("user_id") + F.col("k").cast("bigint") if i == 20 else F.col("user_id"))
         texts.append((F.lower(F.hex(number)) if i in clicks.AD_HEX else number.cast("string")).alias(f"f{i}"))
     rows.select(*fields, *texts).write.csv(path, header=True)
-    return clicks.read_ad_log(t.spark, path).select("label", "I1", "I2", "I3", "C1", "C2", "C10", "C20")
+    return clicks.read_ad_log(t.spark, path)
 
 
 @query("hex_to_long", """
-select doc_id, case when regexp_full_match(substr(text, 1, 4), '[0-9a-fA-F]+')
-  then cast(('0x' || substr(text, 1, 4)) as bigint) end as first_hex,
-  ('0x' || lower(hex(doc_id * 1000003)))::bigint as again from documents""")
+with w as (select doc_id, unnest(string_split_regex(concat_ws(' ', text, lower(hex(doc_id * 1000003))), '[^0-9A-Za-z]+')) as word from documents)
+select doc_id, case when regexp_full_match(word, '[0-9a-fA-F]{1,16}') then try_cast('0x' || word as bigint) end as number, count(*) as n
+from w group by all""")
 def hex_query(t):
-    return t.documents.select(
-        "doc_id", hex_to_long(F.substring("text", 1, 4)).alias("first_hex"),
-        hex_to_long(F.lower(F.hex(F.col("doc_id") * 1000003))).alias("again"),
-    )
+    """Every word of every text, and one long number per document; words that are no hex numbers count under null."""
+    texts = F.concat_ws(" ", "text", F.lower(F.hex(F.col("doc_id") * 1000003)))
+    words = t.documents.select("doc_id", F.explode(F.split(texts, "[^0-9A-Za-z]+")).alias("word"))
+    return words.groupBy("doc_id", hex_to_long("word").alias("number")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("read_file_order", """
@@ -195,12 +193,18 @@ def split_every_nth(t):
 
 
 @query("split_by_file", """
-select 'train' as part, count(*) as n from orders union all select 'valid' as part, count(*) as n from lineitem""")
+select 'train' as part, o_orderkey as key, null as line, o_totalprice as price from orders
+union all select 'valid', l_orderkey, l_linenumber, l_extendedprice from lineitem""")
 def split_by_file(t):
-    rows = t.spark.read.schema("o_orderkey bigint").parquet(f"{t.folder}/orders.parquet", f"{t.folder}/lineitem.parquet")
+    """Two files read as one table that has the columns of both."""
+    rows = t.spark.read.option("mergeSchema", True).parquet(f"{t.folder}/orders.parquet", f"{t.folder}/lineitem.parquet")
     train, valid = batching.split_by_file(rows, ["lineitem.parquet"])
-    return train.agg(F.lit("train").alias("part"), F.count(F.lit(1)).alias("n")).union(
-        valid.agg(F.lit("valid").alias("part"), F.count(F.lit(1)).alias("n")))
+
+    def part(half, name):
+        key, price = F.coalesce("o_orderkey", "l_orderkey"), F.coalesce("o_totalprice", "l_extendedprice")
+        return half.select(F.lit(name).alias("part"), key.alias("key"), F.col("l_linenumber").alias("line"), price.alias("price"))
+
+    return part(train, "train").union(part(valid, "valid"))
 
 
 @query("assign_batches", f"""
@@ -320,11 +324,12 @@ def categorify_capped(t):
 @query("categorify_apply", """
 with o as (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as pos, count(*) over () as n from orders),
 v as (select o_custkey, row_number() over (order by count(*) desc, o_custkey) as id from o where pos < floor(n * 0.1::double) group by o_custkey)
-select o_orderkey, coalesce(id, 0) as o_custkey from o left join v using (o_custkey) where pos >= floor(n * 0.1::double)""")
+select o_orderkey, coalesce(id, 0) as o_custkey from o left join v using (o_custkey)""")
 def categorify_apply(t):
-    fit, rest = batching.split_prefix(t.orders.select("o_orderkey", "o_custkey"), 0.1, ["o_orderkey"])
-    vocabulary = encode.categorify_fit(fit, ["o_custkey"])
-    return encode.categorify_apply(rest.drop("pos"), vocabulary, ["o_custkey"])
+    """Fitted on the first tenth of the orders, applied to all."""
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    fit, _ = batching.split_prefix(orders, 0.1, ["o_orderkey"])
+    return encode.categorify_apply(orders, encode.categorify_fit(fit, ["o_custkey"]), ["o_custkey"])
 
 
 @query("workflow_transform", f"""

@@ -11,7 +11,9 @@ from clickforge.session import materialize
 
 BATCH = 32  # rows per co-occurrence batch
 
-_PAIRS = """cold as (select distinct event_id // 32 as batch, user_id as id from events where user_id > 0),
+# vertex v is user or customer v - 1, as id 0 stands for hot ids and makes no pairs
+
+_PAIRS = """cold as (select distinct event_id // 32 as batch, user_id + 1 as id from events),
 pairs as (select a.batch, a.id as src, b.id as dst from cold a join cold b on a.batch = b.batch and a.id < b.id)"""
 _WEIGHTS = _PAIRS + """,
 half as (select src, dst, cast(count(*) as double) as w from pairs group by src, dst),
@@ -21,7 +23,7 @@ strength as (select src as v, count(*) as degree, sum(w) as strength from weight
 
 
 def _pairs(t):
-    return graph.cooccurrence_edges(t.clicks.select("pos", "user_id"), "user_id", "pos", BATCH)
+    return graph.cooccurrence_edges(t.clicks.select("pos", (F.col("user_id") + 1).alias("id")), "id", "pos", BATCH)
 
 
 def _weights(t):
@@ -43,10 +45,10 @@ def vertex_count(t):
     return graph.vertex_count(_pairs(t))
 
 
-@query("unused_ids", f"""with {_PAIRS} select c_custkey as id from customer
-where c_custkey not in (select src from pairs union select dst from pairs)""")
+@query("unused_ids", f"""with {_PAIRS} select id from (select 0 as id union all select c_custkey + 1 from customer)
+where id not in (select src from pairs union select dst from pairs)""")
 def unused_ids(t):
-    return graph.unused_ids(_pairs(t), t.customer.count())
+    return graph.unused_ids(_pairs(t), t.customer.count() + 1)
 
 
 @query("degrees", f"with {_STRENGTH} select v, degree, strength from strength")
@@ -76,19 +78,19 @@ def best_neighbor(t):
 select src // 10 * 10 as src, dst // 10 * 10 as dst, sum(w) as w from weights where src // 10 <> dst // 10 group by all""")
 def contract_graph(t):
     weights = materialize(_weights(t), "edges")
-    parents = t.customer.select(F.col("c_custkey").alias("v"), (int_div("c_custkey", 10) * 10).alias("parent"))
+    parents = t.customer.select((F.col("c_custkey") + 1).alias("v")).withColumn("parent", int_div("v", 10) * 10)
     return graph.contract_graph(weights, parents)
 
 
 @query("relabel_edges", f"""with {_WEIGHTS}, n as (select count(*) as n from customer)
-select n - 1 - src as src, n - 1 - dst as dst, w from weights, n""")
+select n - src as src, n - dst as dst, w from weights, n""")
 def relabel_edges(t):
     n = t.customer.count()
-    mapping = t.customer.select(F.col("c_custkey").alias("old"), (F.lit(n) - 1 - F.col("c_custkey")).alias("new"))
+    mapping = t.customer.select((F.col("c_custkey") + 1).alias("old"), (F.lit(n) - 1 - F.col("c_custkey")).alias("new"))
     return graph.relabel_edges(_weights(t), mapping)
 
 
-_MEMBERS = "members as (select c_custkey as v, c_custkey % 10 as community from customer)"
+_MEMBERS = "members as (select c_custkey + 1 as v, c_custkey % 10 as community from customer)"
 
 
 @query("modularity", f"""with {_WEIGHTS}, {_MEMBERS},
@@ -96,7 +98,7 @@ c as (select a.community, sum(w) as all_w, sum(case when a.community = b.communi
   from weights join members a on a.v = src join members b on b.v = dst group by a.community)
 select round(sum(loop_w / m2 - (all_w / m2) * (all_w / m2)), 9) as modularity from c, (select sum(w) as m2 from weights)""")
 def modularity(t):
-    members = t.customer.select(F.col("c_custkey").alias("v"), F.pmod("c_custkey", F.lit(10)).alias("community"))
+    members = t.customer.select((F.col("c_custkey") + 1).alias("v"), F.pmod("c_custkey", F.lit(10)).alias("community"))
     return graph.modularity(materialize(_weights(t), "edges"), members).select(F.round("modularity", 9).alias("modularity"))
 
 
@@ -115,7 +117,7 @@ def trace_community(t):
     return graph.trace_community(t.part.select(F.col("p_partkey").alias("v"), parent.alias("parent")))
 
 
-_N = "(select max(user_id) + 1 from events)"
+_N = "(select max(user_id) + 2 from events)"
 
 
 @query("communities_check", f"""

@@ -140,13 +140,19 @@ def hot_batch_quota(t):
     return profile.hot_batch_quota(_classified(t), 1000)
 
 
-@query("write_hot_cold", f"""with {_CLASSIFIED}
-select is_hot, count(*) as n, cast(sum(l_quantity) as bigint) as quantity from rows group by is_hot""")
+@query("write_hot_cold", f"""with {_CLASSIFIED}, byno as (select hot_no, field, id from hot)
+select l_orderkey, l_linenumber, l_quantity, is_hot, p.id as part, s.id as supplier from rows
+  left join byno p on is_hot and p.hot_no = cast(split_part(hot_numbers, ',', 1) as bigint)
+  left join byno s on is_hot and s.hot_no = cast(split_part(hot_numbers, ',', 2) as bigint)""")
 def write_hot_cold(t):
     path = scratch(t, "hotcold")
     tables.write_hot_cold(_classified(t), _hot(t), path)
-    hot, normal, _ = tables.read_hot_cold(t.spark, path)
-    return hot.union(normal).groupBy("is_hot").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+    hot, normal, numbers = tables.read_hot_cold(t.spark, path)
+    rows = hot.union(normal)
+    for at, name in enumerate(["part", "supplier"]):
+        ids = numbers.select(F.col("hot_no").alias(f"_no{at}"), F.col("id").alias(name))
+        rows = rows.withColumn(f"_no{at}", F.get("hot_numbers", F.lit(at))).join(ids, f"_no{at}", "left")
+    return rows.select("l_orderkey", "l_linenumber", "l_quantity", "is_hot", "part", "supplier")
 
 
 _CACHE = """lim as (select count(distinct user_id) // 10 as size from events),
@@ -216,16 +222,20 @@ def reuse_ratio(t):
     return profile.reuse_ratio(profile.batch_sizes(_rows(t), _BATCH_FIELDS)).withColumn("reuse", F.round("reuse", 9))
 
 
-@query("unique_csr", f"""with {_BATCH_SIZES}
-select batch, field, n_unique as n, cast(sum(n_unique) over (partition by field order by batch) - n_unique as bigint) as lo,
-  max(n_unique) over (partition by field) as max_unique from sizes""")
+@query("unique_csr", f"""with {_BATCH_SIZES},
+lists as (select batch, field, n_unique as n, cast(sum(n_unique) over (partition by field order by batch) - n_unique as bigint) as lo,
+  max(n_unique) over (partition by field) as max_unique from sizes)
+select batch, field, in_batch, id, dense_rank() over (partition by batch, field order by id) - 1 as inv, n, lo, max_unique
+from long join lists using (batch, field)""")
 def unique_csr(t):
-    """Write the four tables and read them back joined."""
+    """Write the four tables, read them back and put every row's id together again."""
     path = scratch(t, "csr")
     tables.write_unique_csr(_rows(t), path, _BATCH_FIELDS)
     saved = tables.read_unique_csr(t.spark, path)
     joined = saved["unique"].join(saved["offsets"], ["batch", "field"]).join(F.broadcast(saved["max_unique"]), "field")
-    return joined.select("batch", "field", "n", "lo", "max_unique")
+    ids = joined.select("batch", "field", F.posexplode("ids").alias("inv", "id"), "n", "lo", "max_unique")
+    rows = saved["inverse"].join(ids, ["batch", "field", "inv"])
+    return rows.select("batch", "field", "in_batch", "id", "inv", "n", "lo", "max_unique")
 
 
 @query("batch_overlap", """

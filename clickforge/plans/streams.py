@@ -11,7 +11,9 @@ from clickforge.plans.etl import scratch
 from clickforge.plans.registry import CLICKS, Tables, fixed_point_sql, query
 from clickforge.streaming import jobs
 
-SLICES = 4  # the log arrives in this many files, one per micro-batch
+SLICES = 4  # the log arrives in this many parts, one per micro-batch
+FILES = 4  # files of a part, each written by its own task
+MINI = 64  # rows of a mini-batch
 
 
 def _arrivals(t: Tables, rows: DataFrame) -> DataFrame:
@@ -21,8 +23,8 @@ def _arrivals(t: Tables, rows: DataFrame) -> DataFrame:
     width = -(-n // SLICES)
     for k in range(SLICES):
         piece = rows.filter((F.col("pos") >= k * width) & (F.col("pos") < (k + 1) * width))
-        piece.repartition(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        piece.repartition(FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 _SLICE = f"{CLICKS}, w as (select (max(pos) + {SLICES}) // {SLICES} as width from clicks)"
@@ -61,15 +63,15 @@ def stream_access_counts(t):
 
 
 @query("stream_batch_unique", f"""with {_SLICE}
-select pos // width as micro_batch, 'user_id' as field, count(distinct user_id) as n_unique, count(*) as n_rows from clicks, w group by all""")
+select pos // width as micro_batch, 'user_id' as field, pos // {MINI} as batch, pos, user_id as id,
+  dense_rank() over (partition by pos // width, pos // {MINI} order by user_id) - 1 as inv from clicks, w""")
 def stream_batch_unique(t):
     out = scratch(t, "unique")
     stream = _arrivals(t, t.clicks.select("pos", "user_id"))
-    jobs.start_batch_unique(stream, ["user_id"], "pos", out, scratch(t, "cp"), availableNow=True).awaitTermination()
-    unique = t.spark.read.parquet(f"{out}/unique").select(F.col("micro_batch").cast("bigint").alias("micro_batch"), "field", F.col("n").alias("n_unique"))
-    inverse = t.spark.read.parquet(f"{out}/inverse").groupBy(F.col("micro_batch").cast("bigint").alias("micro_batch"), "field").agg(
-        F.count(F.lit(1)).alias("n_rows"))
-    return unique.join(inverse, ["micro_batch", "field"])
+    jobs.start_batch_unique(stream, ["user_id"], "pos", out, scratch(t, "cp"), MINI, availableNow=True).awaitTermination()
+    lists = t.spark.read.parquet(f"{out}/unique").select("micro_batch", "batch", "field", F.posexplode("ids").alias("inv", "id"))
+    rows = t.spark.read.parquet(f"{out}/inverse").join(lists, ["micro_batch", "batch", "field", "inv"])
+    return rows.select(F.col("micro_batch").cast("bigint").alias("micro_batch"), "field", "batch", "pos", "id", "inv")
 
 
 def _sync_sql() -> str:

@@ -46,6 +46,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; ``release_scratch`` deletes what is written there."""
+    path = f"{checkpoint_root(spark)}/clickforge-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -53,12 +60,11 @@ def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | N
     the optimizer true file sizes, so later joins choose broadcast or shuffle from real numbers.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/clickforge-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

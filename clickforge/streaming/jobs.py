@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from clickforge.functions.scalars import int_div
 from clickforge.operators.encode import Workflow, long_form
 from clickforge.operators.profile import batch_inverse, batch_unique
 
@@ -27,14 +28,17 @@ def stream_access_counts(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
-def start_batch_unique(rows: DataFrame, fields: Sequence[str], key: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Distinct ids and inverse positions of each micro-batch under ``path``.
+def start_batch_unique(rows: DataFrame, fields: Sequence[str], key: str, path: str, checkpoint: str,
+                       batch_size: int = 4096, **trigger) -> StreamingQuery:
+    """Distinct ids and inverse positions of the mini-batches in each micro-batch, under ``path``.
 
-    Every micro-batch overwrites its own folder, so a replayed one leaves the same result.
+    ``key`` is the position of a row in the stream; ``batch_size`` positions make a mini-batch, so no list or
+    window is longer, whatever a micro-batch holds. A mini-batch that two micro-batches share has a part in
+    each. Every micro-batch overwrites its own folder, so a replayed one leaves the same result.
     """
 
     def save(batch: DataFrame, batch_no: int) -> None:
-        tagged = batch.withColumn("batch", F.lit(batch_no).cast("bigint"))
+        tagged = batch.withColumn("batch", int_div(key, batch_size))
         batch_unique(tagged, fields).write.mode("overwrite").parquet(f"{path}/unique/micro_batch={batch_no}")
         inverse = batch_inverse(tagged, fields, in_batch=key)
         inverse.write.mode("overwrite").parquet(f"{path}/inverse/micro_batch={batch_no}")

@@ -262,3 +262,40 @@ def test_large_keys_and_malformed_values(spark):
     mapping = spark.createDataFrame([("f", 1, 7)], "field string, value bigint, id bigint")
     texts = spark.createDataFrame([("1",), ("x",), (None,)], "f string")
     assert sorted(r["f"] for r in encode.categorify_apply(texts, mapping, ["f"]).collect()) == [0, 0, 7]
+
+
+def test_vector_sums_do_not_depend_on_the_form(spark):
+    from clickforge.functions.vectors import vector_sum
+
+    rows = [(1, [1.0, 2.0, 3.0]), (1, None), (1, [1.0, None, 3.0]), (2, None), (3, [None, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    for mean in (False, True):
+        narrow, wide = ({r["id"]: r["vec"] for r in vector_sum(df, ["id"], "vec", 3, mean=mean, wide=w).collect()} for w in (8, 0))
+        assert narrow == wide and narrow[2] is None and narrow[3] == [None, 1.0, 1.0]
+    for bad in ([1.0, 2.0], [1.0] * 4):
+        more = df.union(spark.createDataFrame([(1, bad)], df.schema))
+        for w in (8, 0):
+            with pytest.raises(Exception, match="has not 3 elements"):
+                vector_sum(more, ["id"], "vec", 3, wide=w).collect()
+
+
+def test_factored_forms_agree_on_odd_ids_and_missing_cores(spark, cores):
+    kept = cores.filter("not (core = 1 and i = 1)").union(spark.createDataFrame([(0, 99, [1.0])], cores.schema))
+    ids = [None, -1, -30, SHAPE.rows, 0, 5, SHAPE.rows - 1, 5]
+    frame = spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "k int, id bigint")
+    near, far = ({r["k"]: r["vec"] for r in vectors.tt_lookup(frame, "id", kept, SHAPE, limit=n).collect()} for n in (1 << 20, 0))
+    assert near == far and sorted(near) == list(range(len(ids)))
+    assert all(near[k] is None for k in range(4)) and all(near[k] is not None for k in range(4, len(ids)))
+    grads = spark.createDataFrame(
+        [(i, None if k == 4 else [float(k + j) for j in range(SHAPE.dim)]) for k, i in enumerate(ids)], "id bigint, vec array<double>")
+    for dedup in (True, False):
+        near, far = ({(r["core"], r["i"]): r["vec"] for r in update.tt_core_gradients(grads, kept, SHAPE, dedup, limit=n).collect()}
+                     for n in (1 << 20, 0))
+        assert near == far and near
+
+
+def test_lookup_keeps_rows_with_unknown_ids(spark):
+    table = spark.createDataFrame([(1, [1.0])], "id bigint, vec array<double>")
+    rows = spark.createDataFrame([(0, 1), (1, 7), (2, None)], "row int, id bigint")
+    assert {r["row"]: r["vec"] for r in vectors.lookup(rows, table).collect()} == {0: [1.0], 1: None, 2: None}
+    assert {r["row"]: r["vec"] for r in vectors.embedding_bag(rows, rows, table, 1).collect()} == {0: [1.0], 1: [0.0], 2: [0.0]}

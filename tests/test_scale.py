@@ -169,3 +169,21 @@ def test_file_positions_over_several_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(got) == 3000 and (got["value"].astype(int) == got["pos"]).all()
+
+
+def test_file_positions_survive_other_split_sizes(spark, tmp_path):
+    from clickforge.operators.ordering import index_file_rows
+
+    for k in range(3):
+        (tmp_path / f"part{k}.txt").write_text("".join(f"{k * 1000 + i}\n" for i in range(1000)))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        numbered = index_file_rows(spark.read.text(str(tmp_path)))
+        for n in names:
+            spark.conf.set(n, "700")
+        got = numbered.collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(got) == 3000 and all(int(r["value"]) == r["pos"] for r in got)
