@@ -74,12 +74,13 @@ def mix(
     ``copy`` names a column for the number of the copy (from 0); the columns are else those of ``docs``.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    own, at = free_name(docs, "_ident"), free_name(docs, "_copy")
-    means = target_means(docs, source, weights, temperature, total).withColumn("_table", poisson_table(F.col("_mean")))
-    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    drawn = docs.withColumn(own, ident).join(means, F.col(f"`{source}`").eqNullSafe(F.col("_source")), "inner")
-    drawn = drawn.withColumn("_u", uniform(F.col(own), F.lit("count")))
-    count = F.size(F.filter("_table", lambda c: c < F.col("_u")))
+    own, at, from_, u, table = (free_name(docs, n) for n in ("_ident", "_copy", "_source", "_u", "_table"))
+    means = target_means(docs, source, weights, temperature, total)
+    means = means.select(F.col("_source").alias(from_), poisson_table(F.col("_mean")).alias(table))
+    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")))
+    drawn = docs.withColumn(own, ident).join(means, F.col(f"`{source}`").eqNullSafe(F.col(from_)), "inner")
+    drawn = drawn.withColumn(u, uniform(F.col(own), F.lit("count")))
+    count = F.size(F.filter(table, lambda c: c < F.col(u)))
     copies = F.sequence(F.lit(0), count - 1)
     dealt = drawn.select(*names, own, F.explode(F.when(count > 0, copies)).alias(at))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

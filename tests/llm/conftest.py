@@ -7,7 +7,7 @@ NASTY = [
     (None, "no id at all here", "de", None, 3), (8, "日本語 \u00e9\u0130 \U0001f600 #|$", "ja", "c", 1), (9, "you i d i o t, an id-iot", "en", "c", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = "_key long, _text string, quality string, fingerprint string, Score double, copy int, _row long, _mark long"
+CLASHING = "_key long, _text string, quality string, fingerprint string, Score double, copy int, _row long, _mark long, _source string, _u double, _table string, _ident string"
 
 
 @pytest.fixture(scope="module")
