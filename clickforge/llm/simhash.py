@@ -42,18 +42,24 @@ STEP = 1 << 18  # node pairs walked at a time
 LEAF = 64  # node pairs of so few fingerprint pairs are compared one by one
 
 
-def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of the words' shingles, repeats included."""
+def shingle_hashes(text: str, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hash of each shingle of the words, in order, repeats included."""
     words = text.encode().lower().split()  # A-Z only; splits at 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - width + 1)
     last = ends[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of the words' shingles, repeats included."""
+    hashes = shingle_hashes(text, width, seed)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for a in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

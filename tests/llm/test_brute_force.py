@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from clickforge.llm import packing, simhash
+from clickforge.llm import near_copies, packing, simhash
 from clickforge.llm.queries import QUERIES
 from clickforge.llm.components import components
 
@@ -111,6 +111,60 @@ def test_trie_join_on_families(spark, crowd):
     assert groups([found.get(x, x) for x in signed]) == groups(components_by_hand(marks))
 
 
+def groups_at_four_fifths(texts):
+    """For each text, the first place that pairs with five-word Jaccard >= 0.8 reach, all pairs compared."""
+    sets = []
+    for t in texts:
+        words = SPACED.findall(lower(t))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if root[i] != root[j] and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def texts_at_all_distances():
+    import random
+
+    rng, texts = random.Random(7), ["", " ", "one two", "One  Two", "one two three four", "a b c d e", "a b c d e f"]
+    word = lambda: f"w{rng.randrange(3000)}"
+    for n in (8, 20, 60, 150, 400):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in range(1, 2 + n // 20):
+                other = list(base)
+                for _ in range(edits):
+                    other[rng.randrange(n)] = word()
+                texts.append(" ".join(other))
+    # the limit itself: 8 of 10 shingles, and 7 of 9
+    texts += [" ".join(f"x{i}" for i in range(a, b)) for a, b in ((0, 13), (1, 14), (100, 112), (101, 113))]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_dedup_is_exact(spark, docs):
+    for texts in ([t for _, t in docs], texts_at_all_distances()):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        stay = sorted(r.doc_id for r in near_copies.one_of_each(rows).collect())
+        assert stay == sorted(set(groups_at_four_fifths(texts)))
+
+
+def test_near_dedup_of_crowded_groups(spark):
+    texts = sorted(set(texts_at_all_distances()) - {"", " ", "One  Two"})
+    none, rows = np.zeros(0, np.uint64), []
+    for i, t in enumerate(texts):
+        own = near_copies.shingle_set(t)
+        rows.append((i, len(own), bytearray(near_copies.prefix(own, none, none).astype(np.uint32).tobytes()), t))
+    own = spark.createDataFrame(rows, "row long, size int, prefix binary, text string")
+    root = {r.vertex: r.root for r in components(near_copies.links(own, 3, 500)).collect()}
+    assert [root.get(i, i) for i in range(len(texts))] == groups_at_four_fifths(texts)
+
+
 def test_licences(spark, docs):
     got = by_id(spark, "op4_licence_scan")
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
