@@ -9,7 +9,8 @@ constant text or links, are furniture; the article (or else the container with m
 
 Scale: tasks infer one wrapper per host from the pages they read; wrappers are merged by the same alignment, first
 by (host, salt), then by host, so a host with a third of all pages is spread over all tasks. A wrapper's size
-depends on the variety of a host's markup, not on its pages. Pages meet their host's decisions in a join by
+depends on the variety of a host's markup, not on its pages. Equal streams of a host are one page: streams are
+shuffled once to find them. Pages meet their host's decisions in a join by
 host (unique keys on that side, so hot hosts can be split). Whole pages are read; nothing is sampled.
 
 Cases: a null or empty html has an empty text; null urls are a host of their own; unclosed and crossed tags
@@ -100,7 +101,7 @@ def fold(nodes: list) -> list:
         while i < len(nodes):
             body, n = nodes[i : i + width], 1
             while len(body) == width and [_key(x) for x in nodes[i + n * width : i + (n + 1) * width]] == [_key(x) for x in body]:
-                body = [_join(a, b) for a, b in zip(body, nodes[i + n * width : i + (n + 1) * width])]
+                body = [_join(a, b, max) for a, b in zip(body, nodes[i + n * width : i + (n + 1) * width])]
                 n += 1
             if n > 1:
                 out.append(["+", "", body] if width > 1 or body[0][0] != "+" else body[0])
@@ -123,12 +124,12 @@ def _key(node: list) -> str:
     return "#" + node[1]
 
 
-def _join(a: list, b: list) -> list:
-    """Two matching nodes as one; differing texts leave a slot, and masses add up."""
+def _join(a: list, b: list, pages=sum) -> list:
+    """Two matching nodes as one; differing texts leave a slot, and masses add up. ``pages`` is max inside one page."""
     if a[0] == "#":
-        return ["#", a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+        return ["#", a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], pages((a[5], b[5]))]
     if a[0] in "+?":
-        return [a[0], a[1], [_join(x, y) for x, y in zip(a[2], b[2])]]
+        return [a[0], a[1], [_join(x, y, pages) for x, y in zip(a[2], b[2])]]
     return a
 
 
@@ -230,11 +231,16 @@ def extract(page: str, content: dict[str, bool]) -> str:
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [json.dumps(wrapper_of(page)) for page in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string())], names=["host", "wrapper"])
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, list] = {}
     for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = wrapper_of(page)
+        for host, own in zip(batch.column(0).to_pylist(), map(json.loads, batch.column(1).to_pylist())):
             known[host] = align(known[host], own) if host in known else own
     yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
 
@@ -252,7 +258,9 @@ def _decided(rows: pa.Table) -> pa.Table:
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, content): for each host, which container paths its wrapper takes for content, as JSON."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    partial = rows.mapInArrow(_partial, "host string, wrapper string")
+    # equal pages count once: copies are no evidence that a text is constant
+    streams = rows.mapInArrow(_streams, "host string, wrapper string").distinct()
+    partial = streams.mapInArrow(_partial, "host string, wrapper string")
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     merged = salted.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
     return merged.groupBy("host").applyInArrow(_decided, "host string, content string")

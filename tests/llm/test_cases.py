@@ -118,6 +118,16 @@ def test_pages(spark):
     assert wrappers.extract_text(pages.limit(0)).count() == url_graph.judge(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = "<div>own text<ul><li>same<li>same</ul></div>"
+    rows = [(k, "http://copies.org/x", page + f"<!-- {k} -->") for k in range(40)] + [(90, "http://one.org/x", page)]
+    rows += [(k, "http://two.org/x", "<div>first</div><section>only here</section>") for k in range(50, 53)] + [(60, "http://two.org/y", "<div>second</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrappers.extract_text(pages).collect()}
+    assert {got[k] for k in [*range(40), 90]} == {"own text\nsame\nsame"}
+    assert got[50] == "first\nonly here" and got[60] == "second"
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, nasty, nothing, labels, tmp_path, name, stage):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
