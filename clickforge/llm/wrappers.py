@@ -4,8 +4,9 @@ A page is a stream of tags and texts. Repeated neighbouring groups of a stream a
 group. Streams of a host are then aligned one after another: equal tags match, differing texts become text slots,
 and what only one side has becomes an optional group. The result is the host's wrapper, which says for each
 container (``nav``, ``div.ad``, ...) how much of its text is in slots, how much is the same on every page, and
-how much is link text. Containers that hold menus, headers, footers, forms, adverts and the like, or only
-constant text or links, are furniture; the article (or else the container with most slot text) is the content.
+how much is link text. Containers that hold menus, headers, footers, forms, adverts and the like by their tag or names
+are furniture. On pages with an article or main element the content is that element, without inner containers whose
+text never varies; constant text directly in it stays. On other pages of the host it is what mostly has slots and is not mostly links.
 
 Scale: tasks infer one wrapper per host from the pages they read; wrappers are merged by the same alignment, first
 by (host, salt), then by host, so a host with a third of all pages is spread over all tasks. A wrapper's size
@@ -177,8 +178,13 @@ def furniture(label: str) -> bool:
     return tag in FURNITURE or (bool(names) and tag not in ("html", "body", "article", "main") and bool(_FURNITURE_NAMES.search(names)))
 
 
-def decide(wrapper: list) -> dict[str, bool]:
-    """For each container path that holds text: whether it is content."""
+def _main_depth(path: str) -> int:
+    """Containers up to the innermost article or main; 0 without one."""
+    return max((k for k, x in enumerate(path.split("/"), 1) if x.split(".")[0] in ("article", "main")), default=0)
+
+
+def decide(wrapper: list) -> dict[str, list[str]]:
+    """The container paths that are content: "main" on pages with an article or main element, "rich" on others."""
     slots: dict[str, float] = {}
     every: dict[str, float] = {}
     linked: dict[str, float] = {}
@@ -198,12 +204,13 @@ def decide(wrapper: list) -> dict[str, bool]:
         return True
 
     good = {p for p in every if clean(p)}
-    roots = [p for p in good if {"article", "main"} & {x.split(".")[0] for x in p.split("/")}]
-    if roots:
-        return {p: p in roots for p in every}
-    # no article: what mostly has slots and is not mostly links, so far as it shares the richest one's container
-    rich = {p for p in good if slots.get(p, 0) * 2 >= every[p] and linked[p] * 2 < every[p]}
-    return {p: p in rich for p in every}
+    # in an article or main, inner containers whose text never varies are furniture; a container that some pages
+    # leave out stays as long as it has slots
+    roots = {p: _main_depth(p) for p in good if _main_depth(p)}
+    main = [p for p, depth in roots.items() if depth == len(p.split("/")) or slots.get(p, 0)]
+    # pages without: what mostly has slots and is not mostly links
+    rich = [p for p in good if p not in roots and slots.get(p, 0) * 2 >= every[p] and linked[p] * 2 < every[p]]
+    return {"main": sorted(main), "rich": sorted(rich), "roots": sorted(roots)}
 
 
 def infer(wrappers: Iterator[list]) -> list:
@@ -213,11 +220,14 @@ def infer(wrappers: Iterator[list]) -> list:
     return out or []
 
 
-def extract(page: str, content: dict[str, bool]) -> str:
-    """Texts of the page's content containers, one block a line."""
+def extract(page: str, content: dict[str, set[str]]) -> str:
+    """Texts of the page's content containers, one block a line. Whether it has an article or main is its own layout."""
+    nodes = [(kind, value, "/".join(path)) for kind, value, path, _ in walk(page)]
+    roots = content["roots"]
+    own = content["main" if any(kind == "text" and path in roots and value.strip() for kind, value, path in nodes) else "rich"]
     blocks: list[str] = []
     parts: list[str] = []
-    for kind, value, path, _ in walk(page):
+    for kind, value, path in nodes:
         if kind == "tag":
             name = value.lstrip("/")
             if name in BLOCKS:
@@ -225,7 +235,7 @@ def extract(page: str, content: dict[str, bool]) -> str:
                 parts = []
             elif name == "br":
                 parts.append(" ")
-        elif content.get("/".join(path), False):
+        elif path in own:
             parts.append(entities.unescape(value))
     blocks.append("".join(parts))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
@@ -256,7 +266,7 @@ def _decided(rows: pa.Table) -> pa.Table:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, content): for each host, which container paths its wrapper takes for content, as JSON."""
+    """(host, content): for each host, what ``decide`` says of its wrapper, as JSON."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     # equal pages count once: copies are no evidence that a text is constant
     streams = rows.mapInArrow(_streams, "host string, wrapper string").distinct()
@@ -278,7 +288,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             texts = []
             for page, content in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if content not in known:
-                    known[content] = json.loads(content or "{}")
+                    known[content] = {"main": set(), "rich": set(), "roots": set()} | {k: set(v) for k, v in json.loads(content or "{}").items()}
                 texts.append(extract(page, known[content]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

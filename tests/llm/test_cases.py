@@ -128,6 +128,15 @@ def test_copies_of_a_page_are_one_page(spark):
     assert got[50] == "first\nonly here" and got[60] == "second"
 
 
+def test_wrapper_decides_per_layout_and_inside_articles(spark):
+    box = "<div class='x1'>Share it with friends</div>"
+    rows = [(k, "http://both.org/x", f"<article><p>story {k}</p>{box}<div class='x2'>note {k}</div></article>") for k in range(4)]
+    rows += [(k, "http://both.org/y", f"<div class='x3'>Same on each page</div><section>plain page {k}</section>") for k in range(4, 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract_text(pages).collect()}
+    assert got == {k: f"story {k}\nnote {k}" if k < 4 else f"plain page {k}" for k in range(8)}
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, nasty, nothing, labels, tmp_path, name, stage):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
