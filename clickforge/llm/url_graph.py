@@ -29,7 +29,7 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*[a-z][a-z0-9+.\-]*://([^/?#\"'\s>]+)"
+_LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:

@@ -283,6 +283,14 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert abs(sum(r.trust for r in got.values()) - 1) < 1e-6
 
 
+def test_links_without_a_scheme_are_links_between_hosts(spark):
+    from clickforge.llm import url_graph
+
+    page = "<a href='//Other.org/x'>a</a><a href=https://third.org>b</a><a href='/own//path'>c</a><a href='x//y'>d</a>"
+    pages = spark.createDataFrame([("http://a.org/", page)], "url string, html string")
+    assert sorted(r.target for r in url_graph.host_edges(pages).collect()) == ["other.org", "third.org"]
+
+
 def test_toxicity_is_right_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, folder).collect()}
