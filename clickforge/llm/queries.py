@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickforge.llm import containment, licences, mixing, packing, quality, simhash, token_files, toxicity, url_graph, wrappers
+from clickforge.llm import (
+    bisectors, containment, licences, merkle, mixing, packing, quality, simhash, token_files, toxicity, url_graph, warc, wrappers,
+)
+from clickforge.llm.statements import MERKLE_SQL, WARC_SQL, cluster_sql
+from clickforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +99,23 @@ def url_graph_filter(spark, folder):
 def token_id_files(spark, folder):
     docs = table(spark, folder, "documents")
     files = token_files.write_token_files(
-        docs, token_files.shared_folder(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+        docs, scratch_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
     )
     return token_files.read_token_files(spark, files)
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark, folder):
+    return merkle.prove(table(spark, folder, "documents"))
+
+
+@query("op12_warc", WARC_SQL)
+def warc_archives(spark, folder):
+    archive = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), archive)
+    return warc.read_warc(spark, archive).drop("target_uri")
+
+
+@query("op13_centroid_clusters", cluster_sql(bisectors.CLUSTERS, bisectors.ROUNDS, bisectors.DIM, bisectors.SCALE, bisectors.SEED))
+def centroid_clusters(spark, folder):
+    return bisectors.cluster(table(spark, folder, "embeddings"))

@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from clickforge.llm.common import whole
 from clickforge.llm.tokens import encoder
-from clickforge.session import checkpoint_root
 
 NO_ID = -(1 << 63)
 READ_ROWS = 8192
@@ -168,7 +167,3 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return spark.range(0, len(known), 1, max(1, len(known))).mapInArrow(read, schema)
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/clickforge-{label}-{uuid.uuid4().hex}"

@@ -50,7 +50,7 @@ def _kind(config: dict) -> str:
 
 
 class TextEncoder:
-    """Encodes texts to little-endian unsigned ids; strings of special tokens in a text are ordinary text.
+    """Encodes texts to little-endian unsigned ids; a text that holds an added token goes to the library whole.
 
     ``dtype`` is ``<u2`` where every id fits, else ``<u4``.
     """
@@ -59,8 +59,11 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = _kind(json.loads(self.tokenizer.to_str()))
+        config = json.loads(self.tokenizer.to_str())
+        self.kind = _kind(config)
+        self.added = [t["content"] for t in config["added_tokens"]]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in config["added_tokens"]):
+            self.kind = ""  # found by other rules than plain containment
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = (_WORD_PIECES if self.kind == "word" else _BYTE_PIECES).findall
         self.cache: dict[str, bytes] = {}  # by chunk
@@ -86,7 +89,7 @@ class TextEncoder:
             self.cache[chunk] = b"".join([known[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
-        if not self.kind or not _PLAIN.fullmatch(text):
+        if not self.kind or any(t in text for t in self.added) or not _PLAIN.fullmatch(text):
             return self._whole(text)
         if self.kind == "word":
             chunks, head = text.lower().split(), b""

@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from clickforge.llm import near_copies, packing, simhash
+from clickforge.llm import mixing, packing, simhash, toxicity
 from clickforge.llm.queries import QUERIES
 from clickforge.llm.components import components
 
@@ -111,58 +111,11 @@ def test_trie_join_on_families(spark, crowd):
     assert groups([found.get(x, x) for x in signed]) == groups(components_by_hand(marks))
 
 
-def groups_at_four_fifths(texts):
-    """For each text, the first place that pairs with five-word Jaccard >= 0.8 reach, all pairs compared."""
-    sets = []
-    for t in texts:
-        words = SPACED.findall(lower(t))
-        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if root[i] != root[j] and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    return root
-
-
-def texts_at_all_distances():
-    import random
-
-    rng, texts = random.Random(7), ["", " ", "one two", "One  Two", "one two three four", "a b c d e", "a b c d e f"]
-    word = lambda: f"w{rng.randrange(3000)}"
-    for n in (8, 20, 60, 150, 400):
-        for _ in range(6):
-            base = [word() for _ in range(n)]
-            texts.append(" ".join(base))
-            for edits in range(1, 2 + n // 20):
-                other = list(base)
-                for _ in range(edits):
-                    other[rng.randrange(n)] = word()
-                texts.append(" ".join(other))
-    # the limit itself: 8 of 10 shingles, and 7 of 9
-    texts += [" ".join(f"x{i}" for i in range(a, b)) for a, b in ((0, 13), (1, 14), (100, 112), (101, 113))]
-    rng.shuffle(texts)
-    return texts
-
-
-def test_near_dedup_is_exact(spark, docs):
-    for texts in ([t for _, t in docs], texts_at_all_distances()):
-        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-        stay = sorted(r.doc_id for r in near_copies.one_of_each(rows).collect())
-        assert stay == sorted(set(groups_at_four_fifths(texts)))
-
-
-def test_near_dedup_of_crowded_groups(spark):
-    texts = sorted(set(texts_at_all_distances()) - {"", " ", "One  Two"})
-    none, rows = np.zeros(0, np.uint64), []
-    for i, t in enumerate(texts):
-        own = near_copies.shingle_set(t)
-        rows.append((i, len(own), bytearray(near_copies.prefix(own, none, none).astype(np.uint32).tobytes()), t))
-    own = spark.createDataFrame(rows, "row long, size int, prefix binary, text string")
-    root = {r.vertex: r.root for r in components(near_copies.links(own, 3, 500)).collect()}
-    assert [root.get(i, i) for i in range(len(texts))] == groups_at_four_fifths(texts)
+def test_one_document_of_each_group_stays(spark, docs):
+    marks = [simhash.fingerprint(text) for _, text in docs]
+    stay = {docs[r][0] for r in components_by_hand(marks)}
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(stay)
 
 
 def test_licences(spark, docs):
@@ -227,8 +180,11 @@ def test_encoder_equals_library(name):
 
     own = TextEncoder(public_tokenizers.path(name))
     texts = ["", " ", "a  b", "x \n y", "don't I'll 12 3.5 ½", "tail ", "\nlead", "日本語", "İstanbul", "foo\n\n bar", "'s 'll", "²³ 10² aª",
-             "<|endoftext|> x", "a\u00a0b", "soft\u00adhyphen", "ﬁ Å"]
-    for text, e in zip(texts, own.tokenizer.encode_batch(texts, add_special_tokens=False)):
+             "<|endoftext|> x", "hi <|endoftext|> x", "<|startoftext|>", "a<|startoftext|>b <|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "a\u00a0b",
+             "soft\u00adhyphen", "ﬁ Å"]
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    texts += [f"x {t} y{t}" for t in map(str, (fresh.id_to_token(i) for i in fresh.get_added_tokens_decoder()))]
+    for text, e in zip(texts, fresh.encode_batch(texts, add_special_tokens=False)):
         assert own.encode(text) == np.array(e.ids, own.dtype).tobytes(), text
 
 
@@ -300,11 +256,43 @@ def test_toxicity_is_right_on_held_out_documents(spark):
     assert np.mean([(s >= 0.5) == bool(y) for s, y in own]) > 0.9
 
 
-def test_pipeline_stages_follow_from_their_operators(spark, docs):
+def test_pipeline_stages_follow_from_their_operators(spark):
+    """Ids and counts of every stage, recomputed from its input by plain Python or by the operator of the stage."""
+    stages, folder = dict(corpus_pipeline.STAGES), FOLDER
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    good = stages["quality rules"](spark, rows, folder)
+    assert sorted(r.doc_id for r in good.collect()) == sorted(k for k, r in by_id(spark, "op1_quality_rules").items() if r.kept)
+    clean = stages["toxicity"](spark, good, folder)
+    scored = toxicity.score_documents(good, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in scored.collect() if not r.predicted)
+    own = sorted((r.doc_id, r.text or "") for r in clean.collect())
+    stay = {own[r][0] for r in components_by_hand([simhash.fingerprint(t) for _, t in own])}
+    single = stages["near-dedup"](spark, clean, folder)
+    assert {r.doc_id for r in single.collect()} == stay and single.count() == len(stay)
+    mixed = collections.Counter(r.doc_id for r in stages["source mixing"](spark, single, folder).collect())
+    assert mixed == copies_by_hand(single.collect())
     out = corpus_pipeline.run(spark, FOLDER).collect()
-    kept = {k for k, r in by_id(spark, "op1_quality_rules").items() if r.kept}
-    assert out and {r.doc_id for r in out} <= kept
+    assert out and collections.Counter(r.doc_id for r in out if r.piece == 0) == mixed
     lengths = collections.defaultdict(int)
     for r in out:
         lengths[r.sequence_id] += r.length
     assert max(lengths.values()) <= 2048 and len(lengths) == len(best_fit([r.length for r in out], 2048))
+
+
+def copies_by_hand(rows):
+    """Poisson counts of the documents, source weights proportional to the square root of the sources' sizes."""
+    import math
+
+    sizes = collections.Counter(r.source for r in rows)
+    total = sum(math.sqrt(n) for n in sizes.values())
+    out = collections.Counter()
+    for r in rows:
+        mean = math.sqrt(sizes[r.source]) / total * len(rows) / sizes[r.source]
+        u = (int(hashlib.md5(f"42:{r.doc_id}:count".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        reached, n = math.exp(-mean), 0
+        while reached < u:
+            n += 1
+            reached += math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))
+        if n:
+            out[r.doc_id] = n
+    return out

@@ -5,13 +5,14 @@ import pytest
 
 import corpus_pipeline
 from clickforge.llm import containment, licences, mixing, packing, quality, simhash, token_files, toxicity, url_graph, wrappers
+from clickforge.session import scratch_path
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def files(docs):
     spark = docs.sparkSession
-    return token_files.read_token_files(spark, token_files.write_token_files(docs, token_files.shared_folder(spark, "t"), BYTE, 2))
+    return token_files.read_token_files(spark, token_files.write_token_files(docs, scratch_path(spark, "t"), BYTE, 2))
 
 
 BY_ROW = {
@@ -138,9 +139,9 @@ def test_wrapper_decides_per_layout_and_inside_articles(spark):
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
-def test_stages(spark, nasty, nothing, labels, tmp_path, name, stage):
+def test_stages(spark, nasty, clashing, nothing, labels, tmp_path, name, stage):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (nasty, nothing):
+    for docs in (nasty, clashing, nothing):
         out = stage(spark, docs, str(tmp_path))
         out.count()
         assert (out.columns == docs.columns) == (name != "best-fit packing")
