@@ -1,24 +1,26 @@
 """Positions, ranks and running values in a total order, without a one-task window.
 
 Every operator here works in two levels. Rows are range partitioned on (group, order) and
-sorted inside each partition, which splits even a group that holds most of the rows. One small
-row per partition then carries counts or totals forward; its number is bounded by the number of
-shuffle partitions, so it may be broadcast whatever the data size.
+sorted inside each partition, which splits even a group that holds most of the rows. Running values are formed
+in the same pass, before the sorted rows are stored. One small row per partition then carries counts or totals
+forward; its number is bounded by the number of shuffle partitions, so it may be broadcast whatever the data
+size, and the stored rows are not shuffled again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickforge.functions.scalars import int_div
+from clickforge.functions.scans import Carried, sorted_pass
 from clickforge.session import materialize
 
 PART, SLOT = "_part", "_slot"
+SCAN, CARRY = "_scanned", "_carried"  # structs, so that their fields clash with no column of the rows
 CHUNK_ROWS = 1 << 16
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in 33 bits
@@ -91,37 +93,97 @@ def rank_in_group(
     """0-based rank of each row inside its group.
 
     ``few_groups`` declares that the groups are a handful fixed by the schema (feature fields). The
-    rows are then stored by group and the rank is plain arithmetic on the stored columns, so a
-    filter on the group reads its files only and the optimizer knows their size. Otherwise a second
-    level ranks inside (partition, group) and only groups that span partitions carry an offset.
+    result is then stored by group, so a filter on the group reads its files only.
     """
-    if few_groups:
-        return _rank_few(df, list(group), order_by, out)
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running(one, order_by, "_one", out, group=group, inclusive=False).select(*df.columns, out)
-
-
-def _rank_few(df: DataFrame, group: list[str], order_by: Sequence[Column | str], out: str) -> DataFrame:
-    stored = ranged(df, [*group, *order_by], "rank", partition_by=group)
-    # at most one row per partition plus one per group
-    pieces = stored.groupBy(PART, *group).agg(F.count(F.lit(1)).alias("_n"), F.min(SLOT).alias("_lo")).collect()
-    if not pieces:
-        return stored.select(*df.columns, F.col(SLOT).alias(out))
-    starts = [0] * (1 + max(row[PART] for row in pieces))
-    for row in pieces:
-        starts[row[PART]] += row["_n"]
-    starts = [0, *accumulate(starts)][:-1]
-    heads: dict[tuple, int] = {}
-    for row in pieces:
-        key = tuple(row[g] for g in group)
-        position = starts[row[PART]] + row["_lo"]
-        heads[key] = min(position, heads.get(key, position))
-    head = F.coalesce(*[
-        F.when(reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.lit(k)) for g, k in zip(group, key)]), F.lit(position).cast("bigint"))
-        for key, position in heads.items()
-    ])
-    start = F.element_at(F.lit(starts).cast("array<bigint>"), (F.col(PART) + 1).cast("int"))
-    return stored.select(*df.columns, (start + F.col(SLOT) - head).alias(out))
+    ranked = running(one, order_by, "_one", out, group=group, inclusive=False).select(*df.columns, out)
+    return materialize(ranked, "rank", list(group)) if few_groups else ranked
+
+
+class SortedPass:
+    """Rows sorted by (group, order) and stored once, with running values and runs formed on the way.
+
+    ``values`` maps output names to (column, how, inclusive). A carry row per partition holds what the
+    partition's first group brings along from earlier ones.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[Column | str], group: Sequence[str] = (),
+                 values: dict[str, tuple[str, str, bool]] | None = None, run_keys: Sequence[str] = (), label: str = "running"):
+        self.columns, self.group, self.run_keys, self.values = df.columns, list(group), list(run_keys), values or {}
+        order = _orders([*self.group, *order_by])
+        carried = [Carried(how, df.schema[c].dataType, inclusive) for c, how, inclusive in self.values.values()]
+        keys = [*self.group, *self.run_keys, *[c for c, _, _ in self.values.values()]]
+        scan = sorted_pass(len(self.group), carried, len(self.run_keys))
+        tagged = (
+            df.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_row", F.monotonically_increasing_id())
+            .withColumn(SCAN, scan(*[F.col(k) for k in keys], F.lit(True)))  # iterators of one column carry no tuples
+            .select(*self.columns, F.shiftright("_row", _SLOT_BITS).alias(PART),
+                    F.col("_row").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1)).alias(SLOT), SCAN)
+        )
+        self.stored = materialize(tagged, label)
+
+    def _edges(self) -> DataFrame:
+        """One row per non-empty partition, in order: its first and last row and what the partition before it held."""
+        ends = self.stored.filter((F.col(SLOT) == 0) | F.col(f"{SCAN}.last"))  # at most two rows per partition
+        totals = []
+        for k, (column, how, inclusive) in enumerate(self.values.values()):
+            own = F.col(f"{SCAN}.v{k}")
+            if not inclusive:
+                own = F.coalesce(own, F.lit(0)) + F.coalesce(column, F.lit(0)) if how == "sum" else _RUNNING[how][1](own, F.col(column))
+            totals.append(own.alias(f"t{k}"))
+        first = F.struct(*[F.col(c) for c in (*self.group, *self.run_keys)], F.lit(0).alias("_"))
+        final = F.struct(*[F.col(c) for c in (*self.group, *self.run_keys)], *totals, F.col(f"{SCAN}.run").alias("_run"), SLOT)
+        edges = ends.groupBy(PART).agg(
+            F.first(F.when(F.col(SLOT) == 0, first), ignorenulls=True).alias("first"),
+            F.first(F.when(F.col(f"{SCAN}.last"), final), ignorenulls=True).alias("final"),
+        )
+        line = Window.orderBy(PART)  # one row per partition
+        same = Window.partitionBy(*[f"final.{g}" for g in self.group]).orderBy(PART)
+        for k, (_, how, _) in enumerate(self.values.values()):
+            edges = edges.withColumn(f"c{k}", _RUNNING[how][0](f"final.t{k}").over(same))
+        edges = edges.select("*", F.lag(F.struct("final", *[f"c{k}" for k in range(len(self.values))])).over(line).alias("past"))
+
+        def alike(names: list[str]) -> Column:
+            equal = [F.col(f"first.{n}").eqNullSafe(F.col(f"past.final.{n}")) for n in names]
+            return reduce(lambda a, b: a & b, equal, F.col("past").isNotNull())
+
+        # a run that goes on from the partition before does not start here
+        starts = F.when(alike(self.run_keys), F.lit(0)).otherwise(F.lit(1))
+        before = line.rowsBetween(Window.unboundedPreceding, 0)
+        carry = F.struct(
+            F.struct(*[F.col(f"first.{g}").alias(g) for g in self.group], F.lit(0).alias("_")).alias("first"),
+            *[F.when(alike(self.group), F.col(f"past.c{k}")).alias(f"c{k}") for k in range(len(self.values))],
+            (starts == 1).alias("fresh"),
+            (F.sum(starts.cast("bigint") + F.coalesce(F.col("past.final._run"), F.lit(0))).over(before) - 1).alias("runs"),
+            F.sum(F.coalesce(F.col(f"past.final.{SLOT}") + 1, F.lit(0))).over(before).alias("start"),
+        )
+        return edges.select(F.col(PART), carry.alias(CARRY))
+
+    def rows(self, initial: dict | None = None, pos: str | None = None, run: str | None = None, head: str | None = None) -> DataFrame:
+        """The rows with their running values and, if named, their position, run number and whether they begin a run."""
+        initial = initial or {}
+        joined = self.stored.join(F.broadcast(self._edges()), PART)
+        opening = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{CARRY}.first.{g}")) for g in self.group], F.lit(True))
+        out = [F.col(c) for c in self.columns]
+        for k, (name, (_, how, _)) in enumerate(self.values.items()):
+            parts = [F.when(opening, F.col(f"{CARRY}.c{k}")), F.col(f"{SCAN}.v{k}")]
+            start = initial.get(name, 0 if how == "sum" else None)
+            if start is not None:
+                parts.append(F.lit(start))
+            if how == "sum":
+                total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
+            else:
+                total = _RUNNING[how][1](*parts)
+            out.append(total.alias(name))
+        if pos:
+            out.append((F.col(f"{CARRY}.start") + F.col(SLOT)).alias(pos))
+        number = F.col(f"{CARRY}.runs") + F.col(f"{SCAN}.run")
+        if run:
+            out.append(number.alias(run))
+        if head:
+            out.append(F.when(F.col(SLOT) == 0, F.col(f"{CARRY}.fresh")).otherwise(F.col(f"{SCAN}.turn")).alias(head))
+        return joined.select(*out)
 
 
 def running(
@@ -136,39 +198,12 @@ def running(
 ) -> DataFrame:
     """Running sum, max or min in a total order, per group if groups are given.
 
-    The window covers one (partition, group) at a time. What a group brings from earlier
-    partitions is joined on: only a group that is first in some partition can have a past, so
-    there are at most two carry rows per partition. An exclusive scan starts at ``initial``
+    The values are formed in the sorted pass that stores the rows; what a partition's first group brings from
+    earlier partitions is joined on, one row per partition. An exclusive scan starts at ``initial``
     (0 for a sum, null otherwise).
     """
-    aggregate, combine = _RUNNING[how]
-    if initial is None and how == "sum":
-        initial = 0
-    group = list(group)
-    stored = ranged(df, [*group, *order_by], "running")
-    earlier = Window.partitionBy(PART, *group).orderBy(SLOT)
-    frame = earlier.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = stored.withColumn("_local", aggregate(value).over(frame))
-
-    totals = stored.groupBy(PART, *group).agg(aggregate(value).alias("_total"))
-    if group:
-        openers = stored.filter(F.col(SLOT) == 0).select(*group).distinct()
-        totals = totals.alias("l").join(
-            F.broadcast(openers.alias("r")), same_keys("l", "r", group), "left_semi"
-        )
-    past = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(PART, *group, aggregate("_total").over(past).alias("_carry"))
-    joined = local.alias("l").join(
-        F.broadcast(carry.alias("r")), same_keys("l", "r", [PART, *group]), "left"
-    )
-    parts = [F.col("_carry"), F.col("_local")]
-    if initial is not None:
-        parts.append(F.lit(initial))
-    if how == "sum":
-        total = reduce(combine, [F.coalesce(p, F.lit(0)) for p in parts])
-    else:
-        total = combine(*parts) if len(parts) > 1 else parts[0]
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], total.alias(out))
+    scanned = SortedPass(df, order_by, group, {out: (value, how, inclusive)})
+    return scanned.rows({} if initial is None else {out: initial}).select(*df.columns, out)
 
 
 def with_neighbor(

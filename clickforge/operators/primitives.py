@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickforge.functions.scalars import even_bin, int_div, level_bin
-from clickforge.operators.ordering import CHUNK_ROWS, index_rows, rank_in_group, running, with_neighbor
+from clickforge.operators.ordering import CHUNK_ROWS, SortedPass, index_rows, rank_in_group, running
 from clickforge.session import materialize
 
 FOLD_ROWS = 100_000  # partial results a task holds before it passes them on
@@ -62,19 +62,18 @@ def histogram_multi(df: DataFrame, levels: dict[str, Sequence[float]]) -> DataFr
 # ---- runs of equal neighbours -------------------------------------------------------------------
 
 
-def _heads(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """Rows whose key differs from the previous row's; ``pos`` is a dense position."""
-    seen = with_neighbor(df, pos, {"_prev": key})
-    return seen.filter((F.col(pos) == 0) | ~F.col(key).eqNullSafe(F.col("_prev"))).drop("_prev")
+def _runs(df: DataFrame, key: str, pos: str) -> SortedPass:
+    """Rows sorted by position, with the runs of equal keys found on the way; null keys are equal."""
+    return SortedPass(df, [pos], run_keys=[key], label="runs")
 
 
 def run_length_encode(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """(run, key, offset, len) of maximal runs of equal neighbours."""
-    heads = index_rows(_heads(df.select(pos, key), key, pos), [pos], "run", "runs")
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return with_neighbor(heads, "run", {"_next": pos}, step=1).select(
-        "run", key, F.col(pos).alias("offset"), (F.coalesce("_next", total) - F.col(pos)).alias("len")
-    )
+    """(run, key, offset, len) of maximal runs of equal neighbours; ``pos`` is a dense position.
+
+    The rows of a run lie together, so a task sends one row for each of its runs.
+    """
+    numbered = _runs(df.select(pos, key), key, pos).rows(run="run")
+    return numbered.groupBy("run", key).agg(F.min(pos).alias("offset"), F.count(F.lit(1)).alias("len"))
 
 
 def nontrivial_runs(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -84,15 +83,13 @@ def nontrivial_runs(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 def dedupe_consecutive(df: DataFrame, key: str, pos: str) -> DataFrame:
     """First row of each run."""
-    return _heads(df, key, pos)
+    return _runs(df, key, pos).rows(head="_head").filter("_head").drop("_head")
 
 
 def reduce_by_run(df: DataFrame, key: str, pos: str, aggregates: dict[str, Column]) -> DataFrame:
     """Aggregate values over runs of *neighbouring* equal keys: (run, key, aggregates...)."""
-    flagged = with_neighbor(df, pos, {"_prev": key})
-    head = (F.col(pos) == 0) | ~F.col(key).eqNullSafe(F.col("_prev"))
-    numbered = running(flagged.withColumn("_head", head.cast("bigint")), [pos], "_head", "_run")
-    return numbered.groupBy((F.col("_run") - 1).alias("run"), key).agg(*[c.alias(n) for n, c in aggregates.items()])
+    numbered = _runs(df, key, pos).rows(run="run")
+    return numbered.groupBy("run", key).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
 # ---- selection ----------------------------------------------------------------------------------
