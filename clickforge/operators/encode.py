@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickforge.functions.scalars import clip, fill_missing
 from clickforge.operators.ordering import rank_in_group
-from clickforge.session import materialize
+from clickforge.session import materialize, materialize_bucketed
+
+HEAD_BYTES = 64 << 20  # broadcast for all dictionaries of one lookup
+ENTRY_BYTES, LONG_VALUE = 48, 256  # of an entry in a broadcast table beside its text; longer texts are in no head
 
 
 def long_form(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -52,6 +56,43 @@ def categorify_fit(df: DataFrame, fields: Sequence[str], max_size: int | None =
     )
 
 
+def head_sizes(mapping: DataFrame, names: Sequence[str], old: str, new: str, budget: int) -> dict[str, int | None]:
+    """How many of each field's first entries may be broadcast within ``budget`` bytes; None for the whole dictionary.
+
+    Small dictionaries leave their share of the budget to larger ones. Where numbers repeat, so that a bound on ``new``
+    is no bound on the entries, a dictionary that is too large has no head.
+    """
+    text = isinstance(mapping.schema[old].dataType, T.StringType)
+    width = F.least(F.max(F.octet_length(old)), F.lit(LONG_VALUE)) if text else F.lit(0)
+    found = mapping.filter(F.col("field").isin(list(set(names)))).groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), (width + ENTRY_BYTES).alias("bytes"), (F.max(F.octet_length(old)) if text else F.lit(0)).alias("longest")
+    ).collect()  # one row per field
+    heads: dict[str, int | None] = dict.fromkeys(names, 0)
+    left = budget
+    for i, row in enumerate(sorted(found, key=lambda r: r["n"] * r["bytes"])):
+        share = left // (len(found) - i)
+        fits = row["n"] * row["bytes"] <= share and (row["longest"] or 0) <= LONG_VALUE
+        heads[row["field"]] = None if fits else share // row["bytes"]
+        left -= row["n"] * row["bytes"] if fits else share
+    cut = {f: h for f, h in heads.items() if h}
+    if cut:
+        inside = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col(new) < h) for f, h in cut.items()])
+        for row in mapping.filter(inside).groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect():
+            if row["n"] > cut[row["field"]]:
+                heads[row["field"]] = 0
+    return heads
+
+
+def _head(mapping: DataFrame, field: str, head: int | None, old: str, new: str) -> DataFrame:
+    part = mapping.filter(F.col("field") == field)
+    return part if head is None else part.filter((F.col(new) < head) & _short(mapping, old))
+
+
+def _short(mapping: DataFrame, old: str) -> Column:
+    text = isinstance(mapping.schema[old].dataType, T.StringType)
+    return F.octet_length(old) <= LONG_VALUE if text else F.lit(True)
+
+
 def apply_mapping(
     df: DataFrame,
     mapping: DataFrame,
@@ -59,27 +100,76 @@ def apply_mapping(
     old: str = "value",
     new: str = "id",
     default=None,
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """Replace each field's values through a (field, old, new) table; unmatched becomes ``default``,
-    one value or one per field.
+    one value or one per field. ``fields`` may map a column to the field name used in the mapping.
 
-    One left join per field on a unique key. No broadcast is forced: the mapping is a stored
-    table partitioned by field, so the optimizer sees its real size per field and broadcasts
-    only below the session's threshold. A larger field becomes a shuffle join whose hot values
-    the adaptive skew join splits (the probe side may be split because the other side is unique).
-    ``fields`` may map a column to the field name used in the mapping.
+    ``new`` goes by frequency, so the first entries of every dictionary hold most accesses. These heads are broadcast
+    within ``head_bytes`` for all fields together, after their entries were counted. Dictionaries that fit need no shuffle
+    at all. For the others, only values that no head knows are sent to the tails, all fields in one shuffle of
+    (row, field, value); their numbers come back by row, while the rows stay where they are stored. Nulls are not sent.
+    The result is the same for any budget.
     """
     names = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
+    if df.isStreaming:
+        return _join_each(df, mapping, names, old, new, default)
+    heads = head_sizes(mapping, list(names.values()), old, new, head_bytes)
     old_type = mapping.schema[old].dataType
+    found = {column: f"_new_{i}" for i, column in enumerate(names)}
     out = df
     for column, name in names.items():
-        part = mapping.filter(F.col("field") == name).select(
-            F.col(old).alias("_old"), F.col(new).alias("_new")
-        )
-        joined = out.join(part, F.col(column).try_cast(old_type) == F.col("_old"), "left")
+        if heads[name] == 0:
+            out = out.withColumn(found[column], F.lit(None).cast(mapping.schema[new].dataType))
+            continue
+        part = _head(mapping, name, heads[name], old, new).select(F.col(old).alias("_old"), F.col(new).alias(found[column]))
+        out = out.join(F.broadcast(part), F.col(column).try_cast(old_type) == F.col("_old"), "left").drop("_old")
+    tails = {column: name for column, name in names.items() if heads[name] is not None}
+    if tails:
+        out = _from_tails(out, mapping, tails, heads, found, old, new)
+    values = {}
+    for column, name in names.items():
+        missing = default.get(name) if isinstance(default, Mapping) else default
+        values[column] = F.col(found[column]) if missing is None else F.coalesce(found[column], F.lit(missing))
+    return out.withColumns(values).select(*df.columns)
+
+
+def _from_tails(rows: DataFrame, mapping: DataFrame, tails: dict[str, str], heads: dict[str, int | None],
+                found: dict[str, str], old: str, new: str) -> DataFrame:
+    """Fill the numbers that the heads did not know.
+
+    The rows are stored once, bucketed by the task that wrote them, so what comes back for (task, slot) meets them
+    without moving them. Hot values are in the heads; a frequent value that no dictionary has is left to the adaptive skew join.
+    """
+    old_type = mapping.schema[old].dataType
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = rows.withColumn("_row", F.monotonically_increasing_id()).select(
+        *rows.columns, F.shiftright("_row", 33).alias("_task"), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
+    )
+    stored = materialize_bucketed(tagged, "rows", ["_task"], buckets)
+    asked = F.array(*[
+        F.when(F.col(found[c]).isNull() & F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.lit(name).alias("field"), F.col(c).try_cast(old_type).alias("_old")))
+        for i, (c, name) in enumerate(tails.items())
+    ])
+    requests = stored.select("_task", "_at", F.explode(F.filter(asked, lambda e: e.isNotNull())).alias("e")).select("_task", "_at", "e.*")
+    outside = [(F.col("field") == name) & ~((F.col(new) < heads[name]) & _short(mapping, old)) for name in set(tails.values())]
+    tail = mapping.filter(reduce(lambda a, b: a | b, outside)).select("field", F.col(old).alias("_old"), F.col(new).alias("_new"))
+    answers = requests.join(tail, ["field", "_old"]).repartition(buckets, "_task").groupBy("_task", "_at").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("_new"))).alias(f"_tail_{i}") for i in range(len(tails))]
+    )
+    joined = stored.join(answers, ["_task", "_at"], "left")
+    filled = {found[c]: F.coalesce(found[c], f"_tail_{i}") for i, c in enumerate(tails)}
+    return joined.withColumns(filled).select(*rows.columns)
+
+
+def _join_each(df: DataFrame, mapping: DataFrame, names: Mapping[str, str], old: str, new: str, default) -> DataFrame:
+    """One left join per field, for streams, whose rows cannot be stored on the way."""
+    out = df
+    for column, name in names.items():
+        part = mapping.filter(F.col("field") == name).select(F.col(old).alias("_old"), F.col(new).alias("_new"))
+        joined = out.join(part, F.col(column).try_cast(mapping.schema[old].dataType) == F.col("_old"), "left")
         missing = default.get(name) if isinstance(default, Mapping) else default
-        value = F.col("_new") if missing is None else F.coalesce(F.col("_new"), F.lit(missing))
-        out = joined.withColumn(column, value).drop("_old", "_new")
+        out = joined.withColumn(column, F.col("_new") if missing is None else F.coalesce(F.col("_new"), F.lit(missing))).drop("_old", "_new")
     return out
 
 

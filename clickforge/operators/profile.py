@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickforge.operators.batching import assign_batches
-from clickforge.operators.encode import apply_mapping, categorify_fit, value_counts
+from clickforge.operators.encode import HEAD_BYTES, apply_mapping, categorify_fit, value_counts
 from clickforge.operators.ordering import index_rows, rank_in_group, running
 from clickforge.operators.primitives import partition_flagged
 from clickforge.session import materialize
@@ -144,15 +144,17 @@ def lfu_cache_set(lookups: DataFrame, cache_size: int, id_col: str = "id") -> Da
 
 
 def cache_split(lookups: DataFrame, cache: DataFrame, pos: str, id_col: str = "id",
-                warm_up: bool = False) -> DataFrame:
+                warm_up: bool = False, tables: int = 1, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """Add ``slot``, ``is_hit`` and ``out_pos``: misses first in order, then hits in reverse order.
 
-    During warm-up every lookup is a miss.
+    During warm-up every lookup is a miss, and so it is when the lookups belong to several tables.
+    Slots go by frequency, so the first ones are broadcast and only ids that they do not know are sent to the rest.
     """
-    slots = cache.select(F.col("id").alias(id_col), F.col("slot").cast("bigint").alias("slot"))
-    joined = lookups.join(slots, id_col, "left")
-    if warm_up:
-        joined = joined.withColumn("slot", F.lit(None).cast("bigint"))
+    if warm_up or tables > 1:
+        joined = lookups.withColumn("slot", F.lit(None).cast("bigint"))
+    else:
+        slots = cache.select(F.lit("cache").alias("field"), "id", F.col("slot").cast("bigint").alias("slot"))
+        joined = apply_mapping(lookups.withColumn("slot", F.col(id_col)), slots, {"slot": "cache"}, old="id", new="slot", head_bytes=head_bytes)
     flagged = joined.withColumn("_miss", F.col("slot").isNull())
     return partition_flagged(flagged, "_miss", pos=pos).withColumn("is_hit", ~F.col("_miss")).drop("_miss")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def local_session(cpus: int | str = 8, app: str = "clickforge", **conf: str) -> SparkSession:
@@ -22,6 +24,8 @@ def local_session(cpus: int | str = 8, app: str = "clickforge", **conf: str) ->
         .config("spark.driver.memory", "12g")
         # generated methods above 8000 bytes (sums of wide vectors) are never compiled by the JVM
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # rows bucketed by their partition meet results keyed by (partition, slot) without a shuffle of the rows
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -68,8 +72,23 @@ def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | N
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def materialize_bucketed(df: DataFrame, label: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` once to the shared folder, bucketed by ``keys``, as an external table of the session's catalog.
+
+    Joins and aggregations on the keys read it without a shuffle. Each task writes a file for every bucket it has rows
+    of, so ``df`` should be partitioned by the keys already, or its tasks should hold few of them.
+    """
+    spark = df.sparkSession
+    name = f"clickforge_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch_path(spark, label)).saveAsTable(name)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables this application has written; returns how many."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists {name}")
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
     hadoop = spark._jsc.hadoopConfiguration()
     for path in paths:
