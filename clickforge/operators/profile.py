@@ -255,16 +255,17 @@ def rank_encoding(vocabulary: DataFrame, n_rows: int) -> tuple[DataFrame, dict[s
     return mapping, rank_of_unknown
 
 
-def access_profile(df: DataFrame, fields: Sequence[str], pos: str, batch_size: int, max_size: int | None = None) -> DataFrame:
+def access_profile(df: DataFrame, fields: Sequence[str], pos: str, batch_size: int, max_size: int | None = None,
+                   drop_last: bool = False) -> DataFrame:
     """Encode, count, re-number by frequency, and report per batch what deduplication saves.
 
-    (batch, field, n_rows, n_unique, max_rank, reuse); full batches only.
+    (batch, field, n_rows, n_unique, max_rank, reuse); with ``drop_last`` full batches only.
     """
     rows = df.select(pos, *fields)
     n_rows = rows.count()
     mapping, unknown = rank_encoding(categorify_fit(rows, fields, max_size), n_rows)
     renumbered = apply_mapping(rows, mapping, fields, new="new_id", default=unknown)
-    batches = assign_batches(renumbered, batch_size, pos=pos, n_rows=n_rows)
+    batches = assign_batches(renumbered, batch_size, pos=pos, n_rows=n_rows, drop_last=drop_last)
     sizes = batch_sizes(batches, fields)
     return sizes.select(
         "batch", "field", "n_rows", "n_unique", F.col("max_id").alias("max_rank"),

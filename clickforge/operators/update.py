@@ -21,10 +21,13 @@ def aggregate_gradients(grads: DataFrame, keys: Sequence[str], dim: int, vec: st
     return vector_sum(grads, keys, vec, dim)
 
 
-def apply_sgd(table: DataFrame, grads: DataFrame, keys: Sequence[str], dim: int, lr: float) -> DataFrame:
-    """New version of the table: old - lr * summed gradient; rows without gradient stay."""
-    summed = vector_sum(grads, keys, "vec", dim, out="_g")
-    joined = table.join(summed, list(keys), "left")
+def apply_sgd(table: DataFrame, grads: DataFrame, keys: Sequence[str], dim: int, lr: float, summed: bool = False) -> DataFrame:
+    """New version of the table: old - lr * summed gradient; rows without gradient stay.
+
+    ``summed`` says that ``grads`` is unique on the keys already.
+    """
+    own = grads.select(*keys, F.col("vec").alias("_g")) if summed else vector_sum(grads, keys, "vec", dim, out="_g")
+    joined = table.join(own, list(keys), "left")
     stepped = F.coalesce(add_scaled("vec", "_g", -lr), F.col("vec").cast("array<double>"))
     return joined.withColumn("vec", stepped).drop("_g")
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from clickforge.functions.scalars import int_div, mixed_radix
 from clickforge.functions.vectors import dequantize, fixed_point, quantize
-from clickforge.operators import interaction, update, vectors
-from clickforge.operators.ordering import index_rows, running
+from clickforge.operators import interaction, stores, update, vectors
+from clickforge.operators.ordering import index_rows
 from clickforge.plans.registry import CLICKS, Tables, fixed_point_sql, query
 from clickforge.session import materialize
 
@@ -95,15 +95,55 @@ def multi_table_lookup(t):
     return as_text(found.select("l_orderkey", "field", "id", "vec"))
 
 
+_BAG_SQL = f"""with {_N},
+members as (select l_orderkey as row, embedding as vec from (select * from lineitem, n) l join embeddings on vec_id = l_partkey % n),
+{sum_sql('members', 'row')}
+select o_orderkey as row, {fixed_point_sql("coalesce(vec, list_transform(range(64), lambda i: 0.0::double))")} as vec
+from orders left join summed on row = o_orderkey"""
+
+
+@query("bucketed_lookup", f"""with {_N}
+select l_orderkey, l_linenumber, id, {fixed_point_sql('embedding')} as vec
+from (select l_orderkey, l_linenumber, case when l_partkey % 3 = 0 then 5 else l_partkey % n end as id from lineitem, n) l join embeddings on vec_id = id""")
+def bucketed_lookup(t):
+    """A third of the rows ask for one id."""
+    id_of = F.when(F.col("l_partkey") % 3 == 0, F.lit(5)).otherwise(_vec_of(t, F.col("l_partkey")))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", id_of.cast("bigint").alias("id"))
+    return as_text(stores.VectorTable.create(t.vectors, DIM).lookup(rows))
+
+
+@query("bucketed_bags", _BAG_SQL)
+def bucketed_bags(t):
+    members = t.lineitem.select(F.col("l_orderkey").alias("row"), _vec_of(t, F.col("l_partkey")).alias("id"))
+    return as_text(stores.VectorTable.create(t.vectors, DIM).bags(t.orders.select(F.col("o_orderkey").alias("row")), members))
+
+
+@query("bucketed_updates", f"""with {_N}, {CLICKS},
+g as (select user_id % n as id, list_transform(embedding, lambda x: 3 * x::double) as vec
+  from (select * from clicks, n) c join embeddings on vec_id = pos % n), {sum_sql('g', 'id')},
+fresh as (select vec_id + n // 2 as id, list_reverse(embedding) as vec from embeddings, n),
+stepped as (select vec_id as id, list_transform(range(1, 65), lambda i: embedding[i]::double - 0.1::double * coalesce(vec[i], 0)) as vec
+  from embeddings left join summed on id = vec_id)
+select coalesce(f.id, s.id) as id, {fixed_point_sql('coalesce(list_transform(f.vec, lambda x: x::double), s.vec)')} as vec
+from stepped s full join fresh f on f.id = s.id""")
+def bucketed_updates(t):
+    """Two steps and an upsert, each from the version before: the gradients of the first step, then twice as large ones."""
+    n = t.n_vectors
+    events = t.clicks.select(F.pmod("user_id", F.lit(n)).alias("id"), F.pmod("pos", F.lit(n)).alias("source"))
+    grads = events.join(t.vectors.withColumnRenamed("id", "source"), "source").select("id", "vec")
+    double = grads.withColumn("vec", F.transform("vec", lambda x: x.cast("double") * 2))
+    fresh = t.vectors.select((F.col("id") + n // 2).alias("id"), F.reverse("vec").alias("vec"))
+    start = stores.VectorTable.create(t.vectors, DIM)
+    return as_text(start.step(grads, 0.1).step(double, 0.1).overwrite(fresh).frame)
+
+
 @query("lengths_to_offsets", """
 with s as (select o_orderkey, count(l_orderkey) as n from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)
 select o_orderkey, cast(sum(n) over (order by o_orderkey) - n as bigint) as lo, cast(sum(n) over (order by o_orderkey) as bigint) as hi from s""")
 def lengths_to_offsets(t):
-    sizes = t.orders.select(F.col("o_orderkey").alias("l_orderkey")).join(
-        t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")), "l_orderkey", "left"
-    ).select(F.col("l_orderkey").alias("o_orderkey"), F.coalesce("n", F.lit(0)).alias("n"))
-    ends = running(sizes, ["o_orderkey"], "n", "hi")
-    return ends.select("o_orderkey", (F.col("hi") - F.col("n")).alias("lo"), "hi")
+    lists = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("ids"))
+    orders = t.orders.join(lists, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", "ids")
+    return vectors.lengths_to_offsets(orders, ["o_orderkey"], "ids").select("o_orderkey", "lo", "hi")
 
 
 @query("offsets_to_rows", """

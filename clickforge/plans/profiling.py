@@ -22,8 +22,7 @@ ranks as (select field, value, row_number() over (partition by field order by co
   from long group by field, value)
 select pos // 512 as batch, field, count(*) as n_rows, count(distinct rank) as n_unique, max(rank) as max_rank,
   round(1 - count(distinct rank) / count(*)::double, 6) as reuse
-from long join ranks using (field, value)
-where pos // 512 < (select count(*) // 512 from clicks) group by all""")
+from long join ranks using (field, value) group by all""")
 def access_profile(t):
     report = profile.access_profile(t.clicks, FIELDS, "pos", 512)
     return report.withColumn("reuse", F.round("reuse", 6))
