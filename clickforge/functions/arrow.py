@@ -20,9 +20,23 @@ def to_matrix(column: pa.Array, dim: int, dtype=np.float64) -> np.ndarray:
 
 
 def to_cube(column: pa.Array, dim: int, dtype=np.float64) -> np.ndarray:
-    """A list-of-vectors column with equally many vectors per row, as an (n, fields, dim) array."""
-    flat = column.flatten().flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=dtype).reshape(len(column), -1, dim) if len(column) else np.zeros((0, 0, dim))
+    """A list-of-vectors column with equally many vectors per row, as an (n, fields, dim) array.
+
+    A null vector, as a lookup gives for an unknown id, counts as zeros. A null list, lists of different lengths, or a
+    vector that has not ``dim`` elements end the job: nothing may slip into another row.
+    """
+    fields = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    if not len(column):
+        return np.zeros((0, 0, dim), dtype)
+    if fields.min() != fields.max() or fields[0] < 0:
+        raise ValueError(f"rows have no list or between {max(fields.min(), 0)} and {fields.max()} vectors")
+    vectors = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(vectors), dim).to_numpy(zero_copy_only=False)
+    if (sizes != dim).any():
+        raise ValueError(f"{(sizes != dim).sum()} of {len(sizes)} vectors have not {dim} elements")
+    cube = np.zeros((len(vectors), dim), dtype)
+    cube[vectors.is_valid().to_numpy(zero_copy_only=False)] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return cube.reshape(len(column), int(fields[0]), dim)
 
 
 def from_matrix(matrix: np.ndarray, kind: pa.DataType | None = None, missing: np.ndarray | None = None) -> pa.Array:

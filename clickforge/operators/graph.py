@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickforge.functions.scalars import int_div, to_cold_range
-from clickforge.operators.ordering import index_rows, rank_in_group
+from clickforge.operators.ordering import rank_in_group, running
 from clickforge.session import materialize
 
 LIST_CHUNK = 1024  # neighbours per adjacency list row
@@ -249,14 +249,53 @@ def count_communities(membership: DataFrame) -> DataFrame:
     return membership.agg(F.countDistinct("community").alias("n_communities"))
 
 
+def _climb(state: DataFrame, columns: dict[str, Column], n: int, gained: Column | None = None) -> DataFrame:
+    """Double the reach of (v, up, ...) until nobody has anything above.
+
+    Before a round, ``up`` is the ancestor 2^k steps away or null. ``columns`` are the values after the round, in terms of
+    v's own and of ``_`` + name of the one at ``up``; ``gained``, if given, is summed over all vertices that have v as ``up`` and
+    arrives as ``_gained``. Rows keep their width, and there are as many rounds as the logarithm of the depth.
+    """
+    for step in count():
+        if state.filter("up is not null").isEmpty():
+            return state
+        if 1 << step > max(1, n):
+            raise ValueError("parent pointers run in a circle")
+        above = state.select(F.col("v").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in columns])
+        joined = state.join(above, "up", "left")
+        if gained is not None:
+            sums = state.filter("up is not null").groupBy(F.col("up").alias("v")).agg(F.sum(gained).alias("_gained"))
+            joined = joined.join(sums, "v", "left")
+        state = materialize(joined.select("v", F.col("_up").alias("up"), *[c.alias(name) for name, c in columns.items()]), "climb")
+
+
+def subtree_sizes(forest: DataFrame) -> DataFrame:
+    """(v, parent, size): how many vertices hang below and at each vertex of (v, parent); roots are their own parents.
+
+    A round adds to v the sizes of those that have v 2^k steps above, so it counts twice as deep as the one before.
+    """
+    up = F.when(F.col("parent") != F.col("v"), F.col("parent"))
+    start = materialize(forest.select("v", up.alias("up"), F.lit(1).cast("bigint").alias("size")), "climb")
+    grown = F.col("size") + F.coalesce("_gained", F.lit(0))
+    sizes = _climb(start, {"size": grown}, start.count(), gained=F.col("size")).select("v", "size")
+    return forest.select("v", "parent").join(sizes, "v")
+
+
 def permutation(forest: DataFrame) -> DataFrame:
     """(old, new): ids numbered community by community, depth first along the merge tree.
 
-    Sorting by the path from the root is the depth-first order: a path sorts right before its
-    extensions. The result covers [0, n) when the forest does.
+    A vertex stands behind its parent by one plus the sizes of its earlier siblings (by id), a root behind all earlier
+    trees; its place is the sum of these distances up to the root. Both come from doubling rounds over rows of
+    constant width, the sums over siblings from one sorted pass, in which a hub's children may lie in many partitions.
+    The result covers [0, n) when the forest does.
     """
-    paths = trace_community(forest, with_path=True)
-    return index_rows(paths.select("v", "path"), ["path"], "new", "permutation").select(F.col("v").alias("old"), "new")
+    sizes = subtree_sizes(forest)
+    siblings = sizes.withColumn("up", F.when(F.col("parent") != F.col("v"), F.col("parent")))
+    placed = running(siblings, ["v"], "size", "_earlier", group=["up"], inclusive=False)
+    behind = F.col("_earlier") + F.when(F.col("up").isNotNull(), 1).otherwise(0)
+    start = materialize(placed.select("v", "up", behind.alias("at")), "climb")
+    places = _climb(start, {"at": F.col("at") + F.coalesce("_at", F.lit(0))}, start.count())
+    return places.select(F.col("v").alias("old"), F.col("at").alias("new"))
 
 
 def offset_permutation(perm: DataFrame, hot: int) -> DataFrame:

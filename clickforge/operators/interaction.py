@@ -13,6 +13,7 @@ from clickforge.functions.arrow import from_matrix, to_cube, to_matrix
 from clickforge.operators.batching import downsample_negatives_batch
 
 Layer = tuple[np.ndarray, np.ndarray]
+WEIGHT_LIMIT_BYTES = 256 << 20
 
 
 def interaction_width(fields: int, dim: int) -> int:
@@ -30,7 +31,8 @@ def _pair_products(dense: np.ndarray, cube: np.ndarray, upper: bool) -> np.ndarr
 def pairwise_dot(df: DataFrame, dense: str, vectors: str, dim: int, out: str = "features", upper: bool = False) -> DataFrame:
     """Dense vector followed by the dot products of all pairs of (dense, field vectors...).
 
-    Pairs i > j in row order, or i < j with ``upper``. Without field vectors only the dense part remains.
+    Pairs i > j in row order, or i < j with ``upper``. Without field vectors only the dense part remains. A null field
+    vector counts as zeros; a null dense vector or list, or another length, ends the job.
     """
 
     @F.arrow_udf("array<double>")
@@ -61,8 +63,12 @@ def score_batch(df: DataFrame, dense: str, vectors: str, n_dense: int, dim: int,
                 top: Sequence[Layer], out: str = "score") -> DataFrame:
     """Bottom layers on the dense columns, pairwise interaction, top layers, sigmoid.
 
-    The weights are given (out, in) matrices; the field vectors come from a lookup before.
+    The weights are given (out, in) matrices of at most ``WEIGHT_LIMIT_BYTES``, which is checked before they travel to the
+    tasks; the field vectors come from a lookup before, and null ones count as zeros.
     """
+    size = sum(a.nbytes for layer in (*bottom, *top) for a in layer)
+    if size > WEIGHT_LIMIT_BYTES:
+        raise ValueError(f"weights take {size} bytes, more than {WEIGHT_LIMIT_BYTES}")
     shared = df.sparkSession.sparkContext.broadcast((list(bottom), list(top)))
 
     @F.arrow_udf("double")

@@ -117,6 +117,42 @@ def trace_community(t):
     return graph.trace_community(t.part.select(F.col("p_partkey").alias("v"), parent.alias("parent")))
 
 
+_TREES = """up as (select p_partkey as v, p_partkey as node, [p_partkey] as path from part
+  union all select v, (((node // 7) // 2) * 7 + node % 7) as node, list_prepend(((node // 7) // 2) * 7 + node % 7, path) from up where node >= 7),
+placed as (select v as old, row_number() over (order by path) - 1 as new from up where node < 7)"""
+
+
+def _trees(t):
+    """The seven trees of ``trace_community`` as a forest."""
+    parent = int_div(int_div("p_partkey", 7), 2) * 7 + F.pmod("p_partkey", F.lit(7))
+    return t.part.select(F.col("p_partkey").alias("v"), parent.alias("parent"))
+
+
+@query("permutation", f"with recursive {_TREES} select old, new from placed")
+def permutation(t):
+    return graph.permutation(_trees(t))
+
+
+@query("offset_permutation", f"with recursive {_TREES} select old, new + 5 as new from placed")
+def offset_permutation(t):
+    return graph.offset_permutation(graph.permutation(_trees(t)), 5)
+
+
+@query("compose_bijection", f"""with recursive {_TREES}, n as (select count(*) as n from part), hot as (select n // 20 as hot from n),
+ranks as (select p_partkey as old_id, n - 1 - p_partkey as k from part, n),
+cold as (select old + 1 + hot as k, new + 1 + hot as moved from placed, hot, n where old < n - 1 - hot),
+dense as (select k, (select hot from hot) + row_number() over (order by moved) as moved from cold)
+select old_id, coalesce(moved, k) as new_id from ranks left join dense using (k)""")
+def compose_bijection(t):
+    """Parts ranked from the last to the first; all behind the first twentieth are moved by the trees' order."""
+    n = t.part.count()
+    hot = n // 20
+    ranks = t.part.select(F.col("p_partkey").alias("old_id"), (F.lit(n) - 1 - F.col("p_partkey")).alias("new_id"))
+    cold = _trees(t).filter(F.col("v") < n - 1 - hot)  # children have larger ids than their parents, so whole trees stay
+    moved = graph.permutation(cold).select((F.col("old") + 1).alias("old"), (F.col("new") + 1).alias("new"))
+    return graph.compose_bijection(ranks, moved, hot)
+
+
 _N = "(select max(user_id) + 2 from events)"
 
 
