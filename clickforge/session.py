@@ -85,11 +85,14 @@ def materialize_bucketed(df: DataFrame, label: str, keys: Sequence[str], buckets
     return spark.table(name)
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables this application has written; returns how many."""
+def release_scratch(spark: SparkSession, keep: str | None = None) -> int:
+    """Delete the intermediate tables this application has written, but for the path ``keep``; returns how many."""
     for name in _TABLES.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"drop table if exists {name}")
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    if keep in paths:
+        paths.remove(keep)
+        _SCRATCH[spark.sparkContext.applicationId] = [keep]
     hadoop = spark._jsc.hadoopConfiguration()
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
