@@ -87,9 +87,11 @@ def total_weight(strengths: DataFrame) -> DataFrame:
     return strengths.agg(F.sum("strength").alias("total"))
 
 
-def best_neighbor(weights: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
+def best_neighbor(weights: DataFrame, strengths: DataFrame | None = None, seed: int | None = None) -> DataFrame:
     """(v, u, gain): the neighbour with the largest positive gain w - str(v) str(u) / total; ties to the smaller id.
 
+    With a ``seed``, ties go to the neighbour with the smaller hash of the pair, which is the same from both ends.
+
     ``strengths`` (v, strength) may carry weight that contraction has turned into self loops.
     The join on v comes first, so the grouping by v still needs a shuffle and pre-aggregates:
     a hub does not end in one task.
@@ -103,8 +105,9 @@ def best_neighbor(weights: DataFrame, strengths: DataFrame | None = None) -> Dat
         .select("src", "dst", "w", "sv", "su", (F.col("w") - F.col("sv") * F.col("su") / total).alias("gain"))
         .filter("gain > 0")
     )
+    tie = F.lit(0) if seed is None else F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed))
     best = gains.groupBy("src").agg(
-        F.min(F.struct((-F.col("gain")).alias("g"), "dst", "w", "sv", "su")).alias("b")
+        F.min(F.struct((-F.col("gain")).alias("g"), tie.alias("tie"), "dst", "w", "sv", "su")).alias("b")
     )
     return best.select(
         F.col("src").alias("v"), F.col("b.dst").alias("u"), (-F.col("b.g")).alias("gain"),
@@ -171,55 +174,93 @@ def trace_community(parents: DataFrame, with_path: bool = False) -> DataFrame:
 QUEUE_SLOTS = 64  # hash slots per power of two of strength
 
 
-def _accepted_merges(proposals: DataFrame, total) -> DataFrame:
-    """(v, parent): the proposals of one round that may all happen together.
+def _senders(proposals: DataFrame) -> DataFrame:
+    """(v, u, w, sv, su): proposals to a heavier vertex, and those to a lighter one that sends to nobody heavier itself.
+
+    A finished community would else take a vertex at the border of its neighbour before that joins its own.
+    """
+    lighter = (F.col("su") > F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
+    columns = ["v", "u", "w", "sv", "su"]
+    up = proposals.filter(lighter).select(*columns)
+    down = proposals.filter(~lighter).join(up.select(F.col("v").alias("u")), "u", "left_anti").select(*columns)
+    return up.union(down)
+
+
+def _attempts(senders: DataFrame, seed: int) -> DataFrame:
+    """The senders that may join at the same time: each joins a vertex that stays.
+
+    A coin per vertex (a hash of the id and the seed) says whether it stays or joins. A vertex that sends nothing stays
+    without a coin, one that nobody sends to joins without a coin. So each sender is among the attempts with a chance of
+    at least one in four, whatever the shape of the graph, and the attempts form stars.
+    """
+    stays = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(2)) == 0
+    wanted = senders.select(F.col("u").alias("v"), F.lit(True).alias("_wanted")).distinct()
+    tails = senders.join(wanted, "v", "left").filter(F.col("_wanted").isNull() | ~stays).drop("_wanted")
+    movers = senders.filter(~stays).select(F.col("v").alias("u"))  # if wanted, they join; the target of a sender is wanted
+    return tails.join(movers, "u", "left_anti")
+
+
+def _accepted_merges(attempts: DataFrame, total) -> DataFrame:
+    """(v, parent): the attempts of one round that may all happen together.
 
-    v joins its best neighbour u when u is heavier and u itself joins nobody, so merges form stars.
     The proposers of u queue from light to heavy, in slots of (power of two of the strength, hash).
     v is accepted when it gains even if everybody in earlier slots and in its own slot joins; the
     edges among them, which this bound leaves out, only add to the gain. The lightest vertex of the
     first slot gains in any case. A queue has a bounded number of slots, and joining on (u, slot)
     spreads the proposers of a hub over many tasks.
     """
-    joins = (F.col("su") > F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
     slot = F.floor(F.log2("sv")) * QUEUE_SLOTS + F.pmod(F.xxhash64("v"), F.lit(QUEUE_SLOTS))
-    senders = proposals.filter(joins).select("v", "u", "w", "sv", "su", slot.alias("slot"))
+    queued = attempts.select("v", "u", "w", "sv", "su", slot.alias("slot"))
     queue = Window.partitionBy("u").orderBy("slot")
     slots = (
-        senders.groupBy("u", "slot")
+        queued.groupBy("u", "slot")
         .agg(F.sum("sv").alias("_own"), F.min(F.struct("sv", "v")).alias("_lightest"))
-        .join(senders.select(F.col("v").alias("u")), "u", "left_anti")
         .select(
             "u", "slot", F.sum("_own").over(queue).alias("_ahead"),
             F.when(F.row_number().over(queue) == 1, F.col("_lightest.v")).alias("_first"),
         )
     )
     gain_left = F.col("w") - F.col("sv") * (F.col("su") + F.col("_ahead") - F.col("sv")) / total
-    taken = senders.join(slots, ["u", "slot"]).filter((gain_left > 0) | (F.col("_first") == F.col("v")))
+    taken = queued.join(slots, ["u", "slot"]).filter((gain_left > 0) | (F.col("_first") == F.col("v")))
     return taken.select("v", F.col("u").alias("parent"))
 
 
+CROWDED = 8  # a round is crowded when fewer than one of so many senders merges
+
+
 def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
     """(v, parent, round): merge forest of greedy modularity clustering.
 
-    Every round each vertex proposes its best neighbour, light vertices join heavier ones, and the
-    merged edges are contracted. Each accepted merge raises the modularity, and while anybody has a
-    proposal at least one is accepted: the chain of heavier targets ends at a vertex that joins
-    nobody, and its lightest proposer gains. The loop ends when nobody gains. Each round is written
-    out. Roots have themselves as parent and round -1.
+    Every round each vertex proposes its best neighbour, coins turn the proposals into stars, and the merged edges are
+    contracted. Each accepted merge raises the modularity. A vertex without a proposal never gets one again, as the gain
+    with a merged neighbour is the sum of the gains with its parts. A quarter of the senders may be expected to try in a
+    round, and of those who try to join the same vertex at least one succeeds, all of them while the gain lasts. Where many keep to
+    one that gains from few of them, the next round is among the refused only, as they may gain from each other. The rounds
+    follow the logarithm of the number of vertices on paths, stars and rings of cliques (measured). There is no such bound
+    for all graphs: one clique that is the whole graph takes about half as many rounds as vertices (13 for 24). The loop ends when nobody proposes. Senders, merges and the smaller graph of each round are written out. Coins
+    are hashes, so the result is the same on every run. Roots have themselves as parent and round -1.
     """
     current = materialize(weights.select("src", "dst", "w"), "graph")
     strengths = materialize(degrees(current).select("v", "strength"), "strength")
     everyone = strengths.select("v") if n is None else weights.sparkSession.range(n).select(F.col("id").alias("v"))
     total = strengths.agg(F.sum("strength")).first()[0]
-    merges = []
+    merges, among = [], None
     for step in count():
-        proposals = materialize(best_neighbor(current, strengths), "proposals")
-        accepted = materialize(_accepted_merges(proposals, total), "merges")
-        if accepted.isEmpty():
+        senders = materialize(_senders(materialize(best_neighbor(current if among is None else among, strengths, step), "proposals")), "senders")
+        n_senders = senders.count()
+        if not n_senders and among is None:
             break
+        accepted = materialize(_accepted_merges(_attempts(senders, step), total), "merges")
+        n_accepted, among = accepted.count(), None
+        if not n_accepted:  # nobody refused has a gain with another, or the coins fell badly
+            continue
         merges.append(accepted.withColumn("round", F.lit(step)))
         current = materialize(contract_graph(current, accepted), "graph")
+        if n_accepted * CROWDED < n_senders:
+            merged = accepted.select(F.explode(F.array("v", "parent")).alias("v"))
+            refused = materialize(senders.select("v").join(merged, "v", "left_anti"), "refused")
+            from_refused = current.join(refused.select(F.col("v").alias("src")), "src", "left_semi")
+            among = from_refused.join(refused.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
         moved = strengths.join(accepted, "v", "left").select(F.coalesce("parent", "v").alias("v"), "strength")
         strengths = materialize(moved.groupBy("v").agg(F.sum("strength").alias("strength")), "strength")
     if not merges:
