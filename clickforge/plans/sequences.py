@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 
 from clickforge.functions.scalars import int_div
 from clickforge.operators import primitives as seq
+from clickforge.operators import segments as cut
 from clickforge.plans.registry import query
 
 
@@ -174,6 +175,42 @@ def segmented_arg(t):
     return seq.segmented_arg(rows, "segment", "cents", "pos", largest=True)
 
 
+# segments by offset pairs: one per customer, with any overlaps; some are empty or lie partly outside the rows
+_CUTS = f"""{_EVENTS}, cuts as (select c_custkey as segment, c_custkey * 7919 % (select count(*) from events) - 40 as "begin",
+  c_custkey * 7919 % (select count(*) from events) - 60 + c_custkey * 31 % 700 as "end" from customer),
+hit as (select segment, "begin", pos, cents, user_id from cuts left join ev on pos >= "begin" and pos < "end")"""
+
+
+def _cuts(t):
+    start = F.col("c_custkey").cast("bigint") * 7919 % t.events.agg(F.count(F.lit(1))).scalar()
+    length = F.col("c_custkey").cast("bigint") * 31 % 700
+    return t.customer.select(F.col("c_custkey").alias("segment"), (start - 40).alias("begin"), (start - 60 + length).alias("end"))
+
+
+@query("segments_sum", f"with {_CUTS} select segment, cast(coalesce(sum(cents), 0) as bigint) as result from hit group by segment")
+def segments_sum(t):
+    return cut.reduce_between(_events(t), "pos", "cents", _cuts(t), "sum", 0)
+
+
+@query("segments_max", f"with {_CUTS} select segment, max(cents) as result from hit group by segment")
+def segments_max(t):
+    return cut.reduce_between(_events(t), "pos", "cents", _cuts(t), "max")
+
+
+@query("segments_arg", f"""with {_CUTS} select segment, pos - "begin" as idx, cents as value from hit
+qualify row_number() over (partition by segment order by cents, pos) = 1""")
+def segments_arg(t):
+    return cut.arg_between(_events(t), "pos", "cents", _cuts(t))
+
+
+@query("segments_sort", f"""with {_CUTS} select segment, pos, user_id, greatest("begin", 0) + row_number() over (
+  partition by segment order by cents desc, user_id, pos) - 1 as out_pos from hit where pos is not null""")
+def segments_sort(t):
+    rows = _events(t).select("pos", "user_id", "cents")
+    ordered = cut.sort_between(rows, "pos", [F.col("cents").desc(), "user_id"], _cuts(t))
+    return ordered.select("segment", "pos", "user_id", "out_pos")
+
+
 # ---- sorts --------------------------------------------------------------------------------------
 
 
