@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clickforge.functions.scalars import int_div
 from clickforge.operators.ordering import index_rows
@@ -72,6 +75,29 @@ def assign_batches(
     return out.filter(F.col(batch) < full)
 
 
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: T.StructType | str, batch: str = "batch", order_by: str = "in_batch"
+) -> DataFrame:
+    """Hand every mini-batch, whole and in order, to a function of the user; its tables make up the result.
+
+    The function gets an Arrow table with all columns of ``df`` for the rows of one batch, wherever these were read, and returns
+    a table with the columns of ``schema``, in any number of rows; they are cast to its types, and a missing column or a
+    value that does not fit raises an error. A call sees one batch, so memory follows the batch size, not the input. The
+    function runs again for a lost task: it should give the same table for the same rows. Rows without a batch number
+    belong to no batch and are left out, as they could be any number.
+    """
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if not isinstance(declared, T.StructType):
+        raise TypeError("the schema must name columns")
+    target = to_arrow_schema(declared)
+
+    def call(rows: pa.Table) -> pa.Table:
+        out = fn(rows.sort_by(order_by))
+        return out.select(target.names).cast(target)
+
+    return df.filter(F.col(batch).isNotNull()).groupBy(batch).applyInArrow(call, declared)
+
+
 def limit_batches(df: DataFrame, n: int, batch: str = "batch") -> DataFrame:
     return df.filter(F.col(batch) < n)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,18 @@ def histogram_multi(df: DataFrame, levels: dict[str, Sequence[float]]) -> DataFr
     return bins.join(counts, ["channel", "bin"], "left").select("channel", "bin", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def region(df: DataFrame, pos: str, row_stride: int, first_row: int, n_rows: int, first_col: int, n_cols: int) -> DataFrame:
+    """Rows inside a rectangle, where positions fill a picture ``row_stride`` wide row by row.
+
+    Columns beyond the width and positions before 0 do not exist; the filter needs no shuffle. Histograms of the result are
+    those of the region.
+    """
+    row, col = int_div(pos, row_stride), F.pmod(F.col(pos), F.lit(row_stride))
+    return df.filter(
+        (F.col(pos) >= 0) & (row >= first_row) & (row < first_row + n_rows) & (col >= first_col) & (col < first_col + n_cols)
+    )
+
+
 # ---- runs of equal neighbours -------------------------------------------------------------------
 
 
@@ -100,6 +113,28 @@ def select_if(df: DataFrame, condition: Column | str, pos: str) -> DataFrame:
     return index_rows(df.filter(condition), [pos], "out_pos", "selected")
 
 
+def select_where(df: DataFrame, predicate: Callable[[pa.RecordBatch], np.ndarray], pos: str) -> DataFrame:
+    """``select_if`` with a function of the user: it gets Arrow batches of rows and returns one boolean per row.
+
+    Where the rows are cut into batches is up to the session, so the function must judge each row by itself.
+    """
+
+    def keep(batches):
+        for batch in batches:
+            chosen = np.asarray(predicate(batch), dtype=bool)
+            if chosen.shape != (batch.num_rows,):
+                raise ValueError(f"the predicate gave {chosen.shape} values for {batch.num_rows} rows")
+            yield batch.filter(pa.array(chosen))
+
+    return index_rows(df.mapInArrow(keep, df.schema), [pos], "out_pos", "selected")
+
+
+def selected_count(df: DataFrame, condition: Column | str) -> DataFrame:
+    """One row (n_rows, n_selected): how many rows there are and how many match; a null condition does not match."""
+    matches = F.expr(condition) if isinstance(condition, str) else condition
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(matches).alias("n_selected"))
+
+
 def partition_flagged(df: DataFrame, flag: str, pos: str, out: str = "out_pos") -> DataFrame:
     """Two-way split by a boolean column: flagged rows keep their order, the rest follow reversed."""
     counted = running(

@@ -95,13 +95,18 @@ def classify_rows(df: DataFrame, hot: DataFrame, fields: Sequence[str],
     )
 
 
-def hot_batch_quota(rows: DataFrame, iterations: int, is_hot: str = "is_hot") -> DataFrame:
-    """(n_hot, n_normal, hot_iters, normal_iters): iterations shared out by row counts."""
+def hot_batch_quota(rows: DataFrame, iterations: int, is_hot: str = "is_hot", epoch: bool = False) -> DataFrame:
+    """(n_hot, n_normal, hot_iters, normal_iters): iterations shared out by row counts.
+
+    ``epoch`` takes ``iterations`` as the number of batches of one epoch and leaves its last hot batch, which may be short,
+    out. Neither share is below 0; without rows both are null.
+    """
     hot = F.col(is_hot).cast("bigint")
     counts = rows.agg(F.sum(hot).alias("n_hot"), F.sum(1 - hot).alias("n_normal"))
     scaled = F.lit(iterations).cast("bigint") * F.col("n_normal") + 1
     normal = F.call_function("div", scaled, F.col("n_hot") + F.col("n_normal"))
-    return counts.withColumn("normal_iters", normal).withColumn("hot_iters", F.lit(iterations) - F.col("normal_iters"))
+    hot_iters = F.lit(iterations - int(epoch)) - F.col("normal_iters")
+    return counts.withColumn("normal_iters", normal).withColumn("hot_iters", F.when(hot_iters < 0, 0).otherwise(hot_iters))
 
 
 def hot_prefix(ranks: DataFrame, frac: float = 0.05) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 
 from clickforge.functions.scalars import clip, fill_missing, hex_to_long, int_div, to_cold_range
@@ -216,6 +217,22 @@ def assign_batches(t):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "batch", "in_batch")
 
 
+@query("map_batches", f"""with {CLICKS}, r as (select pos // 512 as batch, pos % 512 as in_batch, user_id, label from clicks)
+select batch, in_batch, user_id, cast(sum(label) over (partition by batch order by in_batch) as bigint) as positives,
+  in_batch - min(in_batch) over (partition by batch, user_id) as since_first from r""")
+def map_batches(t):
+    """A function of the user sees whole mini-batches in order; they are spread over the partitions before."""
+    def collate(rows):
+        frame = rows.to_pandas()
+        frame["positives"] = frame["label"].cumsum()
+        frame["since_first"] = frame["in_batch"] - frame.groupby("user_id", dropna=False)["in_batch"].transform("min")
+        return pa.Table.from_pandas(frame, preserve_index=False)
+
+    rows = t.batches(512, "user_id", "label").repartition("in_batch")
+    schema = "batch bigint, in_batch bigint, user_id bigint, positives bigint, since_first bigint"
+    return batching.map_batches(rows, collate, schema)
+
+
 _ORDER_BATCHES = """with r as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as pos, count(*) over () as n
   from orders), b as (select o_orderkey, pos // 128 as batch, pos % 128 as in_batch from r where pos // 128 < n // 128)"""
 

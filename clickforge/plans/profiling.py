@@ -139,6 +139,15 @@ def hot_batch_quota(t):
     return profile.hot_batch_quota(_classified(t), 1000)
 
 
+@query("hot_batch_quota_epoch", f"""with {_CLASSIFIED}, c as (select count(*) filter (is_hot) as n_hot, count(*) filter (not is_hot) as n_normal from rows),
+e as (select *, (n_hot + n_normal) // 512 as batches from c), q as (select *, (batches * n_normal + 1) // (n_hot + n_normal) as normal_iters from e)
+select n_hot, n_normal, normal_iters, greatest(batches - normal_iters - 1, 0) as hot_iters from q""")
+def hot_batch_quota_epoch(t):
+    """The full batches of 512 rows of one epoch."""
+    rows = _classified(t)
+    return profile.hot_batch_quota(rows, rows.count() // 512, epoch=True)
+
+
 @query("write_hot_cold", f"""with {_CLASSIFIED}, byno as (select hot_no, field, id from hot)
 select l_orderkey, l_linenumber, l_quantity, is_hot, p.id as part, s.id as supplier from rows
   left join byno p on is_hot and p.hot_no = cast(split_part(hot_numbers, ',', 1) as bigint)

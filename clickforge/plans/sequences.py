@@ -34,6 +34,16 @@ def histogram_even(t):
     return seq.histogram_even(t.events, "value", 0.0, 100.0, 11)
 
 
+@query("histogram_region", """
+with b as (select cast(floor(value / 10.0::double) as bigint) as bin from events
+  where event_id // 100 between 2 and 90 and event_id % 100 between 10 and 49 and value >= 0 and value < 100)
+select r.bin, count(b.bin) as cnt from (select range as bin from range(10)) r left join b using (bin) group by r.bin""")
+def histogram_region(t):
+    """The events as a picture 100 wide; rows 2 to 90 and columns 10 to 49 of it."""
+    region = seq.region(t.events, "event_id", row_stride=100, first_row=2, n_rows=89, first_col=10, n_cols=40)
+    return seq.histogram_even(region, "value", 0.0, 100.0, 11)
+
+
 _LEVELS = [0.0, 1.0, 5.0, 20.0, 50.0, 120.0, 1000.0]
 
 
@@ -91,6 +101,20 @@ def select_if(t):
     return seq.select_if(_events(t), F.col("cents") > 5000, "pos").select("pos", "cents", "out_pos")
 
 
+@query("select_where", f"""with {_EVENTS} select pos, cents, row_number() over (order by pos) - 1 as out_pos from ev where cents % 7 = 3""")
+def select_where(t):
+    """A predicate of the user over Arrow batches."""
+    def chosen(batch):
+        return batch.column("cents").to_numpy() % 7 == 3
+
+    return seq.select_where(_events(t).select("pos", "cents"), chosen, "pos")
+
+
+@query("selected_count", f"""with {_EVENTS} select count(*) as n_rows, count(*) filter (cents > 5000) as n_selected from ev""")
+def selected_count(t):
+    return seq.selected_count(_events(t), F.col("cents") > 5000)
+
+
 @query("partition_flagged", f"""with {_EVENTS}
 select pos, event_type, case when event_type = 'purchase' then row_number() over (partition by event_type = 'purchase' order by pos) - 1
   else count(*) over () - row_number() over (partition by event_type = 'purchase' order by pos) end as out_pos from ev""")
@@ -192,15 +216,16 @@ def segments_sum(t):
     return cut.reduce_between(_events(t), "pos", "cents", _cuts(t), "sum", 0)
 
 
-@query("segments_max", f"with {_CUTS} select segment, max(cents) as result from hit group by segment")
+@query("segments_max", f"with {_CUTS} select segment, coalesce(max(cents), -1) as result from hit group by segment")
 def segments_max(t):
-    return cut.reduce_between(_events(t), "pos", "cents", _cuts(t), "max")
+    return cut.reduce_between(_events(t), "pos", "cents", _cuts(t), "max", -1)
 
 
-@query("segments_arg", f"""with {_CUTS} select segment, pos - "begin" as idx, cents as value from hit
+@query("segments_arg", f"""with {_CUTS} select segment, coalesce(pos - "begin", -1) as idx, coalesce(cents, 0) as value from hit
 qualify row_number() over (partition by segment order by cents, pos) = 1""")
 def segments_arg(t):
-    return cut.arg_between(_events(t), "pos", "cents", _cuts(t))
+    """Empty segments get -1 and 0."""
+    return cut.arg_between(_events(t), "pos", "cents", _cuts(t)).fillna({"idx": -1, "value": 0})
 
 
 @query("segments_sort", f"""with {_CUTS} select segment, pos, user_id, greatest("begin", 0) + row_number() over (
