@@ -14,6 +14,7 @@ from clickforge.streaming import jobs
 SLICES = 4  # the log arrives in this many parts, one per micro-batch
 FILES = 4  # files of a part, each written by its own task
 MINI = 64  # rows of a mini-batch
+PLACES = 40  # ids that the running state of frequent ids keeps
 
 
 def _arrivals(t: Tables, rows: DataFrame) -> DataFrame:
@@ -74,6 +75,50 @@ def stream_batch_unique(t):
     return rows.select(F.col("micro_batch").cast("bigint").alias("micro_batch"), "field", "batch", "pos", "id", "inv")
 
 
+def _frequent_sql() -> str:
+    """One step per micro-batch: counts added up, then the largest one too many taken off."""
+    steps = ["s0 as (select 0::bigint as id, 0::bigint as cnt, 0::bigint as error limit 0), e0 as (select 0::bigint as error)"]
+    for k in range(SLICES):
+        steps.append(
+            f"m{k} as (select id, cast(sum(cnt) as bigint) as cnt from (select id, cnt from s{k} union all select user_id, count(*) "
+            f"from clicks, w where pos // width = {k} group by user_id) group by id), "
+            f"t{k} as (select coalesce((select cnt from m{k} order by cnt desc limit 1 offset {PLACES}), 0) as cut), "
+            f"e{k + 1} as (select error + cut as error from e{k}, t{k}), "
+            f"s{k + 1} as (select id, cnt - cut as cnt, error from m{k}, t{k}, e{k + 1} where cnt > cut)")
+    union = " union all ".join(f"select {k}::bigint as micro_batch, id, cnt, error from s{k + 1}" for k in range(SLICES))
+    return f"with {_SLICE}, {', '.join(steps)} {union}"
+
+
+@query("stream_frequent_ids", _frequent_sql())
+def stream_frequent_ids(t):
+    """More users than places, so counts are cut on the way; the state after each micro-batch."""
+    out = scratch(t, "frequent")
+    stream = _arrivals(t, t.clicks.select("pos", "user_id"))
+    jobs.start_frequent_ids(stream, "user_id", PLACES, out, scratch(t, "cp"), availableNow=True).awaitTermination()
+    done = t.spark.read.parquet(out).filter("id is not null")
+    return done.select(F.col("micro_batch").cast("bigint").alias("micro_batch"), "id", "cnt", "error")
+
+
+@query("stream_vectors", f"""with {_SLICE}, n as (select count(*) as n from embeddings),
+cur as (select pos // width as mb, pos, user_id as id, embedding as vec from (select * from clicks, w, n) c join embeddings on vec_id = pos % n),
+ends as (select id, mb, max(pos) as key, count(*) as rows from cur group by id, mb)
+select ends.id, key, cast(sum(rows) over (partition by ends.id order by ends.mb) as bigint) as n, {fixed_point_sql("cur.vec")} as vec
+from ends join cur on cur.pos = key""")
+def stream_vectors(t):
+    """The last vector of every user after each micro-batch that names the user."""
+    rows = t.clicks.select("pos", F.col("user_id").alias("id"), F.pmod("pos", F.lit(t.n_vectors)).alias("_v"))
+    updates = rows.join(t.vectors.withColumnRenamed("id", "_v"), "_v").select("pos", "id", "vec")
+    out = scratch(t, "vectors")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/micro_batch={number}")
+
+    stream = jobs.stream_vectors(_arrivals(t, updates), "pos")
+    job = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", scratch(t, "cp")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return t.spark.read.parquet(out).select("id", "key", "n", fixed_point("vec").alias("vec"))
+
+
 def _sync_sql() -> str:
     """One step per micro-batch: kept vectors of the batch before, else the row's own vector."""
     steps = ["s0 as (select * from cur where mb = 0)"]

@@ -1,15 +1,18 @@
-"""Structured Streaming jobs: encode arriving rows, count accesses, per-batch distinct ids, vector sync."""
+"""Structured Streaming jobs: encode arriving rows, count accesses, per-batch distinct ids, vector sync, keyed vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clickforge.functions.scalars import int_div
 from clickforge.operators.encode import Workflow, long_form
+from clickforge.operators.frequent import FrequentIds
 from clickforge.operators.profile import batch_inverse, batch_unique
 
 
@@ -64,3 +67,57 @@ def start_cache_sync(rows: DataFrame, key: str, path: str, checkpoint: str, **tr
         out.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_no}")
 
     return rows.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def start_frequent_ids(rows: DataFrame, id_col: str, size: int, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The most frequent ids so far after every micro-batch, ``FrequentIds.load(spark, f"{path}/micro_batch={k}")``.
+
+    State k is built from state k - 1 and overwritten on replay; it holds at most ``size`` ids however long the stream runs.
+    """
+
+    def absorb(batch: DataFrame, batch_no: int) -> None:
+        spark = batch.sparkSession
+        before = FrequentIds.load(spark, f"{path}/micro_batch={batch_no - 1}") if batch_no else FrequentIds.empty(spark, size)
+        before.update(batch, id_col).save(f"{path}/micro_batch={batch_no}")
+
+    return rows.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def stream_vectors(rows: DataFrame, key: str, merge: str = "last", expire_ms: int | None = None) -> DataFrame:
+    """A stream of (id, vec, key, n): the vector that each id of a micro-batch has after it, for update mode.
+
+    The state store keeps one vector per id over all micro-batches, so ids that some of them skip are not forgotten, and a restart
+    from the checkpoint goes on with the same vectors. ``merge`` is ``"last"``, the vector with the largest ``key``, also when it
+    arrives late (equal keys: the first in order of values), or ``"sum"``, all vectors added up, in order of ``key`` inside a micro-batch.
+    ``n`` counts the merged rows. Ids that no row has named for ``expire_ms`` milliseconds are dropped from the state. Rows with a
+    null id, key, vector or component are left out. A sum of vectors of different lengths raises an error.
+    """
+    if merge not in ("last", "sum"):
+        raise ValueError(f"unknown merge {merge}")
+    whole = F.col("id").isNotNull() & F.col("_key").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
+    typed = rows.select(F.col("id").cast("bigint").alias("id"), F.col(key).cast("bigint").alias("_key"),
+                        F.col("vec").cast("array<double>").alias("vec")).filter(whole)
+
+    def absorb(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        vec, newest, n = state.get if state.exists else (None, None, 0)
+        for frame in frames:  # an id may have more rows than fit into one frame
+            arrived = sorted(zip(frame["_key"].tolist(), [v.tolist() for v in frame["vec"]]))  # state takes plain values
+            for at, new in arrived:
+                if merge == "sum" and vec is not None:
+                    vec = [a + b for a, b in zip(vec, new, strict=True)]
+                elif vec is None or at > newest:
+                    vec = new
+                newest = at if newest is None else max(newest, at)
+            n += len(arrived)
+        state.update((vec, newest, n))
+        if expire_ms is not None:
+            state.setTimeoutDuration(expire_ms)
+        yield pd.DataFrame({"id": [group[0]], "vec": [vec], "key": [newest], "n": [n]})
+
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return typed.groupBy("id").applyInPandasWithState(
+        absorb, "id bigint, vec array<double>, key bigint, n bigint", "vec array<double>, key bigint, n bigint", "update", timeout
+    )
