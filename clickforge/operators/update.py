@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,64 +75,84 @@ def _ids_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 CORE_ROWS = "core bigint, i bigint, vec array<double>"
+FLUSH_BYTES = 32 << 20  # of sums that a task holds for one core
 
 
-def _gradients_from_broadcast(grads: DataFrame, cores: DataFrame, shape: FactoredShape) -> DataFrame:
-    """Each task adds its rows into one buffer of the cores' size."""
+def _core_sums(batches: Iterator[pa.RecordBatch], pick: Callable[[pa.RecordBatch, Sequence[np.ndarray]], list[np.ndarray]],
+               shape: FactoredShape, flush_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Sums by core index over the batches of a task, only of the core rows it touches.
+
+    A core whose sums take more than ``flush_bytes`` is handed on and begun anew, so memory is bounded by that and a batch.
+    """
+    nothing = [(np.zeros(0, dtype=np.int64), np.zeros((0, shape.width(k)))) for k in range(3)]
+    held = list(nothing)
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        digits = _digits(_ids_of(batch), shape)[1:]
+        by_row = _row_gradients(pick(batch, digits), to_matrix(batch.column(1), shape.dim), shape)
+        for k, rows in enumerate(by_row):
+            index, sums = held[k]
+            held[k] = _sum_by_index(np.concatenate([index, digits[k]]), np.concatenate([sums, rows]))
+            if held[k][1].nbytes > flush_bytes:
+                yield _core_batch(k, *held[k])
+                held[k] = nothing[k]
+    for k, (index, sums) in enumerate(held):
+        if len(index):
+            yield _core_batch(k, index, sums)
+
+
+def _gradients_from_broadcast(grads: DataFrame, cores: DataFrame, shape: FactoredShape, flush_bytes: int) -> DataFrame:
     shared = grads.sparkSession.sparkContext.broadcast(load_cores(cores, shape))
 
-    def fold(batches):
-        totals = [np.zeros((shape.p[k], shape.width(k))) for k in range(3)]
-        seen = [np.zeros(p, dtype=bool) for p in shape.p]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            digits = _digits(_ids_of(batch), shape)[1:]
-            picked = [shared.value[k][digits[k]] for k in range(3)]
-            for k, rows in enumerate(_row_gradients(picked, to_matrix(batch.column(1), shape.dim), shape)):
-                touched, sums = _sum_by_index(digits[k], rows)
-                totals[k][touched] += sums
-                seen[k][touched] = True
-        for k in range(3):
-            index = np.flatnonzero(seen[k])
-            yield _core_batch(k, index, totals[k][index])
-
-    return grads.mapInArrow(fold, CORE_ROWS)
-
-
-def _gradients_from_join(grads: DataFrame, cores: DataFrame, shape: FactoredShape) -> DataFrame:
-    """For cores beyond the broadcast limit: they are joined on their indices, sums form per Arrow batch."""
+    def pick(batch, digits):
+        return [shared.value[k][digits[k]] for k in range(3)]
+
+    return grads.mapInArrow(lambda batches: _core_sums(batches, pick, shape, flush_bytes), CORE_ROWS)
+
+
+def _gradients_from_join(grads: DataFrame, cores: DataFrame, shape: FactoredShape, flush_bytes: int) -> DataFrame:
+    """For cores beyond the broadcast limit: they are joined on their indices, the first core's last."""
     rows = grads.withColumns({f"_i{k}": digit for k, digit in enumerate(mixed_radix("id", shape.p))})
-    for k in range(3):
+    for k in (2, 1, 0):
         core = cores.filter(F.col("core") == k).select(F.col("i").cast("bigint").alias(f"_i{k}"), F.col("vec").alias(f"_c{k}"))
         rows = rows.join(core, f"_i{k}", "left").withColumn(f"_c{k}", F.coalesce(f"_c{k}", zero_vector(shape.width(k))))
 
-    def fold(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            digits = _digits(_ids_of(batch), shape)[1:]
-            picked = [to_matrix(batch.column(2 + k), shape.width(k)) for k in range(3)]
-            for k, by_row in enumerate(_row_gradients(picked, to_matrix(batch.column(1), shape.dim), shape)):
-                yield _core_batch(k, *_sum_by_index(digits[k], by_row))
+    def pick(batch, digits):
+        return [to_matrix(batch.column(2 + k), shape.width(k)) for k in range(3)]
 
-    return rows.select("id", "vec", "_c0", "_c1", "_c2").mapInArrow(fold, CORE_ROWS)
+    picked = rows.select("id", "vec", "_c0", "_c1", "_c2")
+    return picked.mapInArrow(lambda batches: _core_sums(batches, pick, shape, flush_bytes), CORE_ROWS)
 
 
-def tt_core_gradients(grads: DataFrame, cores: DataFrame, shape: FactoredShape, dedup: bool = True,
-                      limit: int = CORE_LIMIT_BYTES) -> DataFrame:
-    """(core, i, vec): gradients of the cores from row gradients (id, vec).
+def core_partials(grads: DataFrame, cores: DataFrame, shape: FactoredShape, dedup: bool = True, limit: int = CORE_LIMIT_BYTES,
+                  flush_bytes: int = FLUSH_BYTES) -> DataFrame:
+    """(core, i, vec): what each task adds up for the core rows it touches, before the sums over tasks.
 
-    Gradients of equal ids are added first. Sums form inside the tasks before the shuffle; the cores
-    are broadcast when their size, known from the shape, is within the limit, else joined. Both forms
-    leave out null vectors and ids that are null or outside the shape; missing core rows count as zeros.
+    With ``dedup``, gradients of equal ids are added first and the sums are dealt by ranges of ids. A range is a block of
+    prefixes, so neighbouring tasks share at most one row of the first core, and a task touches as many rows of the second
+    as it has prefixes; only the last core is touched by all. Without ``dedup`` rows stay in their tasks.
     """
     grads = grads.filter(known_ids("id", shape) & F.col("vec").isNotNull())
     if dedup:
         grads = vector_sum(grads, ["id"], "vec", shape.dim)
     grads = grads.select(F.col("id").cast("bigint").alias("id"), "vec")
-    form = _gradients_from_broadcast if shape.core_bytes <= limit else _gradients_from_join
-    partial = materialize(form(grads, cores, shape), "core-gradients")
+    if shape.core_bytes > limit:
+        return _gradients_from_join(grads, cores, shape, flush_bytes)
+    if dedup:
+        grads = grads.repartitionByRange("id").sortWithinPartitions("id")
+    return _gradients_from_broadcast(grads, cores, shape, flush_bytes)
+
+
+def tt_core_gradients(grads: DataFrame, cores: DataFrame, shape: FactoredShape, dedup: bool = True,
+                      limit: int = CORE_LIMIT_BYTES, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
+    """(core, i, vec): gradients of the cores from row gradients (id, vec).
+
+    Sums form inside the tasks before the shuffle (``core_partials``); the cores
+    are broadcast when their size, known from the shape, is within the limit, else joined. Both forms
+    leave out null vectors and ids that are null or outside the shape; missing core rows count as zeros.
+    """
+    partial = materialize(core_partials(grads, cores, shape, dedup, limit, flush_bytes), "core-gradients")
     # every core has its own width, so each is summed at that width
     summed = [
         vector_sum(partial.filter(F.col("core") == k), ["core", "i"], "vec", shape.width(k)) for k in range(3)

@@ -385,3 +385,22 @@ def tt_core_gradients(t):
         F.countDistinct("core").alias("n_cores"), F.count(F.lit(1)).alias("core_rows"),
         F.bool_and(F.coalesce(F.col("vec") == F.col("other"), F.lit(False))).alias("same_as_rows"),
     )
+
+
+@query("tt_core_gradients_by_value", f"""with ax as (select j1, j2, j3 from range(2) a(j1), range(2) b(j2), range(2) c(j3)),
+rk as (select a, b from range(3) x(a), range(3) y(b)),
+g as (select l_partkey as id, j1, j2, j3, sum((l_suppkey + j1 * 4 + j2 * 2 + j3) % 5) as g from lineitem, ax group by all),
+d as (select g.*, id // p3 // 10 as i1, id // p3 % 10 as i2, id % p3 as i3
+  from g, (select (count(*) + 199) // 200 as p3 from part) where id between 0 and 200 * p3 - 1),
+cells as (select 0 as core, i1 as i, j1 * 3 + a as cell, g * {_cv(1, 'i2', 'a * 6 + j2 * 3 + b')} * {_cv(2, 'i3', 'b * 2 + j3')} as v from d, rk
+  union all select 1, i2, a * 6 + j2 * 3 + b, g * {_cv(0, 'i1', 'j1 * 3 + a')} * {_cv(2, 'i3', 'b * 2 + j3')} from d, rk
+  union all select 2, i3, b * 2 + j3, g * {_cv(0, 'i1', 'j1 * 3 + a')} * {_cv(1, 'i2', 'a * 6 + j2 * 3 + b')} from d, rk),
+s as (select core, i, cell, cast(sum(v) as double) as x from cells group by all),
+vecs as (select cast(core as bigint) as core, cast(i as bigint) as i, list(x order by cell) as vec from s group by core, i)
+select core, i, {fixed_point_sql('vec')} as vec from vecs""")
+def tt_core_gradients_by_value(t):
+    """Every entry of the gradients; integer cores and row gradients keep all sums exact."""
+    shape = _shape(t)
+    grads = t.lineitem.select(F.col("l_partkey").alias("id"), F.array(*[
+        F.pmod(F.col("l_suppkey") + i, F.lit(5)).cast("double") for i in range(shape.dim)]).alias("vec"))
+    return as_text(update.tt_core_gradients(grads, materialize(_cores(t, shape), "cores"), shape))

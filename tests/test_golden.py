@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clickforge.functions.scalars import hex_to_long, mixed_radix
 from clickforge.operators import batching, encode, evaluate, graph, interaction, primitives, profile, update, vectors
 from clickforge.operators.ordering import index_rows
+from clickforge.session import materialize
 
 
 def rows(df, *columns):
@@ -294,6 +295,25 @@ def test_factored_forms_agree_on_odd_ids_and_missing_cores(spark, cores):
         assert near == far and near
 
 
+def test_core_gradients_by_block(spark, cores):
+    ids = list(range(SHAPE.rows)) * 3 + [5] * 200  # one id has most of the rows
+    grads = spark.createDataFrame([(i, [float((i + k + j) % 5 - 2) for j in range(SHAPE.dim)]) for k, i in enumerate(ids)],
+                                  "id bigint, vec array<double>").repartition(6)
+
+    def summed(**how):
+        return {(r["core"], r["i"]): r["vec"] for r in update.tt_core_gradients(grads, cores, SHAPE, **how).collect()}
+
+    whole = summed()
+    assert len(whole) == sum(SHAPE.p)
+    for how in ({"flush_bytes": 0}, {"flush_bytes": 0, "limit": 0}, {"dedup": False}, {"dedup": False, "flush_bytes": 100}):
+        assert summed(**how) == whole
+    # id ranges share at most one row of the first core between neighbours
+    partials = materialize(update.core_partials(grads, cores, SHAPE).withColumn("task", F.spark_partition_id()), "partials")
+    tasks = partials.select("task").distinct().count()
+    assert partials.filter("core = 0").count() <= SHAPE.p[0] + tasks - 1
+    assert partials.groupBy("task", "core", "i").count().filter("count > 1").count() == 0
+
+
 def test_lookup_keeps_rows_with_unknown_ids(spark):
     table = spark.createDataFrame([(1, [1.0])], "id bigint, vec array<double>")
     rows = spark.createDataFrame([(0, 1), (1, 7), (2, None)], "row int, id bigint")
