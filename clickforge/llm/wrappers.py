@@ -5,18 +5,24 @@ group. Streams of a host are then aligned one after another: equal tags match, d
 and what only one side has becomes an optional group. The result is the host's wrapper, which says for each
 container (``nav``, ``div.ad``, ...) how much of its text is in slots, how much is the same on every page, and
 how much is link text. Containers that hold menus, headers, footers, forms, adverts and the like by their tag or names
-are furniture. On pages with an article or main element the content is that element, without inner containers whose
-text never varies; constant text directly in it stays. On other pages of the host it is what mostly has slots and is not mostly links.
-
-Scale: tasks infer one wrapper per host from the pages they read; wrappers are merged by the same alignment, first
-by (host, salt), then by host, so a host with a third of all pages is spread over all tasks. A wrapper's size
-depends on the variety of a host's markup, not on its pages. Equal streams of a host are one page: streams are
-shuffled once to find them. Pages meet their host's decisions in a join by
+are furniture; any element whose names say so is such a container (``p.advert``). On pages with an article or main element
+the content is that element, without inner containers whose text never varies; constant text directly in it stays. On
+other pages of the host it is what mostly has slots and is not mostly links.
+
+Alignment: nodes whose markup occurs once on both sides are anchors, the longest rising run of them is kept, and between
+anchors the n-th occurrence of a key meets the n-th, or each node the next one with its key, whichever matches more; so it takes n log n steps for n nodes. A container is named by
+a digest of the names on its path, so deep nesting costs no more than flat markup.
+
+Scale: streams are dealt by (host, one of 1024 salts), sorted and aligned one at a time; the wrappers are merged as a
+tree of up to 32 each. Salts come from the streams, so neither the number of tasks nor the order in which they finish
+changes a wrapper, and a host with a third of all pages is spread over all tasks. A wrapper
+grows with the variety of a host's markup: 3,000 pages of random markup, 100 nodes each, left 3,233 nodes. Equal streams of a host are one page. Pages meet their host's decisions in a join by
 host (unique keys on that side, so hot hosts can be split). Whole pages are read; nothing is sampled.
 
 Cases: a null or empty html has an empty text; null urls are a host of their own; unclosed and crossed tags
-close as browsers do it, roughly: an end tag closes up to its opening one, if there is one; an unfinished tag at
-the end is dropped; repeated pages are alike; extra columns are ignored; an empty table gives an empty result.
+close as browsers do it, roughly: an end tag closes up to its opening one, if there is one; a quote that is never closed
+ends with its tag; an unfinished tag at the end is dropped; very long and broken pages take time in proportion to their
+length; repeated pages are alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +30,12 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,78 +49,138 @@ BLOCKS = frozenset(
     "head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("article aside body div footer form head header html li main menu nav ol section table td tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FURNITURE = frozenset("aside button footer form head iframe menu nav noscript select svg template textarea title".split())
 _FURNITURE_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|footer|gdpr|header|login|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|share|sharing|sidebar|signup|social|sponsor\w*|"
-    r"subscribe|widget)(?:[^a-z]|$)"
+    r"menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|replies|sidebar|signup|sponsor\w*|subscribe|widget)(?:[^a-z]|$)"
+)
+# these name furniture by themselves or before a holder: "share-links", "related", but not "share-price", "related-work"
+_WEAK_NAMES = re.compile(
+    r"(?:^|[^a-z])(?:related|share|sharing|social)(?:[^a-z]+(?:area|articles?|bar|block|box|buttons?|container|content|icons?|inner|items?|links?|list|"
+    r"media|now|panel|posts?|row|section|stories|this|tools?|wrapper))*[^a-z]*$"
 )
-_TOKEN = re.compile(
+_START = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)",
     re.S | re.I,
 )
+_STOP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SALTS = 16
+SALTS, FAN_IN = 1024, 32
 
 
 def stream(page: str) -> Iterator[tuple[str, str, str]]:
-    """("open" | "close", tag, names) and ("text", text, "") of a page, in order."""
+    """("open" | "close", tag, names) and ("text", text, "") of a page, in order; each character is passed a few times."""
     at = 0
-    for m in _TOKEN.finditer(page):
+    closes = {'"': True, "'": True}  # whether the rest of the page may still have one
+
+    def end_of_tag(i: int) -> int:
+        while stop := _STOP.search(page, i):
+            i, quote = stop.end(), stop[1]
+            if not quote:
+                return i
+            if closes[quote]:
+                other = page.find(quote, i)
+                closes[quote] = other >= 0
+                i = other + 1 or i
+        return len(page)
+
+    while m := _START.search(page, at):
         if m.start() > at:
             yield "text", page[at : m.start()], ""
         at = m.end()
         if m[3]:
-            names = "" if m[2] or "=" not in m[4] else " ".join(a or b or c for a, b, c in _NAMES.findall(m[4]))
+            at = end_of_tag(at)
+            own = page[m.end() : at]
+            names = "" if m[2] or "=" not in own else " ".join(a or b or c for a, b, c in _NAMES.findall(own))
             yield ("close" if m[2] else "open"), m[3].lower(), names
     if at < len(page):
         yield "text", page[at:], ""
 
 
-def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """("tag" | "text", tag or text, open containers with their names, inside a link)."""
-    path: list[str] = []
+def furniture(label: str) -> bool:
+    tag, _, names = label.partition(".")
+    return tag in FURNITURE or (bool(names) and tag not in ("html", "body", "article", "main") and _named_furniture(names))
+
+
+def _named_furniture(names: str) -> bool:
+    return bool(_FURNITURE_NAMES.search(names)) or any(map(_WEAK_NAMES.search, names.replace(".", " ").split()))
+
+
+# A path is named by four things: "f" furniture or "c" content, "a" inside an article, "2" an innermost article or main, "1" below
+# one or "0" elsewhere, and a digest of all names on it.
+TOP = "c-0"
+
+
+@lru_cache(1 << 16)
+def below(path: str, label: str) -> str:
+    """The name of the container ``label`` inside ``path``."""
+    tag = label.split(".")[0]
+    bad = path[0] == "f" or furniture(label) or (tag == "header" and path[1] != "a")
+    root = "2" if tag in ("article", "main") else "0" if path[2] == "0" else "1"
+    return "fc"[not bad] + ("a" if tag == "article" else path[1]) + root + blake2b(f"{path}/{label}".encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """("tag" | "text", tag or text, name of the open containers, inside a link)."""
+    path = [TOP]
     tags: list[str] = []
+    open_tags: Counter[str] = Counter()
     links = 0
+
+    def pop() -> str:
+        path.pop()
+        open_tags[tags[-1]] -= 1
+        return tags.pop()
+
     for kind, value, names in stream(page):
         if kind == "text":
-            yield "text", value, tuple(path), links > 0
+            yield "text", value, path[-1], links > 0
             continue
         if value == "a":
             links = int(kind == "open")
-        if value in CONTAINERS:
-            if kind == "open":
-                if value == "li" and tags and tags[-1] == "li":
-                    tags.pop()
-                    path.pop()
+        if kind == "open":
+            if tags and (tags[-1] == value == "li" or (tags[-1] == "p" and value in BLOCKS)):
+                pop()
+            label = value + "".join("." + n for n in sorted(set(names.lower().split())))
+            if value == "body" and open_tags["head"]:
+                while pop() != "head":
+                    pass
+            if value in CONTAINERS or (value not in VOID and value not in HEADINGS and furniture(label)):
                 tags.append(value)
-                path.append(value + "".join("." + n for n in sorted(set(names.lower().split()))))
-            elif value in tags:
-                while tags.pop() != value:
-                    path.pop()
-                path.pop()
+                open_tags[value] += 1
+                path.append(below(path[-1], label))
+        elif open_tags[value]:
+            while pop() != value:
+                pass
+            if value in CONTAINERS:
                 links = 0
-        yield "tag", ("/" if kind == "close" else "") + value, tuple(path), links > 0
+        yield "tag", ("/" if kind == "close" else "") + value, path[-1], links > 0
 
 
 def fold(nodes: list) -> list:
     """Neighbouring repeats of a group of up to eight nodes become one repeated group."""
+    keys = [_key(x) for x in nodes]  # joined nodes keep their key
     for width in range(1, 9):
-        out, i = [], 0
+        out, out_keys, i = [], [], 0
         while i < len(nodes):
-            body, n = nodes[i : i + width], 1
-            while len(body) == width and [_key(x) for x in nodes[i + n * width : i + (n + 1) * width]] == [_key(x) for x in body]:
-                body = [_join(a, b, max) for a, b in zip(body, nodes[i + n * width : i + (n + 1) * width])]
+            own, n = keys[i : i + width], 1
+            while len(own) == width and keys[i + n * width : i + (n + 1) * width] == own:
                 n += 1
             if n > 1:
+                body = nodes[i : i + width]
+                for k in range(1, n):
+                    body = [_join(a, b, max) for a, b in zip(body, nodes[i + k * width : i + (k + 1) * width])]
                 out.append(["+", "", body] if width > 1 or body[0][0] != "+" else body[0])
+                out_keys.append(_key(out[-1]))
                 i += n * width
             else:
                 out.append(nodes[i])
+                out_keys.append(keys[i])
                 i += 1
-        nodes = out
+        nodes, keys = out, out_keys
     return nodes
 
 
@@ -134,18 +204,90 @@ def _join(a: list, b: list, pages=sum) -> list:
     return a
 
 
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of the pairs, sorted by their first places, whose second places rise, too."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        before[k] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [j], [k]
+    run, k = [], last[-1] if last else -1
+    while k >= 0:
+        run.append(pairs[k])
+        k = before[k]
+    return run[::-1]
+
+
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places with keys that both sides have once."""
+    once_a, once_b = Counter(a), {k: j for j, k in enumerate(b)}
+    count_b = Counter(b)
+    return _rising([(i, once_b[k]) for i, k in enumerate(a) if once_a[k] == count_b[k] == 1])
+
+
+def _numbered(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The n-th occurrence of a key on one side and on the other."""
+    seen: Counter[str] = Counter()
+    place = {}
+    for j, k in enumerate(b):
+        place[k, seen[k]] = j
+        seen[k] += 1
+    seen.clear()
+    pairs = []
+    for i, k in enumerate(a):
+        if (k, seen[k]) in place:
+            pairs.append((i, place[k, seen[k]]))
+        seen[k] += 1
+    return _rising(pairs)
+
+
+def _embedded(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Each node of ``b`` with the next one in ``a``: all of them, if ``a`` has ``b`` in it, so that it need not grow."""
+    places: dict[str, list[int]] = {}
+    for i, k in enumerate(a):
+        places.setdefault(k, []).append(i)
+    pairs, last = [], -1
+    for j, k in enumerate(b):
+        own = places.get(k, [])
+        at = bisect_left(own, last + 1)
+        if at < len(own):
+            last = own[at]
+            pairs.append((last, j))
+    return pairs
+
+
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Matching places in rising order: equal ends, anchors, and between them occurrences by number or the next ones."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    found = [(k, k) for k in range(head)]
+    i = j = 0
+    for x, y in [*_anchors(mid_a, mid_b), (len(mid_a), len(mid_b))]:
+        gap = mid_a[i:x], mid_b[j:y]
+        found += [(head + i + p, head + j + q) for p, q in max(_numbered(*gap), _embedded(*gap), key=len)]
+        if x < len(mid_a):
+            found.append((head + x, head + y))
+        i, j = x + 1, y + 1
+    return found + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
 def align(a: list, b: list) -> list:
     """The wrapper that both sides match: common nodes, and optional groups for what one side has."""
     bare = lambda x: x[2] if x[0] == "?" else [x]
     keys_a, keys_b = [" ".join(map(_key, bare(x))) for x in a], [" ".join(map(_key, bare(x))) for x in b]
-    if keys_a == keys_b:
-        return [_match(x, y) for x, y in zip(a, b)]
-    out = []
-    for what, i, j, k, m in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
-        if what == "equal":
-            out += [_match(x, y) for x, y in zip(a[i:j], b[k:m])]
-        else:
-            out += [x if x[0] == "?" else ["?", "", [x]] for x in [*a[i:j], *b[k:m]]]
+    out, i, j = [], 0, 0
+    for x, y in [*_matches(keys_a, keys_b), (len(a), len(b))]:
+        out += [n if n[0] == "?" else ["?", "", [n]] for n in [*a[i:x], *b[j:y]]]
+        if x < len(a):
+            out.append(_match(a[x], b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -155,13 +297,13 @@ def _match(x: list, y: list) -> list:
 
 
 def wrapper_of(page: str) -> list:
-    """A page's stream as nodes: ["t", tag] and ["#", container path, text, length, link length, pages]."""
+    """A page's stream as nodes: ["t", tag] and ["#", name of the path, text, length, link length, pages]."""
     nodes = []
     for kind, value, path, link in walk(page):
         if kind == "tag":
             nodes.append(["t", value])
         elif text := " ".join(entities.unescape(value).split()):
-            nodes.append(["#", "/".join(path), text, len(text), len(text) * link, 1])
+            nodes.append(["#", path, text, len(text), len(text) * link, 1])
     return fold(nodes)
 
 
@@ -173,16 +315,6 @@ def _texts(nodes: list) -> Iterator[list]:
             yield from _texts(x[2])
 
 
-def furniture(label: str) -> bool:
-    tag, _, names = label.partition(".")
-    return tag in FURNITURE or (bool(names) and tag not in ("html", "body", "article", "main") and bool(_FURNITURE_NAMES.search(names)))
-
-
-def _main_depth(path: str) -> int:
-    """Containers up to the innermost article or main; 0 without one."""
-    return max((k for k, x in enumerate(path.split("/"), 1) if x.split(".")[0] in ("article", "main")), default=0)
-
-
 def decide(wrapper: list) -> dict[str, list[str]]:
     """The container paths that are content: "main" on pages with an article or main element, "rich" on others."""
     slots: dict[str, float] = {}
@@ -194,20 +326,11 @@ def decide(wrapper: list) -> dict[str, list[str]]:
         if text is None or pages == 1:
             slots[path] = slots.get(path, 0) + size
 
-    def clean(path: str) -> bool:
-        parts = path.split("/")
-        inside = False
-        for part in parts:
-            if furniture(part) or (part.split(".")[0] == "header" and not inside):
-                return False
-            inside = inside or part.split(".")[0] == "article"
-        return True
-
-    good = {p for p in every if clean(p)}
+    good = {p for p in every if p[0] == "c"}
     # in an article or main, inner containers whose text never varies are furniture; a container that some pages
     # leave out stays as long as it has slots
-    roots = {p: _main_depth(p) for p in good if _main_depth(p)}
-    main = [p for p, depth in roots.items() if depth == len(p.split("/")) or slots.get(p, 0)]
+    roots = {p for p in good if p[2] != "0"}
+    main = [p for p in roots if p[2] == "2" or slots.get(p, 0)]
     # pages without: what mostly has slots and is not mostly links
     rich = [p for p in good if p not in roots and slots.get(p, 0) * 2 >= every[p] and linked[p] * 2 < every[p]]
     return {"main": sorted(main), "rich": sorted(rich), "roots": sorted(roots)}
@@ -222,7 +345,7 @@ def infer(wrappers: Iterator[list]) -> list:
 
 def extract(page: str, content: dict[str, set[str]]) -> str:
     """Texts of the page's content containers, one block a line. Whether it has an article or main is its own layout."""
-    nodes = [(kind, value, "/".join(path)) for kind, value, path, _ in walk(page)]
+    nodes = [(kind, value, path) for kind, value, path, _ in walk(page)]
     roots = content["roots"]
     own = content["main" if any(kind == "text" and path in roots and value.strip() for kind, value, path in nodes) else "rich"]
     blocks: list[str] = []
@@ -248,21 +371,19 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list] = {}
-    for batch in batches:
-        for host, own in zip(batch.column(0).to_pylist(), map(json.loads, batch.column(1).to_pylist())):
-            known[host] = align(known[host], own) if host in known else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
+    """One wrapper for each run of rows with the same host and salt; only the present one is held."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for (host, salt), own in groupby(rows, key=lambda r: r[:2]):
+        merged = json.dumps(infer(json.loads(r[2]) for r in own))
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([salt], pa.int64()), pa.array([merged], pa.string())], names=["host", "salt", "wrapper"])
 
 
 def _merged(rows: pa.Table) -> pa.Table:
-    merged = infer(map(json.loads, sorted(rows.column("wrapper").to_pylist())))
-    return pa.table({"host": [rows.column("host")[0].as_py()], "wrapper": [json.dumps(merged)]})
-
-
-def _decided(rows: pa.Table) -> pa.Table:
-    out = _merged(rows)
-    return pa.table({"host": out.column("host"), "content": [json.dumps(decide(json.loads(out.column("wrapper")[0].as_py())))]})
+    """The wrappers of one node of the merge tree, in order of their salts; what they decide goes along."""
+    salts, own = rows.column("salt").to_pylist(), rows.column("wrapper").to_pylist()
+    merged = infer(json.loads(w) for _, w in sorted(zip(salts, own)))
+    return pa.table({"host": pa.array([rows.column("host")[0].as_py()], pa.string()), "salt": [min(salts) // FAN_IN],
+                     "wrapper": [json.dumps(merged)], "content": [json.dumps(decide(merged))]})
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -270,10 +391,13 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     # equal pages count once: copies are no evidence that a text is constant
     streams = rows.mapInArrow(_streams, "host string, wrapper string").distinct()
-    partial = streams.mapInArrow(_partial, "host string, wrapper string")
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    merged = salted.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
-    return merged.groupBy("host").applyInArrow(_decided, "host string, content string")
+    salted = streams.select("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt"), "wrapper")
+    dealt = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+    merged = dealt.mapInArrow(_partial, "host string, salt long, wrapper string")
+    for _ in range(2):  # 1024 salts, 32 nodes, one root
+        merged = merged.groupBy("host", F.floor(F.col("salt") / FAN_IN).alias("_node")).applyInArrow(
+            _merged, "host string, salt long, wrapper string, content string")
+    return merged.select("host", "content")
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -1,5 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator and stage."""
 
+import itertools
+import random
+import time
+
 import public_tokenizers
 import pytest
 
@@ -116,6 +120,8 @@ def test_pages(spark):
         (1, "a.example.org", "/es/1", "example.org/es/", "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"),
         (4, "b.com", "/de/x", "com/de/", "block"), (None, "org", "", None, "allow"),
     }
+    crowd = pages.selectExpr("*", "'x' as host", "'y' as content", "'z' as wrapper", "1 as salt", "2 as _key", "3 as _html", "4 as text", "5 as n_chars")
+    assert text == sorted(((r.page_id or 0), r.text, r.n_chars) for r in wrappers.extract_text(crowd).collect())
     assert wrappers.extract_text(pages.limit(0)).count() == url_graph.judge(pages.limit(0)).count() == 0
 
 
@@ -138,6 +144,61 @@ def test_wrapper_decides_per_layout_and_inside_articles(spark):
     assert got == {k: f"story {k}\nnote {k}" if k < 4 else f"plain page {k}" for k in range(8)}
 
 
+def test_names_of_all_elements_and_names_that_mislead(spark):
+    rows = [(k, "http://names.org/x", f"<h1 class='header'>Title {k}</h1><article><p>story {k}</p><p class='advert'>buy {k}<p>more {k}</p>"
+             f"<div class='share-price'>price {k}</div><section class='related-work'>work {k}</section><div class='share-links'>send {k}</div>"
+             f"<div class='related'>see {k}</div><div class='replies'>reply {k}</div><button>press {k}</button></article>") for k in range(4)]
+    rows += [(k, "http://plain.org/x", f"<head><title>t</title><body><span class='cookie-note'>we bake {k}</span><div>text {k}</div>") for k in range(4, 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract_text(pages).collect()}
+    assert got == {k: f"story {k}\nmore {k}\nprice {k}\nwork {k}" if k < 4 else f"text {k}" for k in range(8)}
+
+
+def test_wrapper_does_not_depend_on_the_order_of_pages(spark):
+    bodies = ["<div>a<p>b</p></div><section>x</section>", "<section>x</section><div>a<p>c</p></div>", "<div>d</div><ul><li>x</ul>", "<ul><li>x</ul><div>a</div>"]
+    seen = set()
+    for order in itertools.permutations(range(4)):
+        pages = spark.createDataFrame([(k, "http://o.org/x", bodies[k]) for k in order], "page_id long, url string, html string")
+        host = wrappers.infer_wrappers(pages.repartition(1 + order[0])).collect() if order[:2] in [(0, 1), (3, 2), (2, 0)] else []
+        seen |= {r.content for r in host}
+    assert len(seen) == 1
+
+
+def test_long_and_broken_pages_take_time_in_proportion():
+    shapes = {"quote": "<a b=\"", "lone": "<a b='x>t", "deep": "<div>x", "ends": "<div></ul>", "open": "<", "class": "<p class='", "comment": "<!-", "mixed": "<p>t<b>u</b>"}
+    for name, piece in shapes.items():
+        pages = [piece * n + tail for n in (20000, 40000) for tail in ("", "<b>z</b>y")]
+        began = time.monotonic()
+        own = [wrappers.wrapper_of(p) for p in pages]
+        merged = wrappers.infer(iter(own))
+        content = {k: set(v) for k, v in wrappers.decide(merged).items()}
+        texts = [wrappers.extract(p, content) for p in pages]
+        assert time.monotonic() - began < 60, name  # a step that grows with the square would take hours
+        assert len(texts) == 4
+    assert wrappers.extract("<article><a b='x>link</a> text", {"main": {wrappers.below(wrappers.TOP, "article")}, "rich": set(), "roots": {wrappers.below(wrappers.TOP, "article")}}) == "link text"
+
+
+def test_wrapper_grows_less_and_less_on_random_markup():
+    rng = random.Random(5)
+    page = lambda: "".join(f"<{t}>{rng.random()}</{t}>" for t in rng.choices("bius", k=60))
+    sizes, merged = [], None
+    for _ in range(200):
+        own = wrappers.wrapper_of(page())
+        merged = own if merged is None else wrappers.align(merged, own)
+        sizes.append(len(merged))
+    assert sizes[199] - sizes[99] < (sizes[99] - sizes[0]) / 2
+
+
+def test_alignment_keeps_every_node_in_order():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abcdefg", k=rng.randrange(12))) for _ in range(2))
+        pairs = wrappers._matches(list(a), list(b))
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        merged = wrappers.align([["t", x] for x in a], [["t", x] for x in b])
+        assert len(merged) == len(a) + len(b) - len(pairs)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, nasty, clashing, nothing, labels, tmp_path, name, stage):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
