@@ -1,7 +1,7 @@
 """Command line: communities or new numbering of a text edge list.
 
-    spark-submit clickforge/reorder.py EDGES OUT        writes "old new" lines
-    spark-submit clickforge/reorder.py -c EDGES OUT     writes "vertex community" lines
+    clickforge-reorder EDGES OUT        writes "old new" lines        (or python -m clickforge.reorder ...)
+    clickforge-reorder -c EDGES OUT     writes "vertex community" lines
 """
 
 from __future__ import annotations

@@ -100,9 +100,10 @@ def read_unique_csr(spark: SparkSession, path: str, batch: int | None = None) ->
 METRICS = "setting string, dataset string, batch bigint, workers bigint, iterations bigint, seconds double"
 
 
-def append_metrics(spark: SparkSession, path: str, rows: Sequence[tuple]) -> None:
-    """Append the result lines of a run."""
-    spark.createDataFrame(list(rows), METRICS).write.mode("append").parquet(path)
+def append_metrics(spark: SparkSession, path: str, rows: Sequence[tuple] | DataFrame) -> None:
+    """Append the result lines of a run, or those of many runs as a table."""
+    lines = rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows), METRICS)
+    lines.select(*[f.split()[0] for f in METRICS.split(", ")]).write.mode("append").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
