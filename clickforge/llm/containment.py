@@ -1,7 +1,7 @@
 """Threshold-scaled document fingerprints: every shingle hash below a fixed share of the hash range is kept.
 
 The kept hashes of a text are a sample of its shingles that does not depend on the text's length, so the
-fingerprint of two texts together is the union of theirs, and the share of the smaller fingerprint that
+fingerprint of two texts together follows from theirs (``merge``), and the share of the smaller fingerprint that
 the other one holds estimates containment between very unequal documents.
 
 The query compares each text with an edited one that takes its end from the next document in descending
@@ -47,9 +47,17 @@ def hashes(text: Column, width: int = SHINGLE, scale_bits: int = SCALE_BITS) ->
     return let(words_of(text), lambda w: let(shingles(w), below))
 
 
-def merge(left: Column, right: Column) -> Column:
-    """Fingerprint of two documents together."""
-    return F.sort_array(F.array_union(left, right))
+def merge(left: Column, right: Column, scale_bits: int = SCALE_BITS) -> Column:
+    """Fingerprint of the shingles of two documents together, exactly as ``hashes`` would make it of all of them.
+
+    A hash above the threshold stands for a text that had none below; it counts only if the other side has none below either,
+    and then the smaller one stays. So merging is associative and commutative, with the empty fingerprint as its neutral element.
+    """
+    def both(every: Column) -> Column:
+        below = F.filter(every, lambda h: F.shiftrightunsigned(h, 64 - scale_bits) == 0)
+        return let(below, lambda k: F.when((F.size(k) > 0) | (F.size(every) == 0), F.sort_array(k)).otherwise(F.array(F.array_min(every))))
+
+    return let(F.array_union(left, right), both)
 
 
 def likeness(left: Column, right: Column) -> Column:

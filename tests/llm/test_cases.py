@@ -6,6 +6,7 @@ import time
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clickforge.llm import containment, licences, mixing, packing, quality, simhash, token_files, toxicity, url_graph, wrappers
@@ -96,6 +97,24 @@ def test_mixing(nasty, clashing, nothing):
     assert sorted(map(str, mixing.mix(nasty).collect())) == sorted(map(str, mixing.mix(nasty.repartition(7)).collect()))
 
 
+def test_merged_fingerprints_are_those_of_all_shingles(spark):
+    rng = random.Random(1)
+    lots = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([0, 1, 1, 2, 5, 30]))] for _ in range(300)]
+
+    def sketch(every):
+        return sorted(h for h in set(every) if 0 <= h < 2**61) or sorted(set(every))[:1]
+
+    rows = [(sketch(a), sketch(b), sketch(c), sketch(a + b + c)) for a, b, c in zip(lots[::3], lots[1::3], lots[2::3])]
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>, c array<long>, whole array<long>")
+    merge = containment.merge
+    for r in frame.select("whole", merge(merge(F.col("a"), F.col("b")), F.col("c")).alias("x"), merge(F.col("c"), merge(F.col("b"), F.col("a"))).alias("y")).collect():
+        assert r.x == r.y == r.whole
+    # texts: the same as the sketch of both texts' shingles, and of a text with itself
+    texts = spark.createDataFrame([("one two three four five six " * 3,), ("short text",), ("",), (None,)], "t string")
+    own = texts.select(containment.hashes(F.coalesce("t", F.lit(""))).alias("h")).collect()
+    assert [r.x for r in spark.createDataFrame([(r.h, r.h) for r in own], "a array<long>, b array<long>").select(merge(F.col("a"), F.col("b")).alias("x")).collect()] == [r.h for r in own]
+
+
 def test_toxicity(nasty, clashing, nothing, labels):
     for docs in (nasty, clashing):
         rows = toxicity.score_documents(docs, labels).collect()
