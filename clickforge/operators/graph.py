@@ -61,8 +61,8 @@ def vertex_count(edges: DataFrame) -> DataFrame:
 
 
 def unused_ids(edges: DataFrame, n: int) -> DataFrame:
-    """(id): vertices of [0, n) without an edge."""
-    return edges.sparkSession.range(n).join(_ends(edges), "id", "left_anti")
+    """(id): vertices of [0, n) without an edge. The ends are reduced to distinct ids and stay out of the driver."""
+    return edges.sparkSession.range(n).join(_ends(edges).distinct().hint("merge"), "id", "left_anti")
 
 
 def adjacency_lists(weights: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
