@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,8 @@ def score_batch(df: DataFrame, dense: str, vectors: str, n_dense: int, dim: int,
     return df.withColumn(out, score(F.col(dense), F.col(vectors)))
 
 
-def score_with_pick(df: DataFrame, label: str, batch: str, in_batch: str, **scoring) -> DataFrame:
-    """Score only the rows that per-batch downsampling keeps."""
-    return score_batch(downsample_negatives_batch(df, label, batch, in_batch), **scoring)
+def score_with_pick(df: DataFrame, label: str, batch: str, in_batch: str,
+                    prepare: Callable[[DataFrame], DataFrame] | None = None, **scoring) -> DataFrame:
+    """Score only the rows that per-batch downsampling keeps; ``prepare`` may add their vectors after the pick."""
+    picked = downsample_negatives_batch(df, label, batch, in_batch)
+    return score_batch(picked if prepare is None else prepare(picked), **scoring)

@@ -8,8 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickforge.functions.vectors import vector_sum, zero_vector
+from clickforge.functions.vectors import vector_sum
 from clickforge.operators.update import apply_sgd, overwrite_rows
+from clickforge.operators.vectors import bag_sums
 from clickforge.session import materialize, materialize_bucketed
 
 HOT_SHARE = 1024  # a key with more than this part of all rows is hot; fewer than HOT_SHARE keys can be
@@ -65,12 +66,13 @@ class VectorTable:
     def bags(self, rows: DataFrame, members: DataFrame, row: str = "row") -> DataFrame:
         """(row, vec): sum of the vectors of each row's keys, zero without known ones.
 
-        Pairs of (row, key) go to the table; vectors of a row that meet in a bucket are added up there before they
-        travel to the row.
+        Distinct keys of each block of rows go to the table, and their vectors to the block, where they are added up.
         """
-        found = self.lookup(members.select(row, *self.keys)).filter(F.col("vec").isNotNull())
-        sums = vector_sum(found, [row], "vec", self.dim)
-        return rows.select(row).join(sums, row, "left").withColumn("vec", F.coalesce("vec", zero_vector(self.dim)))
+
+        def found(asked: DataFrame) -> DataFrame:
+            return self.lookup(materialize(asked, "asked")).filter(F.col("vec").isNotNull())
+
+        return bag_sums(rows, members, self.keys, found, self.dim, row)
 
     def _version(self, frame: DataFrame) -> VectorTable:
         return replace(self, frame=materialize_bucketed(frame.select(*self.keys, "vec"), "vectors", self.keys, self.buckets))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +15,10 @@ from clickforge.functions.arrow import from_matrix, to_matrix
 from clickforge.functions.scalars import int_div, mixed_radix
 from clickforge.functions.vectors import vector_sum, zero_vector
 from clickforge.operators.ordering import running
+from clickforge.session import materialize
 
 CORE_LIMIT_BYTES = 256 << 20
+BLOCK_IDS = 1 << 21  # ids that the rows of a block ask for, repeats included
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -44,13 +46,60 @@ def expand_lookup(df: DataFrame, looked_up: DataFrame, batch: str = "batch", id_
     return df.join(looked_up, [batch, id_col], "left")
 
 
+def _n_blocks(spark: SparkSession, ids: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-ids // BLOCK_IDS))
+
+
+def lookup_blocks(df: DataFrame, keys: dict[str, str], table: DataFrame) -> DataFrame:
+    """Add the vectors of several key columns, {key: name of its vector}; rows without a vector for each of the keys are dropped.
+
+    Rows are dealt to blocks at random, and a vector travels once to each block that asks for it, however many rows and
+    key columns of the block do. All joins then happen inside the blocks: no row moves again when it has become wide.
+    """
+    stored = materialize(df.withColumn("_draw", F.rand(7)), "blocks")  # so that a block has the same rows in all branches
+    blocks = _n_blocks(df.sparkSession, stored.count() * len(keys))
+    dealt = stored.withColumn("_block", F.floor(F.col("_draw") * blocks).cast("int")).drop("_draw")
+    asked = dealt.select("_block", F.explode(F.array(*keys)).alias("id")).distinct()
+    met = asked.join(table.select("id", "vec"), "id").select("_block", "id", "vec").repartitionById(blocks, "_block")
+    out = dealt.repartitionById(blocks, "_block")
+    for key, vec in keys.items():
+        out = out.join(met.select("_block", F.col("id").alias(key), F.col("vec").alias(vec)), ["_block", key])
+    return out.select(*df.columns, *keys.values())
+
+
+def bag_sums(rows: DataFrame, members: DataFrame, keys: Sequence[str], found: Callable[[DataFrame], DataFrame], dim: int,
+             row: str = "row") -> DataFrame:
+    """(row, vec): sum of the vectors of the keys that ``members`` names for each row, zero without known ones.
+
+    ``found`` adds ``vec`` to rows with key columns and leaves out unknown keys. Rows are dealt to blocks by hash together with
+    their members; a vector travels once to each block that asks for it, and the wide sums are formed there and do not travel.
+    A row with very many members is summed by many tasks instead, in parts that meet at the end.
+    """
+    stored = materialize(members.filter(F.col(row).isNotNull()).select(row, *keys), "members")
+    blocks = _n_blocks(rows.sparkSession, stored.count())
+    kind = stored.schema[row].dataType
+    block = F.pmod(F.xxhash64(F.col(row).try_cast(kind)), F.lit(blocks)).cast("int")  # hashes follow the type
+    counts = stored.groupBy(row).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.filter(F.col("_n") > BLOCK_IDS // 8).select(row), "hot-rows")  # few: each has many members
+    has_hot = not hot.isEmpty()
+    dealt = (stored.join(F.broadcast(hot), row, "left_anti") if has_hot else stored).withColumn("_block", block)
+    met = found(dealt.select("_block", *keys).distinct()).select("_block", *keys, "vec")
+    inside = dealt.repartitionById(blocks, "_block").join(met.repartitionById(blocks, "_block"), ["_block", *keys])
+    sums = vector_sum(inside, ["_block", row], "vec", dim)
+    wanted = rows.select(row, block.alias("_block")).repartitionById(blocks, "_block")
+    out = wanted.join(sums, ["_block", row], "left").select(row, "vec")
+    if has_hot:
+        large = vector_sum(found(stored.join(F.broadcast(hot), row)), [row], "vec", dim).withColumnRenamed("vec", "_large")
+        out = out.join(F.broadcast(large), row, "left").select(row, F.coalesce("vec", "_large").alias("vec"))
+    return out.withColumn("vec", F.coalesce("vec", zero_vector(dim)))
+
+
 def embedding_bag(rows: DataFrame, members: DataFrame, table: DataFrame, dim: int, row: str = "row") -> DataFrame:
     """(row, vec): sum of the vectors of each row's ids; a row without known ids gives the zero vector.
 
     ``members`` is the long form (row, id), so a bag of any length needs no list.
     """
-    sums = vector_sum(members.join(table.select("id", "vec"), "id"), [row], "vec", dim)
-    return rows.select(row).join(sums, row, "left").withColumn("vec", F.coalesce("vec", zero_vector(dim)))
+    return bag_sums(rows, members, ["id"], lambda ids: ids.join(table.select("id", "vec"), "id"), dim, row)
 
 
 def embedding_bag_lists(bags: DataFrame, ids: str, table: DataFrame, dim: int, row: str = "row") -> DataFrame:

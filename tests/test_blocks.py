@@ -1,12 +1,67 @@
 """Lookups and bags in blocks: each vector travels once to a block, results equal plain joins; ids without an edge."""
 
-from clickforge.operators import graph
+import pytest
+from pyspark.sql import functions as F
+
+from clickforge.functions.vectors import vector_sum, zero_vector
+from clickforge.operators import graph, vectors
+from clickforge.operators.stores import VectorTable
 
 
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
+def sorted_rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture
+def plain_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    """Id 7 has two vectors."""
+    return spark.createDataFrame([(i % 40, [float(i), -1.0]) for i in [*range(40), 47]], "id bigint, vec array<float>")
+
+
+def test_rows_and_vectors_meet_in_blocks(spark, table, monkeypatch, plain_joins):
+    monkeypatch.setattr(vectors, "BLOCK_IDS", 20)
+    data = [(k, k % 45 if k % 9 else None, k * 7 % 40) for k in range(300)]
+    rows = spark.createDataFrame([*data, data[1]], "k bigint, a bigint, b bigint")
+    got = vectors.lookup_blocks(rows, {"a": "u", "b": "w"}, table)
+    plain = rows.join(table.toDF("a", "u"), "a").join(table.toDF("b", "w"), "b").select("k", "a", "b", "u", "w")
+    assert sorted_rows(got) == sorted_rows(plain)
+    assert vectors.lookup_blocks(rows.limit(0), {"a": "u"}, table).count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_bags_are_summed_inside_their_blocks(spark, table, monkeypatch, plain_joins, hot):
+    monkeypatch.setattr(vectors, "BLOCK_IDS", 80)
+    pairs = [(k % 60 if k % 11 else None, k * 7 % 45 if k % 13 else None) for k in range(400)] + [(3, 7)] * (500 if hot else 0)
+    members = spark.createDataFrame(pairs, "row bigint, id bigint")
+    rows = spark.createDataFrame([(k,) for k in [*range(70), 5, None]], "row int")
+    sums = vector_sum(members.join(table, "id"), ["row"], "vec", 2)
+    plain = rows.join(sums, "row", "left").withColumn("vec", F.coalesce("vec", zero_vector(2)))
+    bags = vectors.embedding_bag(rows, members, table, 2)
+    assert sorted_rows(bags) == sorted_rows(plain)
+    assert hot or "hashpartitioning(row#" not in plan_of(bags)  # wide sums do not travel
+
+
+def test_bags_of_a_stored_table_are_summed_inside_their_blocks(spark, table, plain_joins):
+    store = VectorTable.create(table.filter("id <> 7"), 2, buckets=3)
+    members = spark.createDataFrame([(k % 60, k * 7 % 45) for k in range(400)], "row bigint, id bigint")
+    rows = spark.range(70).select(F.col("id").alias("row"))
+    bags = store.bags(rows, members)
+    assert sorted_rows(bags) == sorted_rows(vectors.embedding_bag(rows, members, table.filter("id <> 7"), 2))
+    assert "hashpartitioning(row#" not in plan_of(bags)
+
+
 def test_ends_of_edges_stay_out_of_the_driver(spark):
     edges = spark.createDataFrame([(0, 1, 2), (0, 1, 5), (1, 2, 5)], "batch bigint, src bigint, dst bigint")
     free = graph.unused_ids(edges, 7)
