@@ -267,15 +267,22 @@ _TRIPLES = f"""{_N}, tri as (select o_orderkey, a.embedding::double[] as d, b.em
   join embeddings a on a.vec_id = ka join embeddings b on b.vec_id = kb join embeddings c on c.vec_id = kc)"""
 
 
-def _triples(t: Tables) -> DataFrame:
-    """Per order: a dense vector and two field vectors."""
-    keyed = t.orders.select(
+def _keyed(t: Tables) -> DataFrame:
+    """Per order: the keys of a dense vector and two field vectors."""
+    return t.orders.select(
         "o_orderkey", _vec_of(t, F.col("o_orderkey")).alias("ka"), _vec_of(t, F.col("o_custkey")).alias("kb"),
         _vec_of(t, F.col("o_orderkey") + F.col("o_custkey")).alias("kc"),
     )
-    for key, vec in (("ka", "d"), ("kb", "u"), ("kc", "w")):
-        keyed = keyed.join(t.vectors.select(F.col("id").alias(key), F.col("vec").alias(vec)), key)
-    return keyed.select("o_orderkey", "d", F.array("u", "w").alias("vecs"))
+
+
+def _with_triple(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    found = vectors.lookup_blocks(keyed, {"ka": "d", "kb": "u", "kc": "w"}, table)
+    return found.select(*[c for c in keyed.columns if c not in ("ka", "kb", "kc")], "d", F.array("u", "w").alias("vecs"))
+
+
+def _triples(t: Tables) -> DataFrame:
+    """Per order: a dense vector and two field vectors."""
+    return _with_triple(_keyed(t), t.vectors)
 
 
 @query("pairwise_dot", f"""with {_TRIPLES} select o_orderkey,
@@ -328,8 +335,14 @@ def score_with_pick(t):
     labels = t.orders.select(
         "o_orderkey", int_div("o_orderkey", 512).alias("batch"), F.pmod("o_orderkey", F.lit(512)).cast("bigint").alias("in_batch"),
         (F.col("o_orderstatus") == "P").cast("bigint").alias("label"))
-    rows = labels.join(_triples(t), "o_orderkey")
-    out = interaction.score_with_pick(rows, "label", "batch", "in_batch", dense="d", vectors="vecs", n_dense=DIM, dim=DIM, bottom=bottom, top=top)
+    # orders without all vectors are no candidates; the vectors themselves come when the rows are picked, by their place
+    placed = materialize(t.vectors.withColumn("at", F.monotonically_increasing_id()), "placed")
+    rows = labels.join(_keyed(t), "o_orderkey")
+    for key in ("ka", "kb", "kc"):
+        rows = rows.join(placed.select(F.col("id").alias(key), F.col("at").alias(f"_{key}")), key).drop(key).withColumnRenamed(f"_{key}", key)
+    table = placed.select(F.col("at").alias("id"), "vec")
+    out = interaction.score_with_pick(rows, "label", "batch", "in_batch", prepare=lambda picked: _with_triple(picked, table),
+                                      dense="d", vectors="vecs", n_dense=DIM, dim=DIM, bottom=bottom, top=top)
     return out.select("o_orderkey", "label", F.round("score", 6).alias("score"))
 
 
