@@ -91,8 +91,9 @@ long as (select l_orderkey, 'part' as field, l_partkey % n as id from lineitem,
 select l_orderkey, field, id, {fixed_point_sql('vec')} as vec from long join tab using (field, id)""")
 def multi_table_lookup(t):
     rows = t.lineitem.select("l_orderkey", _vec_of(t, F.col("l_partkey")).alias("part"), _vec_of(t, F.col("l_suppkey")).alias("supp"))
-    found = vectors.lookup_fields(rows, ["part", "supp"], _two_tables(t), "l_orderkey")
-    return as_text(found.select("l_orderkey", "field", "id", "vec"))
+    # a vector is written as text once, not for every row that asks for it
+    found = vectors.lookup_fields(rows, ["part", "supp"], as_text(_two_tables(t)), "l_orderkey")
+    return found.select("l_orderkey", "field", "id", "vec")
 
 
 _BAG_SQL = f"""with {_N},
