@@ -13,6 +13,7 @@ from clickforge.operators.ordering import rank_in_group, running
 from clickforge.session import materialize
 
 LIST_CHUNK = 1024  # neighbours per adjacency list row
+TASK_PAIRS = 1 << 22  # pairs that a task makes from its batches at most, about
 
 
 def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 512) -> DataFrame:
@@ -23,9 +24,11 @@ def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 5
     for the hot ids and makes no pairs. The pairs of a batch are generated after one shuffle,
     without a self join.
     """
+    cold = df.filter(F.col(id_col) > 0).select(int_div(pos, batch_size).alias("batch"), id_col)
+    tasks = -(-cold.count() * batch_size // (2 * TASK_PAIRS)) or 1  # the lists are short, so their size says little about the pairs
     lists = (
-        df.filter(F.col(id_col) > 0)
-        .groupBy(int_div(pos, batch_size).alias("batch"))
+        cold.repartition(tasks, "batch")
+        .groupBy("batch")
         .agg(F.sort_array(F.collect_set(id_col)).alias("ids"))
     )
     firsts = lists.select("batch", "ids", F.posexplode("ids").alias("at", "src"))
@@ -93,15 +96,15 @@ def best_neighbor(weights: DataFrame, strengths: DataFrame | None = None, seed:
     With a ``seed``, ties go to the neighbour with the smaller hash of the pair, which is the same from both ends.
 
     ``strengths`` (v, strength) may carry weight that contraction has turned into self loops.
-    The join on v comes first, so the grouping by v still needs a shuffle and pre-aggregates:
-    a hub does not end in one task.
+    The join on u comes first, so the edges that the join on v has brought together are grouped by v where they are: edges
+    travel twice, and proposals not at all. A hub has at most as many edges as there are vertices.
     """
     strengths = (degrees(weights) if strengths is None else strengths).select("v", "strength")
     total = total_weight(strengths).scalar()
     of_v = strengths.select(F.col("v").alias("src"), F.col("strength").alias("sv"))
     of_u = strengths.select(F.col("v").alias("dst"), F.col("strength").alias("su"))
     gains = (
-        weights.join(of_v, "src").join(of_u, "dst")
+        weights.join(of_u, "dst").join(of_v, "src")
         .select("src", "dst", "w", "sv", "su", (F.col("w") - F.col("sv") * F.col("su") / total).alias("gain"))
         .filter("gain > 0")
     )

@@ -67,3 +67,21 @@ def test_ends_of_edges_stay_out_of_the_driver(spark):
     free = graph.unused_ids(edges, 7)
     assert "Broadcast" not in plan_of(free)
     assert sorted(r.id for r in free.collect()) == [0, 3, 4, 6]
+
+
+def test_batches_are_dealt_to_tasks_by_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_PAIRS", 1000)
+    rows = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") * 7 % 90 + 1).alias("id"))
+    pairs = graph.cooccurrence_edges(rows, "id", "pos", 32)
+    assert pairs.rdd.getNumPartitions() == 32  # 2000 rows with at most 16 pairs each
+    assert pairs.count() == rows.groupBy((F.col("pos") / 32).cast("int").alias("b")).agg(F.countDistinct("id").alias("n")).agg(
+        F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    assert graph.cooccurrence_edges(rows.limit(0), "id", "pos", 32).count() == 0
+
+
+def test_proposals_do_not_travel(spark, plain_joins):
+    weights = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 3.0), (2, 1, 3.0)], "src bigint, dst bigint, w double")
+    best = graph.best_neighbor(weights)
+    assert {r.v: r.u for r in best.collect()} == {0: 1, 1: 2, 2: 1}
+    physical = plan_of(best).split("Physical Plan")[-1]
+    assert "partial_min" in physical and physical.split("partial_min")[0].count("Exchange") == 0
