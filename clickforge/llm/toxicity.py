@@ -42,7 +42,7 @@ LANDMARKS, ROUNDS, HARD, CLEAR = 256, 4, 4000, 8.0
 SPAN, DECAY, CODES, WINDOW = 5, 0.6, 40, 24
 STARTS = (4, 5, 6, 7)  # letters
 RIDGE = 1e-5
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 17
 TEXTS = 256  # whose words are held at a time
 CHUNK = 1 << 13  # words worked on at a time
 BLOCK = 1 << 10  # training rows worked on at a time
@@ -289,13 +289,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, text: str, name: str) -> DataFrame:
-    """All columns of ``docs`` and the score of the text."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    """All columns of ``docs`` and the score of the text; only the text goes to the Python workers, only scores come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
-        for batch in batches:
-            *rest, texts = batch.columns
+        for texts in batches:
             margins = []
             for at in range(0, len(texts), TEXTS):
                 bags = [words_in(t) for t in texts.slice(at, TEXTS).to_pylist()]
@@ -306,11 +305,9 @@ def score_texts(docs: DataFrame, model: ToxicModel, text: str, name: str) -> Dat
                     part = unknown[a : a + CHUNK]
                     known.update(zip(part, model.raw(part).tolist()))
                 margins += [max(map(known.__getitem__, b), default=model.bias) for b in bags]
-            scores = model.chance(np.maximum(np.array(margins), model.bias))
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], names=batch.schema.names)
+            yield pa.array(model.chance(np.maximum(np.array(margins), model.bias)), pa.float64())
 
-    rows = docs.select(*columns, whole(text).alias(name))
-    return rows.mapInArrow(run, docs.select(*columns).schema.add(name, "double"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], score(whole(text)).alias(name))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 """Lookups and bags in blocks: each vector travels once to a block, results equal plain joins; ids without an edge."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clickforge.functions.vectors import vector_sum, zero_vector
+from clickforge.llm import toxicity
 from clickforge.operators import graph, vectors
 from clickforge.operators.stores import VectorTable
 
@@ -85,3 +87,14 @@ def test_proposals_do_not_travel(spark, plain_joins):
     assert {r.v: r.u for r in best.collect()} == {0: 1, 1: 2, 2: 1}
     physical = plan_of(best).split("Physical Plan")[-1]
     assert "partial_min" in physical and physical.split("partial_min")[0].count("Exchange") == 0
+
+
+def test_only_texts_go_to_the_python_workers(spark):
+    model = toxicity.ToxicModel(np.zeros(toxicity.CODES**3), -1.0, 1.0, 0.0)
+    docs = spark.createDataFrame([(1, "some words", "x"), (2, None, None), (3, "", "y")], "doc_id bigint, text string, `a.b` string")
+    scored = toxicity.score_texts(docs, model, "text", "score")
+    assert "MapInArrow" not in plan_of(scored)
+    expected = 1 / (1 + np.exp(1.0))
+    rows = scored.filter("score < 0.5").collect()
+    assert [tuple(r)[:3] for r in rows] == [tuple(r) for r in docs.collect()]
+    assert all(abs(r["score"] - expected) < 1e-12 for r in rows)
