@@ -14,18 +14,26 @@ from clickforge.session import materialize
 
 LIST_CHUNK = 1024  # neighbours per adjacency list row
 TASK_PAIRS = 1 << 22  # pairs that a task makes from its batches at most, about
+HUB_DEGREE = 1 << 16  # neighbours that are collected in one place at most
 
 
-def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 512) -> DataFrame:
+def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 512, block: str | None = None) -> DataFrame:
     """(batch, src, dst) with src < dst: pairs of distinct cold ids that meet in a mini-batch.
 
     Batches are cut by position here, so no group can exceed ``batch_size`` rows and the output
     is at most ``batch_size / 2`` pairs per input row whatever the id distribution. Id 0 stands
     for the hot ids and makes no pairs. The pairs of a batch are generated after one shuffle,
     without a self join.
+
+    With a name ``block``, equal pairs of all batches are made in the same task, which this column numbers; ``edge_weights``
+    then adds them up without moving any. Ids are dealt to groups by hash, and each batch sends the lists of two groups to
+    the task of these two: an id travels once per group instead of once per pair.
     """
     cold = df.filter(F.col(id_col) > 0).select(int_div(pos, batch_size).alias("batch"), id_col)
-    tasks = -(-cold.count() * batch_size // (2 * TASK_PAIRS)) or 1  # the lists are short, so their size says little about the pairs
+    n = cold.count()
+    tasks = -(-n * batch_size // (2 * TASK_PAIRS)) or 1  # the lists are short, so their size says little about the pairs
+    if block is not None:
+        return _pairs_in_blocks(cold, id_col, n, max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, tasks * 8)), block)
     lists = (
         cold.repartition(tasks, "batch")
         .groupBy("batch")
@@ -35,15 +43,36 @@ def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 5
     return firsts.select("batch", "src", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("dst"))
 
 
-def edge_weights(edges: DataFrame, weight: str | None = None) -> DataFrame:
+def _pairs_in_blocks(cold: DataFrame, id_col: str, n: int, tasks: int, block: str) -> DataFrame:
+    """(batch, src, dst, block): the block is a pair of groups of ids, and there are at least ``tasks`` blocks."""
+    groups = next(g for g in count(1) if g * (g + 1) // 2 >= tasks)
+    grouped = (
+        cold.repartition(max(tasks, -(-n * groups // TASK_PAIRS)), "batch").distinct()
+        .groupBy("batch", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("g"))
+        .agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+        .groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("g", "ids"))).alias("parts"))
+    )
+    lefts = grouped.select("batch", "parts", F.posexplode("parts").alias("at", "a"))
+    both = lefts.select("batch", "a", F.explode(F.slice("parts", F.col("at") + 1, F.size("parts"))).alias("b"))
+    number = int_div(F.col("b.g") * (F.col("b.g") + 1), 2) + F.col("a.g")  # a.g <= b.g
+    dealt = both.select("batch", number.cast("int").alias(block), F.col("a.ids").alias("a"), F.col("b.ids").alias("b"),
+                        (F.col("a.g") == F.col("b.g")).alias("own")).repartitionById(groups * (groups + 1) // 2, block)
+    firsts = dealt.select("batch", block, "b", "own", F.posexplode("a").alias("at", "x"))
+    rest = F.when(F.col("own"), F.slice("b", F.col("at") + 2, F.size("b"))).otherwise(F.col("b"))
+    pairs = firsts.select("batch", block, "x", F.explode(rest).alias("y"))
+    return pairs.select("batch", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), block)
+
+
+def edge_weights(edges: DataFrame, weight: str | None = None, block: str | None = None) -> DataFrame:
     """(src, dst, w) in both directions without self loops; weights of equal edges are added.
 
-    Weights are added per unordered pair first, and mirrored after the shuffle.
+    Weights are added per unordered pair first, and mirrored after the shuffle. Where a column ``block`` says which
+    task has all edges of a pair, as ``cooccurrence_edges`` can deal them, there is no shuffle.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     halves = (
         edges.filter("src <> dst")
-        .groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        .groupBy(*([] if block is None else [block]), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
         .agg(F.sum(w).alias("w"))
         .filter("w > 0")
     )
@@ -96,26 +125,27 @@ def best_neighbor(weights: DataFrame, strengths: DataFrame | None = None, seed:
     With a ``seed``, ties go to the neighbour with the smaller hash of the pair, which is the same from both ends.
 
     ``strengths`` (v, strength) may carry weight that contraction has turned into self loops.
-    The join on u comes first, so the edges that the join on v has brought together are grouped by v where they are: edges
-    travel twice, and proposals not at all. A hub has at most as many edges as there are vertices.
     """
     strengths = (degrees(weights) if strengths is None else strengths).select("v", "strength")
     total = total_weight(strengths).scalar()
     of_v = strengths.select(F.col("v").alias("src"), F.col("strength").alias("sv"))
     of_u = strengths.select(F.col("v").alias("dst"), F.col("strength").alias("su"))
-    gains = (
-        weights.join(of_u, "dst").join(of_v, "src")
-        .select("src", "dst", "w", "sv", "su", (F.col("w") - F.col("sv") * F.col("su") / total).alias("gain"))
-        .filter("gain > 0")
-    )
+    return _best(weights.join(of_u, "dst").join(of_v, "src"), total, seed)
+
+
+def _best(edges: DataFrame, total: Column, seed: int | None) -> DataFrame:
+    """The proposals of ``best_neighbor`` from (src, dst, w, sv, su), which is read twice.
+
+    The largest gains are found first, as plain numbers that are kept by hash; only edges that reach them are compared further.
+    Comparing whole edges at once would sort all of them by vertex.
+    """
+    gains = edges.withColumn("gain", F.col("w") - F.col("sv") * F.col("su") / total).filter("gain > 0")
+    tops = materialize(gains.groupBy("src").agg(F.max("gain").alias("_top")), "tops")
     tie = F.lit(0) if seed is None else F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed))
-    best = gains.groupBy("src").agg(
-        F.min(F.struct((-F.col("gain")).alias("g"), tie.alias("tie"), "dst", "w", "sv", "su")).alias("b")
-    )
-    return best.select(
-        F.col("src").alias("v"), F.col("b.dst").alias("u"), (-F.col("b.g")).alias("gain"),
-        F.col("b.w").alias("w"), F.col("b.sv").alias("sv"), F.col("b.su").alias("su"),
+    best = gains.join(tops, "src").filter(F.col("gain") == F.col("_top")).groupBy("src").agg(
+        F.min(F.struct(tie.alias("tie"), "dst", "w", "sv", "su", "gain")).alias("b")
     )
+    return best.select(F.col("src").alias("v"), F.col("b.dst").alias("u"), "b.gain", "b.w", "b.sv", "b.su")
 
 
 def contract_graph(weights: DataFrame, parents: DataFrame) -> DataFrame:
@@ -231,6 +261,28 @@ def _accepted_merges(attempts: DataFrame, total) -> DataFrame:
 CROWDED = 8  # a round is crowded when fewer than one of so many senders merges
 
 
+def _with_strengths(halves: DataFrame, parents: DataFrame) -> DataFrame:
+    """(src, dst, w, sv, su) with src < dst: each edge as one between the parents of its ends, with their strengths.
+
+    ``parents`` is (v, parent, strength of the parent) for every vertex of an edge. Both directions of an edge have the same gain,
+    so one row is kept for both, and with the strengths in it no round has to fetch them again.
+    """
+    left = parents.select(F.col("v").alias("src"), F.col("parent").alias("_s"), F.col("strength").alias("_ps"))
+    right = parents.select(F.col("v").alias("dst"), F.col("parent").alias("_d"), F.col("strength").alias("_pd"))
+    ends = halves.select("src", "dst", "w").join(left, "src").join(right, "dst").filter("_s <> _d")
+    up = F.col("_s") < F.col("_d")
+    return ends.select(
+        F.when(up, F.col("_s")).otherwise(F.col("_d")).alias("src"), F.when(up, F.col("_d")).otherwise(F.col("_s")).alias("dst"), "w",
+        F.when(up, F.col("_ps")).otherwise(F.col("_pd")).alias("sv"), F.when(up, F.col("_pd")).otherwise(F.col("_ps")).alias("su"),
+    )
+
+
+def _both_ways(halves: DataFrame) -> DataFrame:
+    ways = F.array(F.struct("src", "dst", "sv", "su"),
+                   F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("su").alias("sv"), F.col("sv").alias("su")))
+    return halves.select("w", F.explode(ways).alias("e")).select("e.src", "e.dst", "w", "e.sv", "e.su")
+
+
 def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
     """(v, parent, round): merge forest of greedy modularity clustering.
 
@@ -240,16 +292,19 @@ def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
     round, and of those who try to join the same vertex at least one succeeds, all of them while the gain lasts. Where many keep to
     one that gains from few of them, the next round is among the refused only, as they may gain from each other. The rounds
     follow the logarithm of the number of vertices on paths, stars and rings of cliques (measured). There is no such bound
-    for all graphs: one clique that is the whole graph takes about half as many rounds as vertices (13 for 24). The loop ends when nobody proposes. Senders, merges and the smaller graph of each round are written out. Coins
+    for all graphs: one clique that is the whole graph takes about half as many rounds as vertices (13 for 24). The loop ends when nobody proposes.
+    ``weights`` is as ``edge_weights`` gives it, and read twice. Senders, merges and the smaller graph of each round are written out. Coins
     are hashes, so the result is the same on every run. Roots have themselves as parent and round -1.
     """
-    current = materialize(weights.select("src", "dst", "w"), "graph")
-    strengths = materialize(degrees(current).select("v", "strength"), "strength")
+    strengths = materialize(degrees(weights).select("v", "strength"), "strength")
+    themselves = strengths.select("v", F.col("v").alias("parent"), "strength")
+    current = materialize(_with_strengths(weights.filter("src < dst"), themselves), "graph")
     everyone = strengths.select("v") if n is None else weights.sparkSession.range(n).select(F.col("id").alias("v"))
     total = strengths.agg(F.sum("strength")).first()[0]
     merges, among = [], None
     for step in count():
-        senders = materialize(_senders(materialize(best_neighbor(current if among is None else among, strengths, step), "proposals")), "senders")
+        proposals = _best(_both_ways(current if among is None else among), F.lit(total), step)
+        senders = materialize(_senders(materialize(proposals, "proposals")), "senders")
         n_senders = senders.count()
         if not n_senders and among is None:
             break
@@ -258,14 +313,16 @@ def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
         if not n_accepted:  # nobody refused has a gain with another, or the coins fell badly
             continue
         merges.append(accepted.withColumn("round", F.lit(step)))
-        current = materialize(contract_graph(current, accepted), "graph")
+        moved = materialize(strengths.join(accepted, "v", "left").select("v", F.coalesce("parent", "v").alias("parent"), "strength"), "moved")
+        strengths = materialize(moved.groupBy(F.col("parent").alias("v")).agg(F.sum("strength").alias("strength")), "strength")
+        parents = moved.select("v", "parent").join(strengths.withColumnRenamed("v", "parent"), "parent")
+        contracted = _with_strengths(current, materialize(parents, "parents")).groupBy("src", "dst")
+        current = materialize(contracted.agg(F.sum("w").alias("w"), F.max("sv").alias("sv"), F.max("su").alias("su")), "graph")
         if n_accepted * CROWDED < n_senders:
             merged = accepted.select(F.explode(F.array("v", "parent")).alias("v"))
             refused = materialize(senders.select("v").join(merged, "v", "left_anti"), "refused")
             from_refused = current.join(refused.select(F.col("v").alias("src")), "src", "left_semi")
-            among = from_refused.join(refused.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
-        moved = strengths.join(accepted, "v", "left").select(F.coalesce("parent", "v").alias("v"), "strength")
-        strengths = materialize(moved.groupBy("v").agg(F.sum("strength").alias("strength")), "strength")
+            among = from_refused.join(refused.select(F.col("v").alias("dst")), "dst", "left_semi")
     if not merges:
         return everyone.select("v", F.col("v").alias("parent"), F.lit(-1).alias("round"))
     forest = reduce(DataFrame.union, merges)
@@ -366,7 +423,7 @@ def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot
     cold ids 1..n -> composed with the ranks. ``df`` holds frequency ranks in ``id_col``.
     """
     cold = df.select(pos, to_cold_range(id_col, hot).alias("cold"))
-    weights = materialize(edge_weights(cooccurrence_edges(cold, "cold", pos, batch_size)), "edges")
+    weights = materialize(edge_weights(cooccurrence_edges(cold, "cold", pos, batch_size, "block"), block="block"), "edges")
     n = vertex_count(weights).first()["n"]
     forest = materialize(communities(weights, n).filter("v > 0"), "forest")
     shifted = permutation(forest).select("old", (F.col("new") + 1).alias("new"))

@@ -22,12 +22,12 @@ _STRENGTH = _WEIGHTS + """,
 strength as (select src as v, count(*) as degree, sum(w) as strength from weights group by src)"""
 
 
-def _pairs(t):
-    return graph.cooccurrence_edges(t.clicks.select("pos", (F.col("user_id") + 1).alias("id")), "id", "pos", BATCH)
+def _pairs(t, block=None):
+    return graph.cooccurrence_edges(t.clicks.select("pos", (F.col("user_id") + 1).alias("id")), "id", "pos", BATCH, block)
 
 
 def _weights(t):
-    return graph.edge_weights(_pairs(t))
+    return graph.edge_weights(_pairs(t, "block"), block="block")
 
 
 @query("cooccurrence_edges", f"with {_PAIRS} select batch, src, dst from pairs")

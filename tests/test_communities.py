@@ -91,3 +91,30 @@ def test_ties_by_the_hash_of_the_pair_agree_from_both_ends(spark):
 def test_no_edges(spark):
     weights = spark.createDataFrame([], "src bigint, dst bigint, w double")
     assert [tuple(r) for r in graph.communities(weights, 3).orderBy("v").collect()] == [(v, v, -1) for v in range(3)]
+
+
+def test_pairs_dealt_in_blocks_are_added_up_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_PAIRS", 50)  # several groups of ids
+    rows = spark.range(400).select(F.col("id").alias("pos"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(40))).alias("id"))
+    plain = graph.cooccurrence_edges(rows, "id", "pos", 16)
+    dealt = graph.cooccurrence_edges(rows, "id", "pos", 16, "block")
+    assert sorted(dealt.select("batch", "src", "dst").collect()) == sorted(plain.collect())
+    places = dealt.groupBy("src", "dst").agg(F.countDistinct("block").alias("n"))
+    assert places.agg(F.max("n")).first()[0] == 1 and dealt.select("block").distinct().count() > 10
+    weights = graph.edge_weights(dealt, block="block")
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.index("posexplode")  # read from the end: no pair moves once it is made
+    assert sorted(weights.collect()) == sorted(graph.edge_weights(plain).collect())
+
+
+def test_best_neighbours_are_not_found_by_sorting_all_edges(spark):
+    weights = materialize(graph.edge_weights(spark.createDataFrame(ring(5, 4), "src bigint, dst bigint")))
+    plan = graph.best_neighbor(weights, seed=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_top" in plan and "gain" in plan
+    strength = {r.v: r.strength for r in graph.degrees(weights).collect()}
+    total, best = sum(strength.values()), {}
+    for r in weights.collect():
+        gain = r.w - strength[r.src] * strength[r.dst] / total
+        if gain > 0:
+            best[r.src] = min(best.get(r.src, (0.0, r.dst)), (-gain, r.dst))
+    assert {r.v: (-r.gain, r.u) for r in graph.best_neighbor(weights).collect()} == best
