@@ -100,12 +100,22 @@ def unused_ids(edges: DataFrame, n: int) -> DataFrame:
 def adjacency_lists(weights: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
     """(src, chunk, neighbors): neighbours by id with weights, in pieces of bounded length.
 
-    A hub with many neighbours becomes several rows instead of one huge list.
+    A hub with many neighbours becomes several rows instead of one huge list. Vertices of up to ``HUB_DEGREE`` neighbours
+    are gathered, sorted and cut in one place; only the edges of larger ones are ranked over many tasks.
     """
-    ranked = rank_in_group(weights.select("src", "dst", "w"), ["src"], ["dst"], "_rank")
-    return ranked.groupBy("src", int_div("_rank", chunk).alias("chunk")).agg(
-        F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("neighbors")
-    )
+    stored = materialize(weights.select("src", "dst", "w"), "edges")
+    entries = F.sort_array(F.collect_list(F.struct("dst", "w")))
+    hubs = materialize(stored.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB_DEGREE).select("src"), "hubs")
+    has_hubs = not hubs.isEmpty()
+    small = stored.join(hubs, stored["src"].eqNullSafe(hubs["src"]), "left_anti") if has_hubs else stored
+    gathered = small.groupBy("src").agg(entries.alias("_all"))
+    starts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(chunk))
+    pieces = F.posexplode(F.transform(starts, lambda at: F.slice("_all", at + 1, F.lit(chunk)))).alias("chunk", "neighbors")
+    lists = gathered.select("src", pieces).withColumn("chunk", F.col("chunk").cast("bigint"))
+    if not has_hubs:
+        return lists
+    ranked = rank_in_group(stored.join(hubs, stored["src"].eqNullSafe(hubs["src"]), "left_semi"), ["src"], ["dst"], "_rank")
+    return lists.union(ranked.groupBy("src", int_div("_rank", chunk).alias("chunk")).agg(entries.alias("neighbors")))
 
 
 def degrees(weights: DataFrame) -> DataFrame:

@@ -187,3 +187,17 @@ def test_file_positions_survive_other_split_sizes(spark, tmp_path):
         for n, v in before.items():
             spark.conf.set(n, v)
     assert len(got) == 3000 and all(int(r["value"]) == r["pos"] for r in got)
+
+
+@pytest.mark.parametrize("hub", [3, 1000])
+def test_lists_of_hubs_and_others(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB_DEGREE", hub)
+    weights = graph.edge_weights(spark.range(60).select(F.expr("id % 7").alias("src"), F.expr("id * id % 23 + 7").alias("dst")))
+    lists = graph.adjacency_lists(weights, chunk=2)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert (hub < 7) == ("_part" in plan)  # nobody ranks the edges of small vertices
+    by_hand = {}
+    for r in sorted(weights.collect()):
+        by_hand.setdefault(r.src, []).append((r.dst, r.w))
+    assert {(r.src, r.chunk): [tuple(e) for e in r.neighbors] for r in lists.collect()} == {
+        (v, k // 2): found[k : k + 2] for v, found in by_hand.items() for k in range(0, len(found), 2)}
