@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from clickforge.operators.ordering import rank_in_group
 from clickforge.session import materialize, materialize_bucketed
 
 FAN = 1024
+LONG_ROWS = 1 << 16  # rows of a segment that one task sorts at most
 HOT_SHARE = 256  # a block that more than this part of all slices ask for is broadcast; fewer than HOT_SHARE blocks can be
 
 
@@ -193,15 +194,28 @@ def sort_between(
     """(segment, columns of the rows..., out_pos): the rows of each segment with their place after sorting it.
 
     Places start at the segment's first row; ties keep their order. Rows in several segments come once for each, and rows in none
-    do not come. A segment meets the blocks that it touches, and rows that are in it leave them; a segment with most of the rows
-    is sorted by many tasks.
+    do not come. A segment meets the blocks that it touches, and rows that are in it leave them. The pieces of a segment of up to
+    ``LONG_ROWS`` rows travel to one task, which sorts them; longer segments are sorted by many tasks.
     """
     taken = {segment, out} & set(df.columns)
     if taken:
         raise ValueError(f"columns {sorted(taken)} of the rows have names of the result")
     tree = BlockTree(df, pos, F.struct(*df.columns), None, fan)
-    cuts = tree.contents(tree.ground_slices(tree.slices(segments, segment, begin, end)))
-    rows = cuts.select(F.col("segment").alias(segment), F.greatest("begin", F.lit(0)).alias("_begin"), F.explode("items").alias("_row"))
-    rows = rows.select(segment, "_begin", "_row.*")
-    ranked = rank_in_group(rows, [segment], [*order_by, pos], "_rank")
+    pieces = materialize(tree.ground_slices(tree.slices(segments, segment, begin, end)), "pieces")
+    lengths = pieces.groupBy("segment").agg(F.sum(F.col("high") - F.col("low")).alias("n"))
+    long = materialize(lengths.filter(F.col("n") > LONG_ROWS).select(F.col("segment").alias("_long")), "long-segments")
+    has_long = not long.isEmpty()
+
+    def rows(some: DataFrame, together: bool) -> DataFrame:
+        cuts = tree.contents(some)
+        cuts = cuts.repartition("segment") if together else cuts
+        found = cuts.select(F.col("segment").alias(segment), F.greatest("begin", F.lit(0)).alias("_begin"), F.explode("items").alias("_row"))
+        return found.select(segment, "_begin", "_row.*")
+
+    is_long = pieces["segment"].eqNullSafe(long["_long"])
+    short = rows(pieces.join(long, is_long, "left_anti") if has_long else pieces, True)
+    own = Window.partitionBy(segment).orderBy(*order_by, pos)  # at most LONG_ROWS rows
+    ranked = short.withColumn("_rank", F.row_number().over(own).cast("bigint") - 1)
+    if has_long:
+        ranked = ranked.unionByName(rank_in_group(rows(pieces.join(long, is_long, "left_semi"), False), [segment], [*order_by, pos], "_rank"))
     return ranked.select(segment, *df.columns, (F.col("_begin") + F.col("_rank")).alias(out))

@@ -132,3 +132,16 @@ def test_slices_are_few_and_the_ground_does_not_move(spark, rows, segments):
                 assert "Exchange" not in line
                 if "Join" in line:
                     break
+
+
+@pytest.mark.parametrize("longest", [50, 1 << 16])
+def test_long_and_short_segments_are_sorted_alike(rows, segments, values, cuts, monkeypatch, longest):
+    monkeypatch.setattr("clickforge.operators.segments.LONG_ROWS", longest)
+    done = sort_between(rows, "pos", ["x"], segments.filter("segment % 5 = 0"), fan=64)
+    assert ("_part" in done._jdf.queryExecution().executedPlan().toString()) == (longest == 50)  # short ones need no ranks over all rows
+    got = {}
+    for r in done.collect():
+        got.setdefault(r.segment, []).append((r.out_pos, r.pos))
+    for k, c in list(enumerate(cuts))[::5]:
+        ordered = sorted(inside(values, *c), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+        assert sorted(got.get(k, [])) == [(max(0, c[0]) + i, p) for i, (p, _) in enumerate(ordered)]
