@@ -12,7 +12,8 @@ from clickforge.plans.registry import CLICKS, Tables, fixed_point_sql, query
 from clickforge.streaming import jobs
 
 SLICES = 4  # the log arrives in this many parts, one per micro-batch
-FILES = 4  # files of a part, each written by its own task
+FILES = 4  # files of a part at least, each written by its own task
+FILE_ROWS = 100_000  # rows of a file, about
 MINI = 64  # rows of a mini-batch
 PLACES = 40  # ids that the running state of frequent ids keeps
 
@@ -22,10 +23,11 @@ def _arrivals(t: Tables, rows: DataFrame) -> DataFrame:
     path = scratch(t, "arrivals")
     n = rows.agg(F.max("pos")).first()[0] + 1
     width = -(-n // SLICES)
+    files = max(FILES, width // FILE_ROWS)
     for k in range(SLICES):
         piece = rows.filter((F.col("pos") >= k * width) & (F.col("pos") < (k + 1) * width))
-        piece.repartition(FILES).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+        piece.repartition(files).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _SLICE = f"{CLICKS}, w as (select (max(pos) + {SLICES}) // {SLICES} as width from clicks)"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -83,6 +85,38 @@ def start_frequent_ids(rows: DataFrame, id_col: str, size: int, path: str, check
     return rows.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+HELD_ROWS = 1 << 16  # rows that a task holds back while it looks for the newest one of each id
+
+
+def _newest(rows: pa.Table) -> pa.Table:
+    """Of (id, _key, vec, _n) the rows with the largest key of each id; the first of them carries the count of all."""
+    ids, keys = rows["id"].to_numpy(), rows["_key"].to_numpy()
+    order = np.lexsort((keys, ids))
+    ids, keys, counts = ids[order], keys[order], rows["_n"].to_numpy()[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    sizes = np.diff(np.r_[starts, len(ids)])
+    kept = np.flatnonzero(keys == np.repeat(keys[starts + sizes - 1], sizes))
+    n = np.zeros(len(kept), np.int64)
+    n[np.r_[True, ids[kept][1:] != ids[kept][:-1]]] = np.add.reduceat(counts, starts)
+    return rows.take(pa.array(order[kept])).set_column(rows.schema.get_field_index("_n"), "_n", pa.array(n))
+
+
+def _newest_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that cannot be the newest of their id do not go on to the state; their number does."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held, size = [*held, batch], size + batch.num_rows
+        if size > HELD_ROWS:
+            found = _newest(pa.Table.from_batches(held)).combine_chunks()
+            held, size = found.to_batches(), found.num_rows
+            if size > HELD_ROWS // 2:  # mostly different ids
+                yield from held
+                held, size = [], 0
+    if held:
+        yield from _newest(pa.Table.from_batches(held)).to_batches()
+
+
 def stream_vectors(rows: DataFrame, key: str, merge: str = "last", expire_ms: int | None = None) -> DataFrame:
     """A stream of (id, vec, key, n): the vector that each id of a micro-batch has after it, for update mode.
 
@@ -90,13 +124,16 @@ def stream_vectors(rows: DataFrame, key: str, merge: str = "last", expire_ms: in
     from the checkpoint goes on with the same vectors. ``merge`` is ``"last"``, the vector with the largest ``key``, also when it
     arrives late (equal keys: the first in order of values), or ``"sum"``, all vectors added up, in order of ``key`` inside a micro-batch.
     ``n`` counts the merged rows. Ids that no row has named for ``expire_ms`` milliseconds are dropped from the state. Rows with a
-    null id, key, vector or component are left out. A sum of vectors of different lengths raises an error.
+    null id, key, vector or component are left out. A sum of vectors of different lengths raises an error. For ``"last"``, each task
+    first leaves out the rows that are older than another one of their id.
     """
     if merge not in ("last", "sum"):
         raise ValueError(f"unknown merge {merge}")
     whole = F.col("id").isNotNull() & F.col("_key").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
     typed = rows.select(F.col("id").cast("bigint").alias("id"), F.col(key).cast("bigint").alias("_key"),
-                        F.col("vec").cast("array<double>").alias("vec")).filter(whole)
+                        F.col("vec").cast("array<double>").alias("vec")).filter(whole).withColumn("_n", F.lit(1).cast("bigint"))
+    if merge == "last":
+        typed = typed.mapInArrow(_newest_in_task, typed.schema)
 
     def absorb(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -111,7 +148,7 @@ def stream_vectors(rows: DataFrame, key: str, merge: str = "last", expire_ms: in
                 elif vec is None or at > newest:
                     vec = new
                 newest = at if newest is None else max(newest, at)
-            n += len(arrived)
+            n += int(frame["_n"].sum())
         state.update((vec, newest, n))
         if expire_ms is not None:
             state.setTimeoutDuration(expire_ms)

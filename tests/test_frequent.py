@@ -127,3 +127,23 @@ def test_vectors_expire(spark):
     arrive(spark, source, [(3, 7, [5.0])])
     done = run_vectors(spark, source, out, cp, merge="sum", expire_ms=1)
     assert done[(max(m for m, i in done if i == 7), 7)] == ([5.0], 3, 1)
+
+
+@pytest.mark.parametrize("held", [5, 40, 10_000])
+def test_only_the_newest_rows_of_a_task_reach_the_state(monkeypatch, held):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(jobs, "HELD_ROWS", held)
+    rng = random.Random(2)
+    rows = [{"id": rng.randint(0, 9), "_key": rng.randint(0, 30), "vec": [float(k)], "_n": 1} for k in range(300)]
+    schema = pa.schema({"id": pa.int64(), "_key": pa.int64(), "vec": pa.list_(pa.float64()), "_n": pa.int64()})
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=7)
+    left = [r for b in jobs._newest_in_task(iter(batches)) for r in b.to_pylist()]
+    assert len(left) < 300 and (held < 10_000 or len(left) < 30)
+    for i in range(10):
+        mine = [r for r in rows if r["id"] == i]
+        newest = max(r["_key"] for r in mine)
+        assert sum(r["_n"] for r in left if r["id"] == i) == len(mine)
+        assert sorted(r["vec"] for r in left if r["id"] == i and r["_key"] == newest) == sorted(r["vec"] for r in mine if r["_key"] == newest)
