@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickforge.functions.scalars import clip, fill_missing
+from clickforge.functions.scalars import clip, fill_missing, int_div
 from clickforge.operators.ordering import rank_in_group
 from clickforge.session import materialize, materialize_bucketed
 
@@ -19,6 +19,9 @@ HEAD_BYTES = 64 << 20  # broadcast for all dictionaries of one lookup
 ENTRY_BYTES, LONG_VALUE = 48, 256  # of an entry in a broadcast table beside its text; longer texts are in no head
 
 
+BUCKET_ROWS = 1 << 20  # rows of a bucket, about, where rows are stored to wait for their numbers
+
+
 def long_form(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., field, value): all fields in one pass.
 
@@ -126,7 +129,7 @@ def apply_mapping(
         out = out.join(F.broadcast(part), F.col(column).try_cast(old_type) == F.col("_old"), "left").drop("_old")
     tails = {column: name for column, name in names.items() if heads[name] is not None}
     if tails:
-        out = _from_tails(out, mapping, tails, heads, found, old, new)
+        out = _from_tails(out, df.count(), mapping, tails, heads, found, old, new)
     values = {}
     for column, name in names.items():
         missing = default.get(name) if isinstance(default, Mapping) else default
@@ -134,30 +137,30 @@ def apply_mapping(
     return out.withColumns(values).select(*df.columns)
 
 
-def _from_tails(rows: DataFrame, mapping: DataFrame, tails: dict[str, str], heads: dict[str, int | None],
+def _from_tails(rows: DataFrame, n_rows: int, mapping: DataFrame, tails: dict[str, str], heads: dict[str, int | None],
                 found: dict[str, str], old: str, new: str) -> DataFrame:
     """Fill the numbers that the heads did not know.
 
-    The rows are stored once, bucketed by the task that wrote them, so what comes back for (task, slot) meets them
-    without moving them. Hot values are in the heads; a frequent value that no dictionary has is left to the adaptive skew join.
+    The rows are stored once, bucketed by the task that wrote them and stretches of its rows, so what comes back for
+    (task, slot) meets them without moving them. There are as many buckets as the rows need, so no bucket grows with the input. Hot values are in the heads; a frequent value that no dictionary has is left to the adaptive skew join.
     """
     old_type = mapping.schema[old].dataType
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BUCKET_ROWS))
     tagged = rows.withColumn("_row", F.monotonically_increasing_id()).select(
         *rows.columns, F.shiftright("_row", 33).alias("_task"), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
-    )
-    stored = materialize_bucketed(tagged, "rows", ["_task"], buckets)
+    ).withColumn("_stretch", int_div("_at", max(1, BUCKET_ROWS // 4)))
+    stored = materialize_bucketed(tagged, "rows", ["_task", "_stretch"], buckets)
     asked = F.array(*[
         F.when(F.col(found[c]).isNull() & F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.lit(name).alias("field"), F.col(c).try_cast(old_type).alias("_old")))
         for i, (c, name) in enumerate(tails.items())
     ])
-    requests = stored.select("_task", "_at", F.explode(F.filter(asked, lambda e: e.isNotNull())).alias("e")).select("_task", "_at", "e.*")
+    requests = stored.select("_task", "_stretch", "_at", F.explode(F.filter(asked, lambda e: e.isNotNull())).alias("e")).select("_task", "_stretch", "_at", "e.*")
     outside = [(F.col("field") == name) & ~((F.col(new) < heads[name]) & _short(mapping, old)) for name in set(tails.values())]
     tail = mapping.filter(reduce(lambda a, b: a | b, outside)).select("field", F.col(old).alias("_old"), F.col(new).alias("_new"))
-    answers = requests.join(tail, ["field", "_old"]).repartition(buckets, "_task").groupBy("_task", "_at").agg(
+    answers = requests.join(tail, ["field", "_old"]).repartition(buckets, "_task", "_stretch").groupBy("_task", "_stretch", "_at").agg(
         *[F.max(F.when(F.col("i") == i, F.col("_new"))).alias(f"_tail_{i}") for i in range(len(tails))]
     )
-    joined = stored.join(answers, ["_task", "_at"], "left")
+    joined = stored.join(answers, ["_task", "_stretch", "_at"], "left")
     filled = {found[c]: F.coalesce(found[c], f"_tail_{i}") for i, c in enumerate(tails)}
     return joined.withColumns(filled).select(*rows.columns)
 
