@@ -19,6 +19,9 @@ from clickforge.session import materialize
 
 CORE_LIMIT_BYTES = 256 << 20
 BLOCK_IDS = 1 << 21  # ids that the rows of a block ask for, repeats included
+BLOCK_ROWS = 1 << 21  # rows that pass by the vectors of a block
+HELD_BYTES = 128 << 20  # vectors that a block holds for a key column, at 8 bytes a number
+MAX_CELLS = 4096  # combinations of slices
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -50,20 +53,48 @@ def _n_blocks(spark: SparkSession, ids: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-ids // BLOCK_IDS))
 
 
+def _slices_and_rows(table: DataFrame, n_rows: int, n_keys: int) -> tuple[int, int]:
+    """Slices of the table by which a key column is dealt to blocks, and the rows that a block may have."""
+    n, numbers = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    fit = max(1, n * HELD_BYTES // max(1, numbers * 8))
+    slices = max(1, -(-n // fit))
+    most = max(1, min(BLOCK_ROWS, -(-n_rows // table.sparkSession.sparkContext.defaultParallelism)))
+    if slices**n_keys > MAX_CELLS or n * n_keys * slices ** (n_keys - 1) > n_rows * n_keys:
+        return 1, min(most, max(1, fit // n_keys))  # random blocks as small as that send fewer vectors
+    return slices, most
+
+
 def lookup_blocks(df: DataFrame, keys: dict[str, str], table: DataFrame) -> DataFrame:
     """Add the vectors of several key columns, {key: name of its vector}; rows without a vector for each of the keys are dropped.
 
-    Rows are dealt to blocks at random, and a vector travels once to each block that asks for it, however many rows and
-    key columns of the block do. All joins then happen inside the blocks: no row moves again when it has become wide.
+    Rows are dealt to blocks, and a vector travels once to each block that asks for it, however many rows of the block do.
+    All joins then happen inside the blocks, by hash, so no row is moved or sorted once it has become wide; the vectors that a
+    block's rows ask for by one key column must fit ``HELD_BYTES``. The blocks of a small table are random. Those of a larger
+    one share the slices of the table that their keys lie in, and a cell of slices has as many blocks as its rows
+    need, however often a key comes. Of a table about as large as the rows, blocks are random again, and small.
     """
     stored = materialize(df.withColumn("_draw", F.rand(7)), "blocks")  # so that a block has the same rows in all branches
-    blocks = _n_blocks(df.sparkSession, stored.count() * len(keys))
-    dealt = stored.withColumn("_block", F.floor(F.col("_draw") * blocks).cast("int")).drop("_draw")
-    asked = dealt.select("_block", F.explode(F.array(*keys)).alias("id")).distinct()
-    met = asked.join(table.select("id", "vec"), "id").select("_block", "id", "vec").repartitionById(blocks, "_block")
+    n_rows = stored.count()
+    slices, most = _slices_and_rows(table, n_rows, len(keys))
+    cell = F.lit(0)
+    for key in keys:
+        cell = cell * slices + F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
+    sizes = dict(stored.groupBy(cell.alias("c")).count().collect()) if slices > 1 else {0: n_rows}
+    parts = [max(1, -(-sizes.get(c, 0) // most)) for c in range(slices ** len(keys))]
+    starts, blocks = [sum(parts[:c]) for c in range(len(parts))], sum(parts)
+    first, n = (F.element_at(F.lit(x), cell + 1) for x in (starts, parts))
+    dealt = stored.withColumn("_block", (first + F.floor(F.col("_draw") * n)).cast("int")).drop("_draw")
+
+    def met(*columns: str) -> DataFrame:
+        asked = dealt.select("_block", F.explode(F.array(*columns)).alias("id")).distinct()
+        return asked.join(table.select("id", "vec"), "id").select("_block", "id", "vec").repartitionById(blocks, "_block")
+
+    # where all vectors fit, those of all key columns travel together
+    found = {key: met(key) for key in keys} if slices > 1 else dict.fromkeys(keys, met(*keys))
     out = dealt.repartitionById(blocks, "_block")
     for key, vec in keys.items():
-        out = out.join(met.select("_block", F.col("id").alias(key), F.col("vec").alias(vec)), ["_block", key])
+        vectors = found[key].select("_block", F.col("id").alias(key), F.col("vec").alias(vec))
+        out = out.join(vectors.hint("shuffle_hash"), ["_block", key])
     return out.select(*df.columns, *keys.values())
 
 

@@ -42,6 +42,23 @@ def test_rows_and_vectors_meet_in_blocks(spark, table, monkeypatch, plain_joins)
     assert vectors.lookup_blocks(rows.limit(0), {"a": "u"}, table).count() == 0
 
 
+@pytest.mark.parametrize("held, cells, slices", [(1 << 20, 9, 1), (240, 9, 3), (240, 8, 1)])  # 41 vectors of 16 bytes
+def test_wide_rows_pass_by_the_vectors_of_their_block(spark, table, monkeypatch, plain_joins, held, cells, slices):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(vectors, "HELD_BYTES", held)
+    monkeypatch.setattr(vectors, "MAX_CELLS", cells)
+    data = [(k, k % 45 if k % 9 else None, k * 7 % 40) for k in range(600)] + [(k, 3, 7) for k in range(300)]  # two hot keys
+    rows = spark.createDataFrame(data, "k bigint, a bigint, b bigint")
+    assert vectors._slices_and_rows(table, len(data), 2)[0] == slices
+    got = vectors.lookup_blocks(rows, {"a": "u", "b": "w"}, table)
+    plain = rows.join(table.toDF("a", "u"), "a").join(table.toDF("b", "w"), "b").select("k", "a", "b", "u", "w")
+    assert sorted_rows(got) == sorted_rows(plain)
+    physical = plan_of(got).split("Initial Plan")[-1]
+    assert physical.count("ShuffledHashJoin") == 2 and "Sort [_block" not in physical  # rows with vectors are not sorted
+    blocks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in blocks) < 2 * 100  # id 7 has two vectors, and the blocks of a cell are drawn
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_bags_are_summed_inside_their_blocks(spark, table, monkeypatch, plain_joins, hot):
     monkeypatch.setattr(vectors, "BLOCK_IDS", 80)
