@@ -8,6 +8,8 @@ from clickforge.functions.vectors import vector_sum, zero_vector
 from clickforge.llm import toxicity
 from clickforge.operators import graph, vectors
 from clickforge.operators.stores import VectorTable
+from clickforge.plans.registry import QUERIES
+import clickforge.plans.all_queries  # noqa: F401  registers the queries
 
 
 def plan_of(df):
@@ -59,6 +61,22 @@ def test_wide_rows_pass_by_the_vectors_of_their_block(spark, table, monkeypatch,
     assert max(r["count"] for r in blocks) < 2 * 100  # id 7 has two vectors, and the blocks of a cell are drawn
 
 
+@pytest.mark.parametrize("held", [1 << 20, 16 * 512])  # all 41 vectors, or 16 of them
+def test_picked_rows_are_not_sorted_with_their_vectors(spark, monkeypatch, plain_joins, tmp_path, held):
+    monkeypatch.setattr(vectors, "HELD_BYTES", held)
+    table = spark.createDataFrame([(i % 40, [i / 40 - j / 64 for j in range(64)]) for i in [*range(40), 47]], "vec_id bigint, embedding array<float>")
+    orders = [(k if k % 50 else 3, k * 7 % 45 if k % 9 else None, "P" if k % 10 == 0 else "O") for k in range(1100)]
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    picked = QUERIES["score_with_pick"](spark, str(tmp_path))
+    scored = {(r.o_orderkey, r.score) for r in QUERIES["score_batch"](spark, str(tmp_path)).collect()}
+    rows = picked.collect()
+    physical = plan_of(picked).split("Initial Plan")[-1]
+    assert physical.count("ShuffledHashJoin") == 3 and "Sort [_block" not in physical
+    assert rows and {(r.o_orderkey, r.score) for r in rows} <= scored
+    assert {r.label for r in rows} == {0, 1}
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_bags_are_summed_inside_their_blocks(spark, table, monkeypatch, plain_joins, hot):
     monkeypatch.setattr(vectors, "BLOCK_IDS", 80)
