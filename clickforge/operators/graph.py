@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickforge.functions.proposals import BEST_ROWS, best_edges
 from clickforge.functions.scalars import int_div, to_cold_range
 from clickforge.operators.ordering import rank_in_group, running
 from clickforge.session import materialize
@@ -15,9 +16,11 @@ from clickforge.session import materialize
 LIST_CHUNK = 1024  # neighbours per adjacency list row
 TASK_PAIRS = 1 << 22  # pairs that a task makes from its batches at most, about
 HUB_DEGREE = 1 << 16  # neighbours that are collected in one place at most
+STORED_EDGES = 2  # edges per member of a batch that are written out at most
 
 
-def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 512, block: str | None = None) -> DataFrame:
+def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 512, block: str | None = None,
+                       times: str | None = None, groups: int | None = None) -> DataFrame:
     """(batch, src, dst) with src < dst: pairs of distinct cold ids that meet in a mini-batch.
 
     Batches are cut by position here, so no group can exceed ``batch_size`` rows and the output
@@ -27,13 +30,17 @@ def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 5
 
     With a name ``block``, equal pairs of all batches are made in the same task, which this column numbers; ``edge_weights``
     then adds them up without moving any. Ids are dealt to groups by hash, and each batch sends the lists of two groups to
-    the task of these two: an id travels once per group instead of once per pair.
+    the task of these two: an id travels once per group instead of once per pair. ``groups`` is their number where the caller
+    knows how many pairs there are. ``times`` says how often an id counts in its batch, and adds the product of both as w.
     """
-    cold = df.filter(F.col(id_col) > 0).select(int_div(pos, batch_size).alias("batch"), id_col)
+    cold = df.filter(F.col(id_col) > 0).select(int_div(pos, batch_size).alias("batch"), id_col, *([] if times is None else [times]))
+    if groups is not None:
+        return _pairs_in_blocks(cold, id_col, groups, groups * (groups + 1) // 2, block, times)
     n = cold.count()
     tasks = -(-n * batch_size // (2 * TASK_PAIRS)) or 1  # the lists are short, so their size says little about the pairs
     if block is not None:
-        return _pairs_in_blocks(cold, id_col, n, max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, tasks * 8)), block)
+        tasks = _enough_tasks(df, tasks)
+        return _pairs_in_blocks(cold, id_col, _groups(tasks), max(tasks, -(-n * _groups(tasks) // TASK_PAIRS)), block, times)
     lists = (
         cold.repartition(tasks, "batch")
         .groupBy("batch")
@@ -43,31 +50,62 @@ def cooccurrence_edges(df: DataFrame, id_col: str, pos: str, batch_size: int = 5
     return firsts.select("batch", "src", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("dst"))
 
 
-def _pairs_in_blocks(cold: DataFrame, id_col: str, n: int, tasks: int, block: str) -> DataFrame:
-    """(batch, src, dst, block): the block is a pair of groups of ids, and there are at least ``tasks`` blocks."""
-    groups = next(g for g in count(1) if g * (g + 1) // 2 >= tasks)
+def _enough_tasks(df: DataFrame, tasks: int) -> int:
+    """All cores where a task would have an eighth of its pairs at least."""
+    return max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, tasks * 8))
+
+
+def _groups(tasks: int) -> int:
+    """Groups of ids whose pairs make ``tasks`` blocks at least."""
+    return next(g for g in count(1) if g * (g + 1) // 2 >= tasks)
+
+
+def _group_of(id_col: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int")
+
+
+def _block_of(a: Column, b: Column) -> Column:
+    """The number of the block of two groups, a <= b."""
+    return (int_div(b * (b + 1), 2) + a).cast("int")
+
+
+def _pairs_in_blocks(cold: DataFrame, id_col: str, groups: int, readers: int, block: str, times: str | None) -> DataFrame:
+    """(batch, src, dst, block[, w]): the block is a pair of groups of ids. ``readers`` tasks make the lists of the batches."""
+    dealt_rows = cold.repartition(readers, "batch")
+    if times is None:
+        members, lists = dealt_rows.distinct(), {"ids": F.sort_array(F.collect_list(id_col))}
+    else:
+        members = dealt_rows.groupBy("batch", id_col).agg(F.sum(times).alias("n"))
+        entries = F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), "n")))
+        lists = {"ids": entries["id"], "ns": entries["n"]}
     grouped = (
-        cold.repartition(max(tasks, -(-n * groups // TASK_PAIRS)), "batch").distinct()
-        .groupBy("batch", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("g"))
-        .agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
-        .groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("g", "ids"))).alias("parts"))
+        members.groupBy("batch", _group_of(id_col, groups).alias("g"))
+        .agg(*[c.alias(name) for name, c in lists.items()])
+        .groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("g", *lists))).alias("parts"))
     )
     lefts = grouped.select("batch", "parts", F.posexplode("parts").alias("at", "a"))
     both = lefts.select("batch", "a", F.explode(F.slice("parts", F.col("at") + 1, F.size("parts"))).alias("b"))
-    number = int_div(F.col("b.g") * (F.col("b.g") + 1), 2) + F.col("a.g")  # a.g <= b.g
-    dealt = both.select("batch", number.cast("int").alias(block), F.col("a.ids").alias("a"), F.col("b.ids").alias("b"),
-                        (F.col("a.g") == F.col("b.g")).alias("own")).repartitionById(groups * (groups + 1) // 2, block)
-    firsts = dealt.select("batch", block, "b", "own", F.posexplode("a").alias("at", "x"))
+    counted = [] if times is None else [F.col("a.ns").alias("a_n"), F.col("b.ns").alias("b_n")]
+    dealt = both.select("batch", _block_of(F.col("a.g"), F.col("b.g")).alias(block), F.col("a.ids").alias("a"), F.col("b.ids").alias("b"),
+                        (F.col("a.g") == F.col("b.g")).alias("own"), *counted).repartitionById(groups * (groups + 1) // 2, block)
     rest = F.when(F.col("own"), F.slice("b", F.col("at") + 2, F.size("b"))).otherwise(F.col("b"))
-    pairs = firsts.select("batch", block, "x", F.explode(rest).alias("y"))
-    return pairs.select("batch", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), block)
-
-
-def edge_weights(edges: DataFrame, weight: str | None = None, block: str | None = None) -> DataFrame:
+    ends = [F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), block]
+    if times is None:
+        firsts = dealt.select("batch", block, "b", "own", F.posexplode("a").alias("at", "x"))
+        return firsts.select("batch", block, "x", F.explode(rest).alias("y")).select("batch", *ends)
+    firsts = dealt.select("batch", block, "b", "b_n", "a_n", "own", F.posexplode("a").alias("at", "x"))
+    skipped = F.when(F.col("own"), F.col("at") + 1).otherwise(0)
+    pairs = firsts.select("batch", block, "x", "b_n", F.get("a_n", F.col("at")).alias("x_n"), skipped.alias("skipped"),
+                          F.posexplode(rest).alias("at", "y"))
+    return pairs.select("batch", *ends, (F.col("x_n") * F.get("b_n", F.col("skipped") + F.col("at"))).alias("w"))
+
+
+def edge_weights(edges: DataFrame, weight: str | None = None, block: str | None = None, mirrored: bool = True) -> DataFrame:
     """(src, dst, w) in both directions without self loops; weights of equal edges are added.
 
     Weights are added per unordered pair first, and mirrored after the shuffle. Where a column ``block`` says which
-    task has all edges of a pair, as ``cooccurrence_edges`` can deal them, there is no shuffle.
+    task has all edges of a pair, as ``cooccurrence_edges`` can deal them, there is no shuffle. If not ``mirrored``, each pair
+    is one row with src < dst, and keeps its block.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     halves = (
@@ -76,6 +114,8 @@ def edge_weights(edges: DataFrame, weight: str | None = None, block: str | None
         .agg(F.sum(w).alias("w"))
         .filter("w > 0")
     )
+    if not mirrored:
+        return halves.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w", *([] if block is None else [block]))
     both = F.array(
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
         F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
@@ -293,7 +333,92 @@ def _both_ways(halves: DataFrame) -> DataFrame:
     return halves.select("w", F.explode(ways).alias("e")).select("e.src", "e.dst", "w", "e.sv", "e.su")
 
 
-def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
+class _Edges:
+    """A graph for ``communities``: (src, dst, w, sv, su) with src < dst, written out for every round."""
+
+    def __init__(self, current: DataFrame, strengths: DataFrame):
+        self.current, self.strengths = materialize(current, "graph"), strengths
+
+    @classmethod
+    def of(cls, weights: DataFrame) -> _Edges:
+        strengths = materialize(degrees(weights).select("v", "strength"), "strength")
+        themselves = strengths.select("v", F.col("v").alias("parent"), "strength")
+        return cls(_with_strengths(weights.filter("src < dst"), themselves), strengths)
+
+    def proposals(self, total: Column, seed: int, refused: DataFrame | None) -> DataFrame:
+        among = self.current
+        if refused is not None:
+            among = among.join(refused.select(F.col("v").alias("src")), "src", "left_semi")
+            among = among.join(refused.select(F.col("v").alias("dst")), "dst", "left_semi")
+        return _best(_both_ways(among), total, seed)
+
+    def contract(self, moved: DataFrame, strengths: DataFrame) -> _Edges:
+        parents = moved.select("v", "parent").join(strengths.withColumnRenamed("v", "parent"), "parent")
+        contracted = _with_strengths(self.current, materialize(parents, "parents")).groupBy("src", "dst")
+        return _Edges(contracted.agg(F.sum("w").alias("w"), F.max("sv").alias("sv"), F.max("su").alias("su")), strengths)
+
+
+class Meetings:
+    """A graph given by the batches in which vertices meet: (batch, v, times), one row for each vertex of a batch.
+
+    The weight of an edge is the sum over the batches of the products of both ``times``, and merged vertices add theirs up.
+    A round makes its edges from the batches, block by block, keeps the best ones in the task that made them, and drops them:
+    a batch of n vertices is stored and sent as lists, never as its n * (n - 1) / 2 pairs. Once there can be no more than
+    ``STORED_EDGES`` edges per member, they are written out, so that many rounds on few vertices need not make them again.
+    """
+
+    def __init__(self, members: DataFrame, strengths: DataFrame | None = None):
+        self.members = members
+        self.strengths = self._strengths() if strengths is None else strengths
+
+    def _strengths(self) -> DataFrame:
+        batches = self.members.groupBy("batch").agg(F.collect_list(F.struct("v", "times")).alias("m"), F.sum("times").alias("n"))
+        each = batches.select("n", F.explode("m").alias("m"))
+        met = F.sum(F.col("m.times") * (F.col("n") - F.col("m.times"))).cast("double")
+        return materialize(each.groupBy(F.col("m.v").alias("v")).agg(met.alias("strength")).filter("strength > 0"), "strength")
+
+    def _halves(self, members: DataFrame, pairs: int) -> DataFrame:
+        """(src, dst, w, sv, su) with src < dst, made and joined with the strengths in the block of src and dst."""
+        groups = _groups(_enough_tasks(members, -(-pairs // TASK_PAIRS) or 1))
+        edges = edge_weights(cooccurrence_edges(members, "v", "batch", 1, "block", "times", groups), "w", "block", mirrored=False)
+        other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")
+        homes = self.strengths.select("v", "strength", _group_of("v", groups).alias("g"), other)
+        block = _block_of(F.least("g", "h"), F.greatest("g", "h")).alias("block")
+        dealt = homes.select(block, "v", "strength").repartitionById(groups * (groups + 1) // 2, "block")
+        for end, strength in (("src", "sv"), ("dst", "su")):
+            of_end = dealt.select("block", F.col("v").alias(end), F.col("strength").alias(strength))
+            edges = edges.join(of_end.hint("shuffle_hash"), ["block", end])
+        return edges.select("src", "dst", "w", "sv", "su")
+
+    def as_stored(self) -> Meetings | _Edges:
+        """The edges themselves where they take no more room than the members."""
+        n, pairs = _sizes(self.members)
+        vertices = self.strengths.count()
+        if min(pairs, vertices * (vertices - 1) // 2) > n * STORED_EDGES:
+            return self
+        return _Edges(self._halves(self.members, pairs), self.strengths)
+
+    def proposals(self, total: Column, seed: int, refused: DataFrame | None) -> DataFrame:
+        members = self.members if refused is None else self.members.join(refused, "v", "left_semi")
+        edges = self._halves(members, _sizes(members)[1])
+        gains = edges.withColumn("gain", F.col("w") - F.col("sv") * F.col("su") / total).filter("gain > 0")
+        found = gains.withColumn("tie", F.xxhash64("src", "dst", F.lit(seed))).mapInArrow(best_edges, BEST_ROWS)
+        best = found.groupBy("v").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "tie", "u", "w", "sv", "su")).alias("b"))
+        return best.select("v", "b.u", (-F.col("b.loss")).alias("gain"), "b.w", "b.sv", "b.su")
+
+    def contract(self, moved: DataFrame, strengths: DataFrame) -> Meetings | _Edges:
+        renamed = self.members.join(moved.select("v", "parent"), "v").groupBy("batch", F.col("parent").alias("v"))
+        return Meetings(materialize(renamed.agg(F.sum("times").alias("times")), "members"), strengths).as_stored()
+
+
+def _sizes(members: DataFrame) -> tuple[int, int]:
+    """The members and the pairs of all batches."""
+    k = F.col("k")
+    n, pairs = members.groupBy("batch").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(k), F.sum(int_div(k * (k - 1), 2))).first()
+    return n or 0, pairs or 0
+
+
+def communities(weights: DataFrame | Meetings, n: int | None = None) -> DataFrame:
     """(v, parent, round): merge forest of greedy modularity clustering.
 
     Every round each vertex proposes its best neighbour, coins turn the proposals into stars, and the merged edges are
@@ -303,36 +428,32 @@ def communities(weights: DataFrame, n: int | None = None) -> DataFrame:
     one that gains from few of them, the next round is among the refused only, as they may gain from each other. The rounds
     follow the logarithm of the number of vertices on paths, stars and rings of cliques (measured). There is no such bound
     for all graphs: one clique that is the whole graph takes about half as many rounds as vertices (13 for 24). The loop ends when nobody proposes.
-    ``weights`` is as ``edge_weights`` gives it, and read twice. Senders, merges and the smaller graph of each round are written out. Coins
+    ``weights`` is as ``edge_weights`` gives it, and read twice, or ``Meetings``, which give the same forest without their edges being
+    written out while they are many. Senders, merges and the smaller graph of each round are. Coins
     are hashes, so the result is the same on every run. Roots have themselves as parent and round -1.
     """
-    strengths = materialize(degrees(weights).select("v", "strength"), "strength")
-    themselves = strengths.select("v", F.col("v").alias("parent"), "strength")
-    current = materialize(_with_strengths(weights.filter("src < dst"), themselves), "graph")
-    everyone = strengths.select("v") if n is None else weights.sparkSession.range(n).select(F.col("id").alias("v"))
+    current = weights.as_stored() if isinstance(weights, Meetings) else _Edges.of(weights)
+    strengths = current.strengths
+    everyone = strengths.select("v") if n is None else strengths.sparkSession.range(n).select(F.col("id").alias("v"))
     total = strengths.agg(F.sum("strength")).first()[0]
-    merges, among = [], None
+    merges, refused = [], None
     for step in count():
-        proposals = _best(_both_ways(current if among is None else among), F.lit(total), step)
+        proposals = current.proposals(F.lit(total), step, refused)
         senders = materialize(_senders(materialize(proposals, "proposals")), "senders")
         n_senders = senders.count()
-        if not n_senders and among is None:
+        if not n_senders and refused is None:
             break
         accepted = materialize(_accepted_merges(_attempts(senders, step), total), "merges")
-        n_accepted, among = accepted.count(), None
+        n_accepted, refused = accepted.count(), None
         if not n_accepted:  # nobody refused has a gain with another, or the coins fell badly
             continue
         merges.append(accepted.withColumn("round", F.lit(step)))
         moved = materialize(strengths.join(accepted, "v", "left").select("v", F.coalesce("parent", "v").alias("parent"), "strength"), "moved")
         strengths = materialize(moved.groupBy(F.col("parent").alias("v")).agg(F.sum("strength").alias("strength")), "strength")
-        parents = moved.select("v", "parent").join(strengths.withColumnRenamed("v", "parent"), "parent")
-        contracted = _with_strengths(current, materialize(parents, "parents")).groupBy("src", "dst")
-        current = materialize(contracted.agg(F.sum("w").alias("w"), F.max("sv").alias("sv"), F.max("su").alias("su")), "graph")
+        current = current.contract(moved, strengths)
         if n_accepted * CROWDED < n_senders:
             merged = accepted.select(F.explode(F.array("v", "parent")).alias("v"))
             refused = materialize(senders.select("v").join(merged, "v", "left_anti"), "refused")
-            from_refused = current.join(refused.select(F.col("v").alias("src")), "src", "left_semi")
-            among = from_refused.join(refused.select(F.col("v").alias("dst")), "dst", "left_semi")
     if not merges:
         return everyone.select("v", F.col("v").alias("parent"), F.lit(-1).alias("round"))
     forest = reduce(DataFrame.union, merges)
@@ -430,12 +551,14 @@ def reorder_cold_ids(df: DataFrame, ranks: DataFrame, id_col: str, pos: str, hot
     """(old_id, new_id): the whole re-ordering of one field.
 
     Ranked ids -> cold range -> co-occurrence graph per batch -> communities -> permutation of the
-    cold ids 1..n -> composed with the ranks. ``df`` holds frequency ranks in ``id_col``.
+    cold ids 1..n -> composed with the ranks. ``df`` holds frequency ranks in ``id_col``. The graph is kept as the
+    members of the batches; its edges are made where they are needed and written out only when they are few.
     """
-    cold = df.select(pos, to_cold_range(id_col, hot).alias("cold"))
-    weights = materialize(edge_weights(cooccurrence_edges(cold, "cold", pos, batch_size, "block"), block="block"), "edges")
-    n = vertex_count(weights).first()["n"]
-    forest = materialize(communities(weights, n).filter("v > 0"), "forest")
+    cold = df.select(int_div(pos, batch_size).alias("batch"), to_cold_range(id_col, hot).alias("v")).filter("v > 0")
+    members = materialize(cold.distinct().withColumn("times", F.lit(1).cast("bigint")), "members")
+    reach = members.groupBy("batch").agg(F.min("v").alias("src"), F.max("v").alias("dst")).filter("src < dst")  # of the ids with an edge
+    n = vertex_count(reach).first()["n"]
+    forest = materialize(communities(Meetings(members), n).filter("v > 0"), "forest")
     shifted = permutation(forest).select("old", (F.col("new") + 1).alias("new"))
     return compose_bijection(ranks, shifted, hot)
 
